@@ -131,3 +131,12 @@ def extended(schema: T.StructType, added: dict[str, str]) -> T.StructType:
     for name, kind in added.items():
         more = more.add(name, kind)
     return T.StructType([*schema.fields, *more.fields])
+
+
+def slices(offsets: np.ndarray, most: int = 2 << 20):
+    """Row ranges (lo, hi) of at most `most` bytes each, or of one longer row."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        yield lo, hi
+        lo = hi

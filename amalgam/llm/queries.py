@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import quality, sharding, tokenout
 
 SHARDS = 16
 
@@ -21,6 +21,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Simple-8b files in doc_id order and read back."""
+    return tokenout.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document; the classifier learns from labels."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,6 +41,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_tokens": op5_tokens,
     "op9_quality": op9_quality,
 }
 
