@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, tokenout
+from . import quality, sharding, simhash, tokenout
 
 SHARDS = 16
 
@@ -32,6 +32,12 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document; the classifier learns from labels."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +48,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_tokens": op5_tokens,
+    "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
 }
 
