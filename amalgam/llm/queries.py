@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash, tokenout
+from . import pii, quality, sharding, simhash, tokenout
 
 SHARDS = 16
 
@@ -45,11 +45,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, model).drop("text")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_tokens": op5_tokens,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
