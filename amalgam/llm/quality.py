@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, extended, small_batches, utf8, word_hashes, words
+from .common import IS_SPACE, extended, slices, small_batches, utf8, word_hashes, words
 
 #: Size of the hashed feature space, as a power of two.
 FEATURE_BITS = 20
@@ -137,43 +137,46 @@ def _logistic(columns: list[np.ndarray], y: np.ndarray, l2: float, steps: int =
     return w
 
 
-def fit_head(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, held: np.ndarray, l2: float = 1e-3, steps: int = 60) -> Head | None:
-    """A classifier for 0/1 labels y. None if either class has no training row.
+def fit_head(parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarray, l2: float = 1e-3, steps: int = 60) -> Head | None:
+    """A classifier for labels y of 0, 1 or nan (not used). None if either class has no training row.
 
-    The rows of held only calibrate.
+    parts are (document, feature) pairs. The rows of held only calibrate.
     """
-    train = ~held
-    if y[train].min(initial=1) == y[train].max(initial=0) or not train.any():
+    train = ~held & ~np.isnan(y)
+    if not train.any() or y[train].min() == y[train].max():
         return None
     size, n = 1 << FEATURE_BITS, len(y)
-    use = train[doc]
-    d, f = doc[use], feature[use]
-    df = np.bincount(f, minlength=size)
-    pos = np.bincount(f, weights=y[d], minlength=size)
+    df, pos = np.zeros(size), np.zeros(size)
+    for doc, feature in parts:
+        use = train[doc]
+        df += np.bincount(feature[use], minlength=size)
+        pos += np.bincount(feature[use], weights=y[doc[use]], minlength=size)
     n_pos, n_neg = y[train].sum(), (1 - y[train]).sum()
     ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((df - pos + 0.5) / (n_neg + 1))
     share = df / (n_pos + n_neg)
     spread = np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg)) + 1e-12
     ratio[np.abs(pos / n_pos - (df - pos) / n_neg) < LEAST_Z * spread] = 0
-    use = ratio[feature] != 0
-    d, f = doc[use], feature[use]
+    chosen = [(doc[use], feature[use]) for doc, feature in parts for use in [ratio[feature] != 0]]
+    d, f = (np.concatenate(x) for x in zip(*chosen, strict=True))
     known, f = np.unique(f, return_inverse=True)
     scale = ratio[known] / np.abs(ratio[known]).max(initial=1)
     weight = train * np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg)
+    goal = np.nan_to_num(y)
     w, bias, m, v, mb, vb = np.zeros(len(known)), 0.0, np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     for t in range(1, steps + 1):
         z = bias + np.bincount(d, weights=(w * scale)[f], minlength=n)
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g, gb = scale * np.bincount(f, weights=r[d], minlength=len(known)) + l2 * w / len(known), r.sum()
+        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - goal) * weight
+        g, gb = scale * np.bincount(f, weights=r[d], minlength=len(known)) + l2 * w / max(1, len(known)), r.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.05 / (1 - 0.9**t)
         w -= rate * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= rate * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(size)
+    z = bias + np.bincount(d, weights=(w * scale)[f], minlength=n)
+    weights = np.zeros(size, np.float32)
     weights[known] = w * scale
-    head = Head(weights.astype(np.float32), float(bias))
-    z = bias + np.bincount(doc, weights=weights[feature], minlength=n)
-    rows = held if 0 < y[held].sum() < held.sum() else train
+    head = Head(weights, float(bias))
+    rows = held & ~np.isnan(y)
+    rows = rows if 0 < y[rows].sum() < rows.sum() else train
     # Platt's targets, short of 0 and 1, keep the slope finite
     n1, n0 = y[rows].sum(), (1 - y[rows]).sum()
     slope, intercept = _logistic([z[rows]], np.where(y[rows] > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), 1e-4)
@@ -202,22 +205,18 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Qual
     table = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
     if not table.num_rows:
         return QualityModel(None, None)
-    pairs, at = [], 0
+    parts, at = [], 0
     for piece in table["text"].chunks:
-        for lo in range(0, len(piece), 256):
-            part = piece.slice(lo, 256)
-            d, f = features(*utf8(part))
-            pairs.append((d.astype(np.int32) + at, f.astype(np.int32)))
-            at += len(part)
-    doc, feature = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        raw, offsets = utf8(piece)
+        for lo, hi in slices(offsets):
+            doc, feature = features(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            parts.append((doc.astype(np.int32) + np.int32(at + lo), feature.astype(np.int32)))
+        at += len(piece)
     held = np.asarray(table["doc_id"].to_numpy() * 2654435761 % 4294967296 % 5 == 0)
 
     def head(label: str, positive: int) -> Head | None:
-        value = np.array([-1 if x is None else x for x in table[label].to_pylist()])
-        known = value >= 0
-        place = np.cumsum(known) - 1
-        use = known[doc]
-        return fit_head(place[doc[use]], feature[use], (value[known] == positive).astype(float), held[known]) if known.any() else None
+        value = np.array([np.nan if x is None else float(x == positive) for x in table[label].to_pylist()])
+        return fit_head(parts, value, held)
 
     return QualityModel(head("quality", 0), head("toxic", 1))
 
@@ -242,9 +241,15 @@ def judge(documents: DataFrame, model: QualityModel) -> DataFrame:
             text = batch.column(batch.schema.get_field_index("text"))
             raw, offsets = utf8(text.fill_null(""))
             n = batch.num_rows
-            got = measure(raw, offsets)
-            doc, feature = features(raw, offsets)
-            p = [h.probability(doc, feature, n) if h else None for h in (m.low_quality, m.toxic)]
+            pieces = []
+            for lo, hi in slices(offsets):
+                part, bounds = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                doc, feature = features(part, bounds)
+                pieces.append((measure(part, bounds), [h.probability(doc, feature, hi - lo) if h else None for h in (m.low_quality, m.toxic)]))
+            if not pieces:
+                continue
+            got = {k: np.concatenate([x[0][k] for x in pieces]) for k in added[:5]}
+            p = [None if pieces[0][1][i] is None else np.concatenate([x[1][i] for x in pieces]) for i in (0, 1)]
             failed = (got["n_words"] < MIN_WORDS) | (100 * got["n_repeat_words"] > MAX_REPEAT_PERCENT * got["n_words"])
             kept = ~failed
             for x, most in zip(p, (LOW_QUALITY_AT, TOXIC_AT), strict=True):
