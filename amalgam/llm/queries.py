@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, sharding, simhash, tokenout
+from . import pii, quality, sharding, simhash, tokenout, urls
 
 SHARDS = 16
 
@@ -21,6 +21,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: The rules that the URL query applies.
+URL_RULES = [urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7"), urls.Rule("allow", "net/de/"), urls.Rule("block", "example.net/de/8"), urls.Rule("block", "org/es/")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url. The urls that a rule fits are the labelled ones that the trees learn from."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.fit(urls.apply_rules(pages, URL_RULES).withColumnRenamed("rule_verdict", "verdict"))
+    return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -52,6 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_urls": op2_urls,
     "op5_tokens": op5_tokens,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
