@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality, sharding, simhash, tokenout, urls
+from . import decontam, mixing, pii, quality, sharding, simhash, tokenout, urls
 
 SHARDS = 16
 
@@ -32,6 +32,11 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its distance."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -49,6 +54,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights that are square roots of the sources' shares, over as many rows as there are documents."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), temperature=0.5, seed=7).withColumn("rate", F.round("rate", 9))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document; the classifier learns from labels."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,11 +74,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_urls": op2_urls,
+    "op4_decontam": op4_decontam,
     "op5_tokens": op5_tokens,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": """
+WITH s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS raw FROM documents GROUP BY source),
+r AS (SELECT source, raw / sum(raw) OVER () * sum(n) OVER () / n AS rate FROM s),
+u AS (SELECT d.doc_id, d.source, r.rate, ('0x' || substr(md5('7:' || d.doc_id || ':1'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+      FROM documents d JOIN r ON d.source = r.source),
+c AS (SELECT *, len(list_filter(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 30) AS BIGINT) + 1),
+        lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1)))) <= u)) AS copies FROM u),
+e AS (SELECT doc_id, source, rate, unnest(range(1, copies + 1)) AS copy FROM c)
+SELECT doc_id, source, round(rate, 9) AS rate, CAST(copy AS INTEGER) AS copy, ('0x' || substr(md5('shuffle:7:' || doc_id || ':' || copy), 1, 12))::BIGINT AS shuffle_key FROM e""",
+}
