@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, quality, sharding, simhash, tokenout, urls
+from . import decontam, lm, mixing, pii, quality, sharding, simhash, tokenout, urls
 
 SHARDS = 16
 
@@ -32,6 +32,13 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of six sevenths of them."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    scored = lm.score(table(spark, sf_dir, "documents"), F.when(held_out, lm.TEST).otherwise(lm.TRAIN))
+    return scored.select("doc_id", (F.col("kind") == lm.TEST).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its distance."""
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -74,6 +81,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_urls": op2_urls,
+    "op3_lm": op3_lm,
     "op4_decontam": op4_decontam,
     "op5_tokens": op5_tokens,
     "op7_simhash": op7_simhash,
