@@ -50,17 +50,18 @@ def fingerprint(raw: bytes, shingle: int) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (long) of every text; a null text counts as empty, and its fingerprint is 0."""
+    """doc_id, key (a hash of doc_id and text) and fingerprint (long) of every text; a null text counts as empty, and its fingerprint is 0."""
     small_batches(documents.sparkSession)
 
     def scan(batches):
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(2))
             data = raw.tobytes()
             marks = np.array([fingerprint(data[a:b], shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], names=["doc_id", "key", "fingerprint"])
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, "doc_id long, fingerprint long")
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(scan, "doc_id long, key long, fingerprint long")
 
 
 def group_bits(sample: np.ndarray, partitions: int) -> list[int]:
@@ -214,18 +215,46 @@ def forest(fp: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     return nodes[label[apart]], nodes[apart]
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
-    """doc_id, fingerprint (long), component_id: the smallest doc_id reachable over fingerprints within `most` bits.
+def classes(documents: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fingerprint of every document; fingerprint and root of every fingerprint): equal roots, linked documents.
 
     Documents with equal fingerprints meet as one fingerprint before anything is
-    compared, whatever their number. Null and empty texts have fingerprint 0 and link
-    like any other; documents with a null doc_id take part, but name no component
-    unless it has no other. An empty table gives an empty result.
+    compared, whatever their number.
     """
     marks = stored(fingerprints(documents, shingle), "fingerprints")
     prints = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), "prints")
     found = connected_components(links(prints, most))
-    rooted = prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("root"), "first_doc")
+    return marks, prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("root"), "first_doc")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
+    """doc_id, fingerprint (long), component_id: the smallest doc_id reachable over fingerprints within `most` bits.
+
+    Null and empty texts have fingerprint 0 and link like any other; documents with a
+    null doc_id take part, but name no component unless it has no other. An empty table
+    gives an empty result.
+    """
+    marks, rooted = classes(documents, shingle, most)
     first = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = rooted.join(first, "root").select("fingerprint", "component_id")
     return marks.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def deduplicate(documents: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
+    """documents with one row of each class, all columns as they were.
+
+    The row with the smallest doc_id stays, nulls last; of equal ids the one with the
+    smallest hash of its text; of equal rows any. Rows without words are one class.
+    """
+    marks, rooted = classes(documents, shingle, most)
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    # per fingerprint first: a hot class is then as many rows as it has fingerprints
+    per_print = marks.groupBy("fingerprint").agg(F.min(order).alias("first"))
+    kept = per_print.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias("_key"))
+    repeats = marks.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = kept.join(repeats.withColumnRenamed("key", "_key"), "_key")
+    keyed = documents.join(chosen, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) == F.col("_key"))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    single = keyed.where("_n = 1").select(*names)
+    several = keyed.where("_n > 1").dropDuplicates(["_key"]).select(*names)
+    return single.unionByName(several)
