@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, mixing, pii, quality, sharding, simhash, tokenout, urls
+from . import decontam, lm, mixing, pii, quality, sharding, simhash, suffix, tokenout, urls
 
 SHARDS = 16
 
@@ -55,6 +55,11 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenout.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 50-byte strings of earlier documents cover."""
+    return suffix.digest(suffix.repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=2)
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm": op3_lm,
     "op4_decontam": op4_decontam,
     "op5_tokens": op5_tokens,
+    "op6_suffix": op6_suffix,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
