@@ -485,7 +485,7 @@ def extract_foreign_json(spark, sf_dir):
     return claim_text(foreign_json.extract_json(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".json")))
 
 
-@query("""SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'emails=m' || c_custkey || '@x.io|phones=(415) 555-26' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '|full_name=Ada Lovelace|headline=Staff Engineer at Acme|experience=Acme~Staff Engineer~-~present~-|years_experience=' || (c_custkey % 30)
+@query("""SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'emails=m' || c_custkey || '@x.io|phones=415) 555-26' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '|full_name=Ada Lovelace|headline=Staff Engineer at Acme|experience=Acme~Staff Engineer~-~present~-|years_experience=' || (c_custkey % 30)
   || '|skills=Python|skills=Go|location=Paris, FR|links.github=github.com/Ada' || c_custkey AS claims, 'm' || c_custkey || '@x.io' AS hint_emails, 'Ada Lovelace' AS hint_name, 'ada' || c_custkey AS hint_github, NULL::VARCHAR AS hint_linkedin FROM customer""")
 def extract_note_files(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
