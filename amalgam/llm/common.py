@@ -1,6 +1,8 @@
 """What several operators share: the scratch folder, Arrow batches as byte buffers, words."""
 
 import hashlib
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -140,3 +142,8 @@ def slices(offsets: np.ndarray, most: int = 2 << 20):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
         yield lo, hi
         lo = hi
+
+
+def worker_state() -> dict:
+    """A dictionary that a Python worker keeps between its tasks. Tasks that need much memory clear it first."""
+    return sys.modules.setdefault("_amalgam_kept", types.ModuleType("_amalgam_kept")).__dict__

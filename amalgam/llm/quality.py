@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, extended, slices, small_batches, utf8, word_hashes, words
+from .common import IS_SPACE, extended, slices, small_batches, utf8, word_hashes, words, worker_state
 
 #: Size of the hashed feature space, as a power of two.
 FEATURE_BITS = 20
@@ -22,6 +22,8 @@ FEATURE_BITS = 20
 CHAR_N = 5
 #: A feature counts if its shares in the two classes differ by so many standard errors.
 LEAST_Z = 5.0
+#: Text bytes that are scored at a time.
+STEP_BYTES = 1 << 19
 #: Most labelled rows that a fit uses; those with the smallest hash of their id.
 TRAIN_ROWS = 6000
 #: A document goes if its low-quality or toxic probability reaches these.
@@ -237,12 +239,13 @@ def judge(documents: DataFrame, model: QualityModel) -> DataFrame:
 
     def score(batches):
         m = shared.value
+        worker_state().clear()
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             raw, offsets = utf8(text.fill_null(""))
             n = batch.num_rows
             pieces = []
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, STEP_BYTES):
                 part, bounds = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 doc, feature = features(part, bounds)
                 pieces.append((measure(part, bounds), [h.probability(doc, feature, hi - lo) if h else None for h in (m.low_quality, m.toxic)]))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small_batches, utf8
+from .common import scratch, slices, small_batches, utf8, worker_state
 
 #: Ids per word and bits per id of the selectors 1 to 15. Selector 0 is the escape.
 COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -33,7 +33,7 @@ BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 
 MAGIC = b"AS8B"
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Bytes of text that one file part should get.
 PART_BYTES = 32 << 20
 
@@ -49,16 +49,20 @@ def pack(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lengths = np.diff(offsets)
     end = np.repeat(offsets[1:].astype(np.int32), lengths)
     place = np.arange(n, dtype=np.int32)
-    selector = np.zeros(n, np.uint8)
-    open_ = ~large
-    for s in range(1, 16):
-        wide = need > BITS[s]
-        if wide.all():
-            continue
-        stop = np.minimum.accumulate(np.where(wide, place, np.int32(n))[::-1])[::-1]
-        fits = open_ & (stop >= np.minimum(place + np.int32(COUNTS[s]), end))
-        selector[fits] = s
-        open_ &= ~fits
+    # after each document as many zeros as a word may hold: room to spare fits any selector
+    spare = max(COUNTS)
+    spread = place + np.repeat(np.arange(len(lengths), dtype=np.int32) * spare, lengths)
+    widest = np.zeros(n + spare * len(lengths) + spare, np.int8)
+    widest[spread] = need
+    # widest[i] becomes the most bits of ids i to i + span - 1, span by span; wider selectors come first, narrower ones overwrite
+    selector_at, span = np.zeros(len(widest), np.uint8), 1
+    for s in range(15, 0, -1):
+        while span < COUNTS[s]:
+            step = min(span, COUNTS[s] - span)
+            widest[:-step] = np.maximum(widest[:-step], widest[step:])
+            span += step
+        selector_at[widest <= BITS[s]] = s
+    selector = selector_at[spread]
     count = np.asarray(COUNTS)[selector]
     step = np.minimum(count, end - place).astype(np.uint8).tobytes()
     starts, i = [], 0
@@ -68,14 +72,16 @@ def pack(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.array(starts)
     chosen = selector[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
+    values = np.zeros(len(widest), np.uint64)
+    values[spread] = ids
     for s in range(1, 16):
         group = np.flatnonzero(chosen == s)
-        for k in range(COUNTS[s]) if BITS[s] and len(group) else ():
-            p = at[group] + k
-            live = p < end[at[group]]
-            if not live.any():
-                break
-            words[group[live]] |= ids[p[live]] << np.uint64(k * BITS[s])
+        if not BITS[s] or not len(group):
+            continue
+        place_of, word = spread[at[group]], words[group]
+        for k in range(COUNTS[s]):
+            word |= values[place_of + k] << np.uint64(k * BITS[s])
+        words[group] = word
     escaped = np.flatnonzero(chosen == 0)
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
     return words, np.searchsorted(at, offsets).astype(np.uint64), ids[at[escaped]]
@@ -130,52 +136,102 @@ def parse(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, null[:n].astype(bool), unpack(words, word_offsets, id_offsets, escapes), id_offsets.astype(np.int64)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: 1 for ASCII letters, 2 for ASCII punctuation and digits.
+_SORT = np.zeros(256, np.uint8)
+_SORT[33:127] = 2
+_SORT[97:123] = 1
+
+
+def parted(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) in lower case, with a space between each ASCII or Latin-1 letter and ASCII punctuation or a digit after it.
+
+    There a piece ends in every pattern that separable() admits.
+    """
+    low = _LOWER[raw]
+    sort = _SORT[low]
+    letter = sort == 1
+    # the second byte of a Latin-1 letter; 0x97 and 0xB7 are the signs of multiplication and division
+    letter[1:] |= (low[:-1] == 0xC3) & (low[1:] != 0x97) & (low[1:] != 0xB7)
+    ends = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(letter[:-1] & (sort[1:] == 2), out=ends[2:])
+    out = np.full(len(low) + int(ends[-1]), 0x20, np.uint8)
+    out[np.arange(len(low)) + ends[1:]] = low
+    return out, offsets + ends[offsets]
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that neither joins nor splits differently across ASCII white space.
 
     The text is cut at ASCII white space, and each distinct piece is given to the
-    library once; separable() tells whether a tokenizer allows that.
+    library once; separable() tells whether a tokenizer allows that. Such a tokenizer
+    lower-cases, so pieces meet in lower case, unless a combining mark or an added
+    token could make a difference.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, cached: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cached = separable(tokenizer_json)
+        self.cached = cached
         self.known: dict[bytes, bytes] = {}
-        # an added token that ends every piece lets one call encode many pieces
-        added = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not t[1].normalized]
-        self.mark_id, self.mark = (added[0][0], added[0][1].content.encode()) if added else (None, b"")
+        # a control character that is one id lets one call encode many pieces
+        mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
+        self.added = [t[1].content.encode() for t in self.tokenizer.get_added_tokens_decoder().items()]
 
     def learn(self, pieces: list[bytes]) -> None:
         """Remember the ids of pieces."""
-        if self.mark:
-            alone = [p for p in pieces if self.mark in p]
-            pieces = [p for p in pieces if self.mark not in p]
-        else:
-            alone, pieces = pieces, []
-        for piece in alone:
+        joint = [] if self.mark_id is None else [p for p in pieces if b"\x01" not in p]
+        for piece in set(pieces).difference(joint) if len(joint) < len(pieces) else ():
             self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for lo in range(0, len(pieces), 2000):
-            part = pieces[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([(self.mark.join(part) + self.mark).decode()], add_special_tokens=False)[0].ids, "<u4")
+        for lo in range(0, len(joint), 4000):
+            part = joint[lo : lo + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" \x01 ".join(part) + b" \x01").decode()], add_special_tokens=False)[0].ids, "<u4")
             data, start = ids.tobytes(), 0
             for piece, end in zip(part, (np.flatnonzero(ids == self.mark_id) * 4).tolist(), strict=True):
                 self.known[piece], start = data[start:end], end + 4
 
-    def encode(self, raw: bytes) -> np.ndarray:
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+        """The pieces of each text. Texts with combining marks or what may be an added token are left as they are."""
+        low, bounds = parted(raw, offsets)
+        data, plain = low.tobytes(), raw.tobytes()
+        cut = [data[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        marks = np.flatnonzero((raw == 0xCC) | (raw == 0xCD))
+        for added in {b"<|", *self.added}:
+            at = plain.find(added)
+            while at >= 0:
+                marks = np.append(marks, at)
+                at = plain.find(added, at + 1)
+        for i in np.unique(np.searchsorted(offsets, marks, side="right") - 1).tolist():
+            cut[i] = plain[offsets[i] : offsets[i + 1]].split()
+        return cut
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Little-endian uint32 ids of each text of a byte buffer."""
         if not self.cached:
-            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
-        pieces = raw.split()
-        if new := [p for p in set(pieces) if p not in self.known]:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(pieces))
-            self.learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+            return [np.array(self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, "<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        if not len(raw):
+            return [b""] * (len(offsets) - 1)
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        cut = self.pieces(raw, offsets)
+        self.learn(list(set().union(*cut).difference(known)))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+
+def worker_encoder(tokenizer_json: str, cached: bool) -> WordEncoder:
+    """One encoder for a Python worker, kept between its tasks."""
+    kept = worker_state()
+    key = hash(tokenizer_json)
+    if kept.get("encoder", (None, None))[0] != key:
+        kept["encoder"] = (key, WordEncoder(tokenizer_json, cached))
+    return kept["encoder"][1]
 
 
 def separable(tokenizer_json: str) -> bool:
@@ -206,7 +262,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
     """
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(tokenizer_json)
+    shared, cached = spark.sparkContext.broadcast(tokenizer_json), separable(tokenizer_json)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if parts is None:
         size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -214,14 +270,15 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def encode(batches):
-        encoder, part, k = WordEncoder(shared.value), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint32)
+        encoder, part, k = worker_encoder(shared.value, cached), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets):
-                each = [np.append(encoder.encode(raw[offsets[i] : offsets[i + 1]].tobytes()), end) for i in range(lo, hi)]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-                body = block(batch.column(0).slice(lo, hi - lo), np.concatenate(each), bounds)
+            for lo, hi in slices(offsets, 1 << 20):
+                each = encoder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in each])])
+                ids = np.frombuffer(b"".join([x + end for x in each]), "<u4")
+                body = block(batch.column(0).slice(lo, hi - lo), ids, bounds)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([k], pa.int32()), "n_docs": pa.array([hi - lo], pa.int64()), "n_ids": pa.array([int(bounds[-1])], pa.int64()), "body": pa.array([body], pa.binary())})
                 k += 1
 
