@@ -33,19 +33,22 @@ BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 
 MAGIC = b"AS8B"
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Bytes of text that one file part should get.
 PART_BYTES = 32 << 20
 
 
+#: Bits that the ids below 65,536 need.
+_NEED = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
+
+
 def pack(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, word offsets of the documents, escapes) of uint64 ids; document i has ids[offsets[i]:offsets[i+1]]."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.uint64), np.zeros(0, np.uint64)
     large = ids >> np.uint64(60) != 0
-    need = np.minimum(np.frexp(ids.astype(np.float64))[1], 60).astype(np.int8)
-    need[large] = 64
+    need = _NEED[ids] if int(ids.max()) < len(_NEED) else np.where(large, 64, np.minimum(np.frexp(ids.astype(np.float64))[1], 60)).astype(np.int8)
     lengths = np.diff(offsets)
     end = np.repeat(offsets[1:].astype(np.int32), lengths)
     place = np.arange(n, dtype=np.int32)
