@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import small_batches, stored, utf8
+from .common import mix64, slices, small_batches, stored, utf8, word_hashes, words
 
 #: Distinct fingerprints (those with the smallest hashes) that bit correlation and candidate counts are estimated on.
 SAMPLE = 4000
 #: Most partitions that are tried.
 MOST_PARTITIONS = 4
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: A bucket with more entries is linked through midpoints, without comparing its members.
 HOT_BUCKET = 256
 
@@ -82,8 +84,8 @@ def group_bits(sample: np.ndarray, partitions: int) -> list[int]:
     return masks
 
 
-def allocate(sample: np.ndarray, total: int, masks: list[int], most: int) -> tuple[float, list[int]]:
-    """(expected rows to handle per fingerprint, threshold of each partition; -1: not probed)."""
+def allocate(sample: np.ndarray, total: int, masks: list[int], most: int, row_cost: float = 1.0) -> tuple[float, list[int]]:
+    """(expected cost of a fingerprint, threshold of each partition; -1: not probed). A candidate costs 1, a row that is dealt out row_cost."""
     half = sample[: max(1, len(sample) // 2)][:1000], sample[len(sample) // 2 :][:1000]
     cost = []
     for mask in masks:
@@ -94,7 +96,7 @@ def allocate(sample: np.ndarray, total: int, masks: list[int], most: int) -> tup
             probes = sum(comb(width, k) for k in range(t + 1))
             # rows dealt out, and expected candidates; a share of none is taken as uniform bits give
             share = max(float((apart <= t).mean()), probes / 2.0**width)
-            row.append(probes + share * total)
+            row.append(probes * row_cost + share * total)
         cost.append(row)
     budget = most - len(masks) + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -109,12 +111,12 @@ def allocate(sample: np.ndarray, total: int, masks: list[int], most: int) -> tup
     return best[budget]
 
 
-def plan(sample: np.ndarray, total: int, most: int) -> tuple[list[int], list[int]]:
+def plan(sample: np.ndarray, total: int, most: int, partitions: int = MOST_PARTITIONS, row_cost: float = 1.0) -> tuple[list[int], list[int]]:
     """The cheapest (masks, thresholds) over numbers of partitions."""
     options = []
-    for m in range(1, min(MOST_PARTITIONS, most + 1) + 1):
+    for m in range(1, min(partitions, most + 1) + 1):
         masks = group_bits(sample, m)
-        cost, thresholds = allocate(sample, total, masks, most)
+        cost, thresholds = allocate(sample, total, masks, most, row_cost)
         options.append((cost, masks, thresholds))
     _, masks, thresholds = min(options)
     return masks, thresholds
@@ -251,10 +253,180 @@ def deduplicate(documents: DataFrame, shingle: int = 3, most: int = 2) -> DataFr
     # per fingerprint first: a hot class is then as many rows as it has fingerprints
     per_print = marks.groupBy("fingerprint").agg(F.min(order).alias("first"))
     kept = per_print.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias("_key"))
+    return keep_rows(documents, kept.withColumnRenamed("_key", "key"), marks)
+
+
+def keep_rows(documents: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents whose key is kept; of rows with equal ids and texts, one. marks has the key of every document."""
     repeats = marks.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = kept.join(repeats.withColumnRenamed("key", "_key"), "_key")
+    chosen = kept.join(repeats, "key").withColumnRenamed("key", "_key")
     keyed = documents.join(chosen, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) == F.col("_key"))
     names = [F.col(f"`{c}`") for c in documents.columns]
     single = keyed.where("_n = 1").select(*names)
     several = keyed.where("_n > 1").dropDuplicates(["_key"]).select(*names)
     return single.unionByName(several)
+
+
+# ------------------------------------------------------------------ copies by similarity
+#: Words in a shingle, and similarity from which two texts are copies of each other.
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+#: Bits by which fingerprints of distinct words may differ. Texts of that similarity differ by 4 to 5 on average.
+COPY_BITS = 8
+#: Words with fewer bytes are left out of those fingerprints, as every text has them, if enough others remain.
+LEAST_BYTES, LEAST_WORDS = 5, 8
+#: Bins of a similarity signature.
+BINS = 256
+#: Texts that are compared with each other in one place; larger buckets are split into blocks.
+BLOCK = 2048
+#: How many comparisons cost as much as moving a row.
+ROW_COST = 1000.0
+
+
+def signatures(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of the longer words, one-permutation signature of the five-word shingles) of each text of a buffer.
+
+    A signature has 8 bits of the smallest hash of each bin, 0 for an empty bin.
+    """
+    raw = _LOWER[raw]
+    start, end, doc = words(raw, offsets)
+    h, n = word_hashes(raw, start, end), len(offsets) - 1
+    long = end - start >= LEAST_BYTES
+    long |= (np.bincount(doc[long], minlength=n) < LEAST_WORDS)[doc]
+    marks, owner = h[long], doc[long]
+    # bits are counted for all documents at once, 2^14 words at a time
+    count = np.zeros((n, 64), np.int64)
+    for lo in range(0, len(marks), 1 << 14):
+        bits = np.unpackbits(marks[lo : lo + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        some = owner[lo : lo + (1 << 14)]
+        first = np.flatnonzero(np.diff(some, prepend=-1))
+        count[some[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    total = np.bincount(owner, minlength=n)
+    prints = np.packbits(2 * count > total[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+    shingle, last = h.copy(), doc
+    size = np.bincount(doc, minlength=n)
+    for k in range(1, COPY_WORDS):
+        # a text of fewer words has one shingle, of all its words
+        reach = (np.arange(len(h)) + k < len(h)) & (np.append(doc[k:], np.full(min(k, len(doc)), -1)) == doc)
+        shingle[reach] = mix64(shingle[reach] * np.uint64(0x9E3779B97F4A7C15) + h[k:][reach[: max(0, len(h) - k)]])
+    begins = np.concatenate([[0], np.cumsum(size)])[doc]
+    whole = np.arange(len(h)) - begins <= np.maximum(size[doc] - COPY_WORDS, 0)
+    shingle, last = mix64(shingle[whole]), doc[whole]
+    least = np.full(n * BINS, ~np.uint64(0))
+    np.minimum.at(least, last * BINS + (shingle >> np.uint64(56)).astype(np.int64), shingle)
+    full = np.bincount(last * BINS + (shingle >> np.uint64(56)).astype(np.int64), minlength=n * BINS) > 0
+    signs = np.where(full, (least % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.uint8(0))
+    return prints, signs.reshape(n, BINS)
+
+
+def similar(signs: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the estimated similarity of signatures i and j reaches the threshold; texts without words are alike."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 1 << 14):
+        a, b = signs[i[lo : lo + (1 << 14)]], signs[j[lo : lo + (1 << 14)]]
+        both, any_ = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+        out[lo : lo + (1 << 14)] = both >= threshold * any_
+    return out
+
+
+def copy_links(texts: DataFrame, most: int = COPY_BITS, threshold: float = COPY_SIMILARITY) -> DataFrame:
+    """(src, dst) that join similar texts of (id, fingerprint, sign) into their components.
+
+    Fingerprints within `most` bits are candidates, found as in links(); the signatures
+    verify them. A bucket of over BLOCK texts is split into blocks, and each two blocks
+    meet in a place of their own, so no pair is left out and no task holds a bucket.
+    Found pairs leave a task as a spanning forest.
+    """
+    spark = texts.sparkSession
+    total = texts.count()
+    if total < 2:
+        return spark.createDataFrame([], "src long, dst long")
+    drawn = texts.orderBy(F.xxhash64("id")).limit(SAMPLE).select("fingerprint").toArrow()["fingerprint"].to_numpy().view(np.uint64)
+    masks, thresholds = plan(np.ascontiguousarray(drawn), total, most, most + 1, ROW_COST)
+    small_batches(spark, 16)
+
+    def emit(batches):
+        for batch in batches:
+            fp = batch.column(1).to_numpy().view(np.uint64)
+            for part, (mask, t) in enumerate(zip(masks, thresholds, strict=True)):
+                if t < 0:
+                    continue
+                change = flips(mask, t)
+                value = ((fp & np.uint64(mask))[:, None] ^ change[None, :]).ravel()
+                row = np.repeat(np.arange(len(fp)), len(change))
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(value.view(np.int64)), pa.array(np.tile(change == 0, len(fp))), *taken.columns], names=["part", "value", "own", "id", "fingerprint", "sign"])
+
+    rows = texts.select("id", "fingerprint", "sign").mapInArrow(emit, "part int, value long, own boolean, id long, fingerprint long, sign binary")
+    large = stored(rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("part", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(large, ["part", "value"], "left").withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = dealt.groupBy("part", "value", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(F.struct("id", "fingerprint", "own", "sign")).alias("texts")).where("size(texts) > 1").select("texts")
+
+    def compare(batches):
+        for batch in batches:
+            column = batch.column(0)
+            bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            flat = column.flatten()
+            ids, fp, own = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64), flat.field(2).to_numpy(zero_copy_only=False)
+            signs = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                src, dst = similar_forest(ids[lo:hi], fp[lo:hi], own[lo:hi], signs[lo:hi], most, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return met.mapInArrow(compare, "src long, dst long").distinct()
+
+
+def similar_forest(ids: np.ndarray, fp: np.ndarray, own: np.ndarray, signs: np.ndarray, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar texts of a bucket, each of its components as a star around its smallest id."""
+    n = len(ids)
+    left, right = [], []
+    for lo in range(0, n, 512):
+        near = np.bitwise_count(fp[lo : lo + 512, None] ^ fp[None, :]) <= most
+        near &= own[lo : lo + 512, None] | own[None, :]
+        i, j = np.nonzero(near)
+        use = i + lo < j
+        i, j = i[use] + lo, j[use]
+        use = similar(signs, i, j, threshold)
+        left.append(i[use])
+        right.append(j[use])
+    i, j = np.concatenate(left), np.concatenate(right)
+    # labels are ids; the smallest spreads over the pairs
+    label = ids.copy()
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            break
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+    apart = label != ids
+    return label[apart], ids[apart]
+
+
+def drop_copies(documents: DataFrame, most: int = COPY_BITS, threshold: float = COPY_SIMILARITY) -> DataFrame:
+    """documents with one row of each class of copies, all columns as they were.
+
+    Copies are equal texts, and texts whose five-word shingles are similar to the
+    threshold (as 256 bins estimate it) and whose word fingerprints differ by `most`
+    bits at most, directly or through others. The row with the smallest doc_id stays,
+    nulls last; of equal ids the one with the smallest hash of its text. Nulls count as
+    empty; texts without words are one class. An empty table gives an empty result.
+    """
+    spark = documents.sparkSession
+    small_batches(spark)
+    text = F.coalesce("text", F.lit(""))
+
+    def scan(batches):
+        for batch in batches:
+            raw, offsets = utf8(batch.column(3))
+            for lo, hi in slices(offsets, 1 << 20):
+                prints, signs = signatures(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(prints.view(np.int64)), pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "key", "id", "fingerprint", "sign"])
+
+    marks = stored(documents.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text).alias("id"), text.alias("text")).mapInArrow(scan, "doc_id long, key long, id long, fingerprint long, sign binary"), "copies")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    texts = marks.groupBy("id").agg(F.min(order).alias("first"), F.min_by("fingerprint", "key").alias("fingerprint"), F.min_by("sign", "key").alias("sign"))
+    texts = stored(texts, "texts")
+    found = connected_components(copy_links(texts, most, threshold))
+    kept = texts.select("id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.c").alias("key"))
+    return keep_rows(documents, kept, marks)

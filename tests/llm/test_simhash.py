@@ -120,3 +120,51 @@ def test_nothing(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.deduplicate(frame(spark, [])).count() == 0
     assert simhash.near_duplicates(frame(spark, [(4, None), (3, "")])).select("component_id").distinct().collect()[0][0] == 3
+
+
+# ------------------------------------------------------------------ copies by similarity
+def shingles(text):
+    w = re.findall(SPACE, ascii_lower(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def edited(rng, words, share):
+    return " ".join("changed" + str(rng.integers(10**6)) if rng.random() < share else w for w in words)
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    base = [f"word{rng.integers(10**5)}" for _ in range(600)]
+    for share in (0.0, 0.01, 0.03, 0.1):
+        pair = [" ".join(base), edited(rng, base, share)]
+        raw = [t.encode() for t in pair]
+        prints, signs = simhash.signatures(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))
+        true = len(shingles(pair[0]) & shingles(pair[1])) / len(shingles(pair[0]) | shingles(pair[1]))
+        guess = ((signs[0] == signs[1]) & (signs[0] > 0)).sum() / ((signs > 0).any(axis=0)).sum()
+        assert abs(true - guess) < 0.08
+        assert share > 0.01 or int(prints[0] ^ prints[1]).bit_count() <= simhash.COPY_BITS
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_copies_go_and_others_stay(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for c in range(12):
+        base = [f"w{rng.integers(10**6)}x" for _ in range(300)]
+        rows += [(100 * c + 10, " ".join(base)), (100 * c + 11, " ".join(base)), (100 * c + 12, edited(rng, base, 0.006)), (100 * c + 13, edited(rng, base, 0.008))]
+        rows += [(100 * c + 20, edited(rng, base, 0.25))]  # far below the threshold
+        want += [100 * c + 10, 100 * c + 20]
+    df = frame(spark, rows + awkward()).withColumns({"sign": F.lit("mine"), "id": F.lit(1)})
+    kept = simhash.drop_copies(df)
+    assert kept.columns == df.columns
+    got = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id >= 10)
+    assert got == want
+    # equal texts of the awkward rows are one, blank ones too
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 10) == [1, 2, 5, 8, 9]
+
+
+def test_short_texts_and_nothing(spark):
+    assert simhash.drop_copies(frame(spark, [])).count() == 0
+    rows = [(1, "one two"), (2, "ONE  two"), (3, "one two three"), (4, "x"), (5, None), (6, " ")]
+    assert sorted(r.doc_id for r in simhash.drop_copies(frame(spark, rows)).collect()) == [1, 3, 4, 5]
