@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rates above this are drawn as a sum of equal parts, as exp(-rate) would vanish.
 LARGEST_RATE = 256.0
+#: Most sources whose table is broadcast.
+BROADCAST_SOURCES = 10_000
 #: Hexadecimal digits of MD5 behind a uniform number: 48 bits.
 DIGITS = 12
 
@@ -39,13 +41,14 @@ def shares(documents: DataFrame, targets: dict[str, float] | None, temperature:
 def copies(documents: DataFrame, targets: dict[str, float] | None = None, rows: int | None = None, temperature: float = 0.5, seed: int = 0) -> DataFrame:
     """documents with rate and copies (may be 0), in their order; `rows` is the wanted sum of copies, as many as documents by default.
 
-    The per-source table has one row a source and joins by source, so a hot source is
-    either met by a broadcast (chosen by Spark from the table's size) or split by the
-    adaptive skew join. A null source is a source like any other.
+    The per-source table has one row a source. Up to BROADCAST_SOURCES rows it is
+    broadcast, so a hot source stays where its documents are; beyond that the join is
+    left to Spark, whose adaptive join splits hot keys. A null source is a source like
+    any other.
     """
     documents = documents.drop("rate", "copies")
     weights = shares(documents, targets, temperature)
-    sums = weights.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n")).first()
+    sums = weights.agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")).first()
     wanted = float(rows if rows is not None else sums["n"] or 0) / (sums["weight"] or 1.0)
     rated = weights.select(F.col("source").alias("_source"), (F.col("weight") * F.lit(wanted) / F.col("n")).alias("rate"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int")
@@ -57,10 +60,12 @@ def copies(documents: DataFrame, targets: dict[str, float] | None = None, rows:
         F.expr("""transform(aggregate(sequence(1, _most), array(named_struct('p', exp(-_part), 'c', exp(-_part))),
             (s, j) -> concat(s, array(named_struct('p', element_at(s, -1).p * _part / j, 'c', element_at(s, -1).c + element_at(s, -1).p * _part / j)))), x -> x.c)"""),
     )
-    joined = documents.join(rated, F.col("source").eqNullSafe(F.col("_source")))
-    one = F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), F.lit(1))))
-    more = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda s, i: s + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), i))))
-    count = F.when(F.col("_parts") == 1, one).otherwise(more)
+    # a row of the table holds some 80 numbers, so the bound is about 10 MB
+    small = F.broadcast(rated) if sums["sources"] <= BROADCAST_SOURCES else rated
+    joined = documents.join(small, F.col("source").eqNullSafe(F.col("_source")))
+    # the numbers are an array first, so that each is hashed once and not for each step of the distribution
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.lit(seed), F.col("doc_id"), i))
+    count = F.aggregate(drawn, F.lit(0), lambda s, u: s + F.size(F.filter("_cdf", lambda c: c <= u)))
     return joined.withColumn("copies", count).select(*[F.col(f"`{c}`") for c in documents.columns], "rate", "copies")
 
 
