@@ -1,8 +1,11 @@
 """Connected components of an edge table, by min-label hooking and pointer jumping."""
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,15 +15,16 @@ def _cut(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_folder(spark) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+def shared_base(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one, deleted at exit, only where none is set."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        import tempfile
-
         base = tempfile.mkdtemp(prefix="amalgam-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/amalgam-components-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -32,7 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     the edges each round; no pairs within a component are made. Null ends and
     self-loops only name their nodes. An empty edge table gives no rows.
     """
-    folder = shared_folder(edges.sparkSession)
+    folder = f"{shared_base(edges.sparkSession)}/amalgam-components-{uuid.uuid4().hex}"
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     links = _cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder)
     # the first round needs no join: each node's label is its smallest neighbour
