@@ -11,27 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import shared_base
+
 #: Rows in an Arrow batch. Texts are sent whole, so a batch is kept small: 256 texts
 #: of 100 kB are 25 MB.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="amalgam-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
-
-
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/amalgam-{tag}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/amalgam-{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
