@@ -18,6 +18,7 @@ Nothing is compared pair by pair, and hashes spread hot strings evenly over rang
 """
 
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from .common import mix64, small_batches, stored, utf8
 from .lm import squeeze, stretch
 
 #: Bytes of a string that counts as repeated, and bytes of an anchor.
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 #: Text bytes of a chunk; candidate bytes of a shard.
-CHUNK_BYTES, SHARD_BYTES = 12 << 20, 3 << 20
+CHUNK_BYTES, SHARD_BYTES = 6 << 20, 3 << 19
 #: Bytes that are hashed at a time.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def lanes(raw: np.ndarray) -> np.ndarray:
@@ -47,31 +48,34 @@ def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of the `length` bytes from each position on; the last ones, which lack bytes, mean nothing."""
     eight = lanes(raw)
     h = np.full(len(raw), np.uint64(0x243F6A8885A308D3 ^ length))
-    for at in [*range(0, length - 7, 8), length - 8]:
-        shifted = np.zeros(len(raw), np.uint64)
-        shifted[: max(0, len(raw) - at)] = eight[at:]
-        h = mix64(h ^ shifted)
-    return h
+    spare = np.empty(len(raw), np.uint64)
+    for at in sorted({*range(0, length - 7, 8), length - 8}):
+        h[: max(0, len(raw) - at)] ^= eight[at:]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        np.right_shift(h, np.uint64(29), out=spare)
+        h ^= spare
+    return mix64(h)
 
 
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over x[i : i + width]; shorter at the end."""
     out, span = x.copy(), 1
     while span < width:
-        step = min(span, width - span)
+        step = min(span, width - span, len(out))
+        if not step:
+            break
         out[: len(out) - step] = pick(out[: len(out) - step], out[step:])
         span += step
     return out
 
 
-def anchors(raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes with the last bit clear, positions of anchors); room tells which windows lie within a document."""
-    h = string_hashes(raw, ANCHOR) & ~np.uint64(1)
-    width = LENGTH - ANCHOR + 1
-    least = np.where(room, slide(h, width, np.minimum), np.uint64(0))
-    # the windows over position i start at i - width + 1 to i
-    over = slide(least[::-1], width, np.maximum)[::-1]
-    return h, np.flatnonzero((over == h) & (h > 0))
+def anchors(raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the runs of windows with one anchor; room tells which windows lie within a document."""
+    least = np.where(room, slide(string_hashes(raw, ANCHOR) | np.uint64(1), LENGTH - ANCHOR + 1, np.minimum), np.uint64(0))
+    edge = np.flatnonzero(np.diff(least, prepend=np.uint64(0), append=np.uint64(0)))
+    start, end = edge[:-1], edge[1:]
+    full = least[start] > 0
+    return start[full], end[full], least[start[full]]
 
 
 def groups(offsets: np.ndarray, most: int = STEP_BYTES):
@@ -93,41 +97,42 @@ def anchor_keys(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Chunk:
-    """The texts of a chunk, without those that an equal text of a smaller id precedes."""
+    """The texts of a chunk, in an order that does not depend on how they came, and the anchors of those that no equal text of a smaller id precedes."""
 
     def __init__(self, table: pa.Table):
-        ids = np.array(table["doc_id"].to_pylist(), dtype=object)
-        texts = [t.encode() for t in table["text"].to_pylist()]
-        # rows in an order that does not depend on how they came
-        self.order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids, self.texts = [ids[i] for i in self.order], [texts[i] for i in self.order]
+        ids, texts = table["doc_id"].to_pylist(), table["text"].to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         first: dict[bytes, int] = {}
         self.copy = []
         for i, t in zip(self.ids, self.texts, strict=True):
             f = first.setdefault(t, i)
             self.copy.append(i is not None and f is not None and f < i)
-        self.rest = [k for k, (c, i) in enumerate(zip(self.copy, self.ids, strict=True)) if not c and i is not None]
-        self.offsets = np.concatenate([[0], np.cumsum([len(self.texts[k]) for k in self.rest], dtype=np.int64)])
-
-    def parts(self):
-        """(first of rest, bytes, offsets) of groups of documents."""
-        for lo, hi in groups(self.offsets):
-            yield lo, np.frombuffer(b"".join(self.texts[k] for k in self.rest[lo:hi]), np.uint8), self.offsets[lo : hi + 1] - self.offsets[lo]
-
-    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct anchor keys, whether two documents of the chunk have it)."""
-        found = []
-        for lo, raw, offsets in self.parts():
-            h, at = anchors(raw, windows_inside(offsets))
-            doc = np.searchsorted(offsets, at, side="right") - 1 + lo
-            found.append((anchor_keys(h[at], bits), doc))
-        key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)])
-        doc = np.concatenate([np.zeros(0, np.int64), *(d for _, d in found)])
+        self.rest = np.array([k for k, (c, i) in enumerate(zip(self.copy, self.ids, strict=True)) if not c and i is not None], np.int64)
+
+    def windows(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, end, key) of the runs of windows with one anchor; positions count from the document's start."""
+        out = []
+        offsets = np.concatenate([[0], np.cumsum([len(self.texts[k]) for k in self.rest], dtype=np.int64)])
+        for lo, hi in groups(offsets):
+            raw, bounds = np.frombuffer(b"".join(self.texts[k] for k in self.rest[lo:hi]), np.uint8), offsets[lo : hi + 1] - offsets[lo]
+            start, end, h = anchors(raw, windows_inside(bounds))
+            # equal neighbours may make a run go on into the next document
+            doc = np.searchsorted(bounds, start, side="right") - 1
+            last = np.searchsorted(bounds, end - 1, side="right") - 1
+            out.append((self.rest[lo + doc], start - bounds[doc], end - bounds[doc], anchor_keys(h, bits)))
+            assert (doc == last).all()
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.astype(np.uint64))
+
+    @staticmethod
+    def keys(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct keys, place of each key among them, whether two documents of the chunk have it)."""
         distinct, place = np.unique(key, return_inverse=True)
-        low, high = np.full(len(distinct), len(self.rest)), np.full(len(distinct), -1)
+        low, high = np.full(len(distinct), 1 << 60), np.full(len(distinct), -1)
         np.minimum.at(low, place, doc)
         np.maximum.at(high, place, doc)
-        return distinct, high > low
+        return distinct, place, high > low
 
 
 def cut(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
@@ -145,7 +150,8 @@ def ask_anchors(dealt: DataFrame, ranges: int, bits: int) -> DataFrame:
     schema = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, shared = Chunk(table).keys(bits)
+        doc, _, _, key = Chunk(table).windows(bits)
+        keys, _, shared = Chunk.keys(doc, key)
         chunk, bounds = table["chunk"][0].as_py(), cut(keys, ranges, bits)
         rows = [(r, chunk, squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(np.packbits(shared[a:b]))) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
@@ -178,42 +184,34 @@ def read_bits(answer: pa.Table, keys: np.ndarray, ranges: int, bits: int) -> np.
 
 
 def candidates(dealt: DataFrame, answers: DataFrame, ranges: int, bits: int) -> DataFrame:
-    """(doc_id, n_bytes, sha, text, starts, ends): text and candidate pieces of documents that have any; for others the result itself, text null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("copy", pa.bool_()), ("sha", pa.string()), ("text", pa.binary()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    """(chunk, k, doc_id, starts, lengths, data): the pieces of a chunk's k-th document whose windows may occur elsewhere, one after another in data."""
+    schema = pa.schema([("chunk", pa.int32()), ("k", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("data", pa.binary())])
 
     def find(key, table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
         chunk = Chunk(table)
-        keys, _ = chunk.keys(bits)
-        shared = read_bits(answer, keys, ranges, bits)
-        pieces: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for lo, raw, offsets in chunk.parts():
-            room = windows_inside(offsets)
-            h, at = anchors(raw, room)
-            # the last bit of a hash tells that its anchor is nobody else's
-            h |= np.uint64(1)
-            h[at[shared[np.searchsorted(keys, anchor_keys(h[at] ^ np.uint64(1), bits))]]] ^= np.uint64(1)
-            start = np.flatnonzero(room & (slide(h, LENGTH - ANCHOR + 1, np.minimum) & np.uint64(1) == 0))
-            if not len(start):
-                continue
-            doc = np.searchsorted(offsets, start, side="right") - 1
-            new = np.ones(len(start), bool)
-            new[1:] = (np.diff(start) > LENGTH) | (np.diff(doc) > 0)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(start)) - 1
-            for d in np.unique(doc[first]):
-                mine = doc[first] == d
-                pieces[chunk.rest[lo + d]] = (start[first[mine]] - offsets[d], start[last[mine]] - offsets[d] + LENGTH)
+        doc, start, end, key_of = chunk.windows(bits)
+        keys, place, _ = Chunk.keys(doc, key_of)
+        live = read_bits(answer, keys, ranges, bits)[place]
+        doc, start, end = doc[live], start[live], end[live] - 1 + LENGTH
+        if not len(doc):
+            return schema.empty_table()
+        # runs come in order of documents and places; pieces that touch become one
+        new = np.ones(len(doc), bool)
+        new[1:] = (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        doc, start, length = doc[first], start[first], end[np.append(first[1:], len(end)) - 1] - start[first]
         rows = []
-        for k, (i, t, c) in enumerate(zip(chunk.ids, chunk.texts, chunk.copy, strict=True)):
-            has = k in pieces
-            gone = c and len(t) >= LENGTH
-            rows.append((i, len(t), c, None if has else hashlib.sha256(b"" if gone else t).hexdigest(), t if has else None, *(p.astype(np.int32) for p in pieces.get(k, (np.zeros(0), np.zeros(0))))))
+        number = table["chunk"][0].as_py()
+        bounds = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            k = int(doc[a])
+            text = chunk.texts[k]
+            rows.append((number, k, chunk.ids[k], start[a:b], length[a:b], b"".join([text[x : x + n] for x, n in zip(start[a:b].tolist(), length[a:b].tolist(), strict=True)])))
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    kinds = "doc_id long, n_bytes long, copy boolean, sha string, text binary, starts array<int>, ends array<int>"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(find, kinds)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(find, "chunk int, k int, doc_id long, starts array<int>, lengths array<int>, data binary")
 
 
 def suffix_array(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,12 +229,14 @@ def suffix_array(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.
         sym = padded[j : j + n]
         key |= np.where(alive, sym, np.uint64(0)) << np.uint64(9 * (6 - j))
         alive &= sym > 0
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
+    # ends of pieces sort first and are told apart by their place at once
+    ends = int((symbols == 0).sum())
+    sa[:ends].sort()
     ordered = key[sa]
     start = np.ones(n, bool)
     start[1:] = ordered[1:] != ordered[:-1]
-    # ends of pieces sort first and are told apart by their place at once
-    start[: int((symbols == 0).sum())] = True
+    start[:ends] = True
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
     span = 7
@@ -247,7 +247,7 @@ def suffix_array(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.
             return sa, rank
         who = sa[open_]
         far = rank[np.minimum(who + span, stop[who])]
-        order = np.argsort((rank[who].astype(np.uint64) << np.uint64(32)) | far.astype(np.uint64), kind="stable")
+        order = np.argsort((rank[who].astype(np.uint64) << np.uint64(32)) | far.astype(np.uint64))
         group, who, far = rank[who][order], who[order], far[order]
         sa[open_] = who
         new = np.ones(len(open_), bool)
@@ -294,19 +294,19 @@ class Shard:
     """The candidate pieces of a shard, one after another, each followed by an end mark."""
 
     def __init__(self, table: pa.Table):
-        rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["starts"].to_pylist(), table["ends"].to_pylist(), strict=True))
-        self.rows = rows
-        self.pieces = [(k, a, b) for k, r in enumerate(rows) for a, b in zip(r[2], r[3], strict=True)]
-        raw = np.frombuffer(b"".join(rows[k][1][a:b] + b"\0" for k, a, b in self.pieces), np.uint8)
-        lengths = np.array([b - a for _, a, b in self.pieces], np.int64)
+        columns = [table[c].to_pylist() for c in ("doc_id", "chunk", "k", "starts", "lengths", "data")]
+        self.rows = sorted(zip(*columns, strict=True))
+        self.pieces = [(r, a) for r, row in enumerate(self.rows) for a in row[3]]
+        lengths = np.array([n for row in self.rows for n in row[4]], np.int64)
         self.first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        self.raw = raw
+        # an end mark after each piece
+        self.raw = np.insert(np.frombuffer(b"".join(row[5] for row in self.rows), np.uint8), np.cumsum(lengths), 0)
         self.stop = np.repeat(self.first[1:] - 1, lengths + 1)
-        self.symbols = raw.astype(np.uint16) + 1
+        self.symbols = self.raw.astype(np.uint16) + 1
         self.symbols[self.first[1:] - 1] = 0
-        self.row = np.repeat(np.array([k for k, _, _ in self.pieces], np.int64), lengths + 1)
-        self.doc = np.array([r[0] for r in rows], np.int64)[self.row]
-        self.room = np.arange(len(raw)) + LENGTH <= self.stop
+        row = np.repeat(np.array([r for r, _ in self.pieces], np.int64), lengths + 1)
+        self.doc = np.array([row[0] for row in self.rows], np.int64)[row]
+        self.room = np.arange(len(self.raw)) + LENGTH <= self.stop
 
     def hashes(self) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint64), *(string_hashes(self.raw[a : a + STEP_BYTES + LENGTH], LENGTH)[:STEP_BYTES] for a in range(0, len(self.raw), STEP_BYTES))])
@@ -325,96 +325,103 @@ class Shard:
 
 
 def in_shards(found: DataFrame, ranges: int) -> DataFrame:
-    """(range, shard, keys): sorted hashes of each shard's distinct strings; in range -1 the positions that the shard itself covers."""
-    schema = pa.schema([("range", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())])
+    """(place, shard, blob): in places from 0 on, the key ranges, sorted hashes of each shard's distinct strings; below 0, at a place of its own, the positions that the shard itself covers."""
+    schema = pa.schema([("place", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())])
 
     def sort(table: pa.Table) -> pa.Table:
         shard = Shard(table)
         covered, heads = shard.local()
         keys = np.unique(shard.hashes()[heads])
         number, bounds = table["shard"][0].as_py(), cut(keys, ranges, 64)
-        rows = [(-1, number, squeeze(np.packbits(covered)))]
+        rows = [(-1 - number, number, squeeze(np.packbits(covered)))]
         rows += [(r, number, squeeze(np.diff(keys[a:b], prepend=np.uint64(0)))) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return found.groupBy("shard").applyInArrow(sort, "range int, shard int, blob binary")
+    return found.groupBy("shard").applyInArrow(sort, "place int, shard int, blob binary")
 
 
 def merge_shards(sorted_: DataFrame) -> DataFrame:
-    """(shard, range, bits): for each string of a shard, whether a shard before it has it.
+    """(shard, range, bits): for each string of a shard, whether a shard before it has it; in range -1, the shard's own positions.
 
-    The lists join the merged one in the order of their shards, each looked up in it by
-    binary search.
+    The lists of a range become one sorted list of strings with the first shard of
+    each, in which every shard looks its own up by binary search.
     """
 
     def merge(table: pa.Table) -> pa.Table:
-        lists = sorted(((s, np.cumsum(stretch(b.as_py(), "<u8"), dtype=np.uint64)) for s, b in zip(table["shard"].to_pylist(), table["blob"], strict=True)), key=lambda x: x[0])
-        merged, late, out = np.zeros(0, np.uint64), [], []
-        for _, keys in lists:
-            hit = np.zeros(len(keys), bool)
-            # recent lists wait unmerged until they are as long as the merged one
-            for known in [merged, *late]:
-                at = np.searchsorted(known, keys)
-                hit |= known[np.minimum(at, len(known) - 1)] == keys if len(known) else False
-            out.append(squeeze(np.packbits(hit)))
-            late.append(keys[~hit])
-            if sum(map(len, late)) >= len(merged) or len(late) >= 16:
-                merged, late = np.sort(np.concatenate([merged, *late])), []
-        shard = table["shard"].to_pylist()
-        return pa.table([pa.array(sorted(shard), pa.int32()), pa.array([table["range"][0].as_py()] * len(shard), pa.int32()), pa.array(out, pa.binary())], names=["shard", "range", "bits"])
-
-    return sorted_.where("range >= 0").groupBy("range").applyInArrow(merge, "shard int, range int, bits binary")
-
-
-def results(found: DataFrame, sorted_: DataFrame, merged: DataFrame, ranges: int, with_text: bool) -> DataFrame:
-    """doc_id, n_bytes, starts and ends of removed runs, sha of what is left, and, if wanted, what is left."""
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("sha", pa.string()), ("kept", pa.binary())]
-    schema = pa.schema(fields)
-    both = sorted_.where("range < 0").select("shard", "range", F.col("blob").alias("bits")).unionByName(merged)
+        place = table["place"][0].as_py()
+        if place < 0:
+            return pa.table([table["shard"], pa.array([-1] * table.num_rows, pa.int32()), table["blob"]], names=["shard", "range", "bits"])
+        table = table.sort_by("shard")
+        shards = table["shard"].to_numpy()
+        lists = [np.cumsum(stretch(b.as_py(), "<u8"), dtype=np.uint64) for b in table["blob"]]
+        merged, at = np.unique(np.concatenate(lists), return_index=True)
+        first = np.repeat(shards, [len(x) for x in lists])[at]
+        bits = [squeeze(np.packbits(first[np.searchsorted(merged, keys)] < shard)) for shard, keys in zip(shards, lists, strict=True)]
+        return pa.table([table["shard"], pa.array([place] * len(bits), pa.int32()), pa.array(bits, pa.binary())], names=["shard", "range", "bits"])
+
+    return sorted_.groupBy("place").applyInArrow(merge, "shard int, range int, bits binary")
+
+
+def removed_runs(found: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
+    """(chunk, k, starts, ends): the byte runs that a chunk's k-th document loses; documents that lose nothing are left out."""
+    schema = pa.schema([("chunk", pa.int32()), ("k", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
     def apply(key, table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
         shard = Shard(table)
-        own = [r.as_py() for r in answer["range"]].index(-1)
-        covered = np.unpackbits(stretch(answer["bits"][own].as_py(), "u1"), count=len(shard.raw)).astype(bool)
-        h = shard.hashes()
-        keys = np.unique(h[shard.room])
-        earlier = read_bits(answer.filter(pa.array([r != -1 for r in answer["range"].to_pylist()])), keys, ranges, 64)
-        covered |= shard.room & earlier[np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))] if len(keys) else False
-        change = np.zeros(len(h) + LENGTH + 1, np.int32)
+        place = answer["range"].to_pylist()
+        covered = np.unpackbits(stretch(answer["bits"][place.index(-1)].as_py(), "u1"), count=len(shard.raw)).astype(bool)
+        keys, at = np.unique(shard.hashes()[shard.room], return_inverse=True)
+        earlier = read_bits(answer.filter(pa.array([r != -1 for r in place])), keys, ranges, 64)
+        covered[shard.room] |= earlier[at]
+        change = np.zeros(len(covered) + LENGTH + 1, np.int32)
         at = np.flatnonzero(covered)
         change[at] += 1
         change[at + LENGTH] -= 1
-        gone = np.cumsum(change)[: len(h)] > 0
-        edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+        edge = np.diff((np.cumsum(change)[: len(covered)] > 0).astype(np.int8), prepend=0, append=0)
         begin, finish = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         piece = np.searchsorted(shard.first, begin, side="right") - 1
-        spans: dict[int, list[tuple[int, int]]] = {}
+        spans: dict[int, tuple[list, list]] = {}
         for p, a, b in zip(piece.tolist(), begin.tolist(), finish.tolist(), strict=True):
-            k, offset, _ = shard.pieces[p]
+            row, offset = shard.pieces[p]
             shift = offset - int(shard.first[p])
-            spans.setdefault(k, []).append((a + shift, b + shift))
+            mine = spans.setdefault(row, ([], []))
+            mine[0].append(a + shift)
+            mine[1].append(b + shift)
+        rows = [(shard.rows[r][1], shard.rows[r][2], *x) for r, x in spans.items()]
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+    return found.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(apply, "chunk int, k int, starts array<int>, ends array<int>")
+
+
+def cut_texts(dealt: DataFrame, removed: DataFrame, with_text: bool) -> DataFrame:
+    """doc_id, n_bytes, starts and ends of removed runs, sha of what is left, and, if wanted, what is left."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("sha", pa.string()), ("kept", pa.binary())])
+
+    def apply(key, table: pa.Table, runs: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        chunk = Chunk(table)
+        lost = {k: (a, b) for k, a, b in zip(runs["k"].to_pylist(), runs["starts"].to_pylist(), runs["ends"].to_pylist(), strict=True)}
         rows = []
-        for k, (doc_id, text, _, _) in enumerate(shard.rows):
-            mine = spans.get(k, [])
-            left, at = [], 0
-            for a, b in mine:
-                left.append(text[at:a])
-                at = b
-            kept = b"".join([*left, text[at:]])
-            rows.append((doc_id, len(text), [a for a, _ in mine], [b for _, b in mine], hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        for k, (doc_id, text, copy) in enumerate(zip(chunk.ids, chunk.texts, chunk.copy, strict=True)):
+            starts, ends = ([0], [len(text)]) if copy and len(text) >= LENGTH else lost.get(k, ([], []))
+            kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True)) if starts else text
+            rows.append((doc_id, len(text), starts, ends, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return found.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(apply, "doc_id long, n_bytes long, starts array<int>, ends array<int>, sha string, kept binary")
+    return dealt.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_bytes long, starts array<int>, ends array<int>, sha string, kept binary")
 
 
 def release(spark) -> None:
     """Let Spark delete shuffle files that nothing refers to any more."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_strings(documents: DataFrame, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -433,37 +440,33 @@ def repeated_strings(documents: DataFrame, with_text: bool = False, chunk_bytes:
     total = sizes.agg(F.sum(F.col("rows") * F.col("n"))).first()[0] or 0
     # texts whose copies would fill half a chunk: at most two for each chunk
     hot = sizes.where(F.col("rows") * F.col("n") > chunk_bytes // 2).where("rows > 1").select("h", F.col("c").alias("_c"), F.col("n").alias("_n"), "first")
+    hot = stored(hot, "hot")
+    # Spark broadcasts the stored table if it is small, and else splits what is hot
     marked = hashed.join(hot, "h", "left")
     is_copy = F.coalesce((F.crc32("text") == F.col("_c")) & (F.octet_length("text") == F.col("_n")) & (F.col("doc_id") > F.col("first")), F.lit(False))
     chunks = max(1, -(-total // chunk_bytes))
-    dealt = marked.where(~is_copy).select("doc_id", "text", F.pmod("h", F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = marked.where(~is_copy).select("doc_id", F.col("text").cast("binary").alias("text"), F.pmod("h", F.lit(chunks)).cast("int").alias("chunk"))
     whole = marked.where(is_copy).select("doc_id", F.col("_n").alias("n_bytes"))
     bits = key_bits(total)
     answers = stored(answer_anchors(ask_anchors(dealt, chunks, bits)), "anchors")
     release(spark)
     found = stored(candidates(dealt, answers, chunks, bits), "candidates")
     release(spark)
-    with_pieces = found.where("text IS NOT NULL")
-    size, rows = with_pieces.agg(F.sum(F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (s, x) -> s + x)")), F.count(F.lit(1))).first()
+    size, rows = found.agg(F.sum(F.length("data").cast("long")), F.count(F.lit(1))).first()
     shards = max(1, -(-(size or 0) // shard_bytes))
     bounds = []
-    if rows:
-        shares = ", ".join(str(k / shards) for k in range(1, shards)) or "0.5"
-        bounds = sorted(set(with_pieces.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {100 * shards})")).first()[0]))
-    number = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    sharded = with_pieces.select("doc_id", "text", "starts", "ends", number.alias("shard"))
-    sorted_ = stored(in_shards(sharded, shards), "shards")
+    if rows and shards > 1:
+        shares = ", ".join(str(k / shards) for k in range(1, shards))
+        bounds = sorted(set(found.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {100 * shards})")).first()[0]))
+    sharded = found.withColumn("shard", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
+    merged = stored(merge_shards(in_shards(sharded, shards)), "shards")
+    release(spark)
+    removed = stored(removed_runs(sharded, merged, shards), "removed")
     release(spark)
-    merged = merge_shards(sorted_)
-    done = results(sharded, sorted_, merged, shards, with_text)
-    kept_text = [F.lit(None).cast("binary").alias("kept")]
-    # copies go as a whole, other documents without pieces stay
-    full = F.when(F.col("copy") & (F.col("n_bytes") >= LENGTH), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    ends = F.when(F.col("copy") & (F.col("n_bytes") >= LENGTH), F.array(F.col("n_bytes").cast("int"))).otherwise(F.array().cast("array<int>"))
-    rest = found.where("text IS NULL").select("doc_id", "n_bytes", full.alias("starts"), ends.alias("ends"), "sha", *kept_text)
+    done = cut_texts(dealt, removed, with_text)
     empty = hashlib.sha256(b"").hexdigest()
-    hot_rows = whole.select("doc_id", "n_bytes", F.array(F.lit(0)).alias("starts"), F.array(F.col("n_bytes").cast("int")).alias("ends"), F.lit(empty).alias("sha"), *kept_text)
-    out = done.unionByName(rest).unionByName(hot_rows)
+    copies = whole.select("doc_id", "n_bytes", F.array(F.lit(0)).alias("starts"), F.array(F.col("n_bytes").cast("int")).alias("ends"), F.lit(empty).alias("sha"), F.lit(None).cast("binary").alias("kept"))
+    out = done.unionByName(copies)
     return out if with_text else out.drop("kept")
 
 
