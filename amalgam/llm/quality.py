@@ -27,7 +27,7 @@ STEP_BYTES = 1 << 19
 #: Most labelled rows that a fit uses; those with the smallest hash of their id.
 TRAIN_ROWS = 4000
 #: A document goes if its low-quality or toxic probability reaches these.
-LOW_QUALITY_AT, TOXIC_AT = 0.5, 0.5
+LOW_QUALITY_AT, TOXIC_AT = 0.5, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
