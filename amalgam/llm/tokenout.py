@@ -33,7 +33,7 @@ BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 
 MAGIC = b"AS8B"
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: Bytes of text that one file part should get.
 PART_BYTES = 32 << 20
 
@@ -173,7 +173,7 @@ class WordEncoder:
     token could make a difference.
     """
 
-    def __init__(self, tokenizer_json: str, cached: bool):
+    def __init__(self, tokenizer_json: str, cached: bool, end_id: int = 0):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,6 +181,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.cached = cached
+        #: How ids are held: two bytes are enough for most vocabularies.
+        self.kind = "<u2" if max(end_id, *self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
         # a control character that is one id lets one call encode many pieces
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
@@ -191,13 +193,14 @@ class WordEncoder:
         """Remember the ids of pieces."""
         joint = [] if self.mark_id is None else [p for p in pieces if b"\x01" not in p]
         for piece in set(pieces).difference(joint) if len(joint) < len(pieces) else ():
-            self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        size = np.dtype(self.kind).itemsize
         for lo in range(0, len(joint), 4000):
             part = joint[lo : lo + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b" \x01 ".join(part) + b" \x01").decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" \x01 ".join(part) + b" \x01").decode()], add_special_tokens=False)[0].ids, self.kind)
             data, start = ids.tobytes(), 0
-            for piece, end in zip(part, (np.flatnonzero(ids == self.mark_id) * 4).tolist(), strict=True):
-                self.known[piece], start = data[start:end], end + 4
+            for piece, end in zip(part, (np.flatnonzero(ids == self.mark_id) * size).tolist(), strict=True):
+                self.known[piece], start = data[start:end], end + size
 
     def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
         """The pieces of each text. Texts with combining marks or what may be an added token are left as they are."""
@@ -215,9 +218,9 @@ class WordEncoder:
         return cut
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Little-endian uint32 ids of each text of a byte buffer."""
+        """Ids of each text of a byte buffer, little-endian in kind."""
         if not self.cached:
-            return [np.array(self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, "<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return [np.array(self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, self.kind).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         if not len(raw):
             return [b""] * (len(offsets) - 1)
         known = self.known
@@ -228,12 +231,12 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
-def worker_encoder(tokenizer_json: str, cached: bool) -> WordEncoder:
+def worker_encoder(tokenizer_json: str, cached: bool, end_id: int) -> WordEncoder:
     """One encoder for a Python worker, kept between its tasks."""
     kept = worker_state()
-    key = hash(tokenizer_json)
+    key = hash((tokenizer_json, end_id))
     if kept.get("encoder", (None, None))[0] != key:
-        kept["encoder"] = (key, WordEncoder(tokenizer_json, cached))
+        kept["encoder"] = (key, WordEncoder(tokenizer_json, cached, end_id))
     return kept["encoder"][1]
 
 
@@ -273,19 +276,20 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def encode(batches):
-        encoder, part, k = worker_encoder(shared.value, cached), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, part, before = worker_encoder(shared.value, cached, end_id), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for lo, hi in slices(offsets, 1 << 20):
                 each = encoder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                bounds = np.concatenate([[0], np.cumsum([len(x) // 4 + 1 for x in each])])
-                ids = np.frombuffer(b"".join([x + end for x in each]), "<u4")
+                bounds = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in each])])
+                ids = np.frombuffer(b"".join([x + end for x in each]), encoder.kind)
                 body = block(batch.column(0).slice(lo, hi - lo), ids, bounds)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([k], pa.int32()), "n_docs": pa.array([hi - lo], pa.int64()), "n_ids": pa.array([int(bounds[-1])], pa.int64()), "body": pa.array([body], pa.binary())})
-                k += 1
+                n = int(bounds[-1])
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([hi - lo], pa.int64()), "n_ids": pa.array([n], pa.int64()), "body": pa.array([body], pa.binary())})
+                before += n
 
-    blocks = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(encode, "part int, block int, n_docs long, n_ids long, body binary")
+    blocks = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(encode, "part int, before long, n_docs long, n_ids long, body binary")
     blocks.write.parquet(path)
     return path
 
@@ -293,17 +297,18 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if wanted, ids of the files below path.
 
-    A part's first start comes from the sums of the parts before it: one row for each
-    part is all that the driver sees.
+    A block knows the ids of its part before it, and a part's first start is the sum of
+    the parts before it. One row for each part (32 MB of text) is all that the driver
+    sees and broadcasts: 12 bytes each, so 100 TB make 40 MB.
     """
     blocks = spark.read.parquet(path)
-    heads = blocks.select("part", "block", "n_ids").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("block", "n_ids"))).alias("blocks"), F.sum("n_ids").alias("n")).select("part", "n", F.expr("transform(blocks, b -> b.n_ids)").alias("sizes"))
-    totals = {r["part"]: r["n"] for r in heads.select("part", "n").collect()}
-    first, at = {}, 0
+    totals = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    first, at = [], 0
     for part in sorted(totals):
-        first[part], at = at, at + totals[part]
-    base = spark.createDataFrame(sorted(first.items()), "part int, first long")
-    placed = blocks.join(heads.join(base, "part").select("part", "first", "sizes"), "part").select("body", (F.col("first") + F.expr("aggregate(slice(sizes, 1, block), 0L, (s, x) -> s + x)")).alias("start"))
+        first.append((part, at))
+        at += totals[part]
+    base = spark.createDataFrame(first, "part int, first long")
+    placed = blocks.join(F.broadcast(base), "part").select("body", (F.col("first") + F.col("before")).alias("start"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def decode(batches):
