@@ -27,6 +27,11 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. What is built on it plans by itself, and nothing below it runs twice."""
+    return _cut(df, f"{shared_base(df.sparkSession)}/amalgam-table-{uuid.uuid4().hex}")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node of edges; component is the smallest node reachable.
 

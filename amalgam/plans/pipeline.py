@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import written
 from ..operators.identity import resolve_identities
 from ..operators.normalise import normalise_claims, normalise_hints
 from ..operators.resolve import profiles
@@ -25,7 +26,11 @@ class Run:
     results: DataFrame
 
     def warnings(self) -> list[str]:
-        """Files of unknown type, unreadable files, and files without records, in order of their paths."""
+        """warning_rows() in order of their paths."""
+        return [r["warning"] for r in self.warning_rows().orderBy("path").collect()]
+
+    def warning_rows(self) -> DataFrame:
+        """(path, warning) of files of unknown type, unreadable files, and files without records."""
         found = self.records.groupBy("path").count()
         left = self.files.join(found, "path", "left").where("count IS NULL")
         known = F.col("source_type").isin(*REGISTRY)
@@ -35,19 +40,18 @@ class Run:
             .when(unread, F.concat(F.lit("extractor '"), "source_type", F.lit("' failed on "), "path", F.lit(": UnicodeDecodeError: not UTF-8")))
             .otherwise(F.concat(F.lit("no candidates extracted from "), "path", F.lit(" ("), "source_type", F.lit(")")))
         )
-        return [r[0] for r in left.orderBy("path").select(text).collect()]
+        return left.select("path", text.alias("warning"))
+
+    def source_counts(self) -> DataFrame:
+        """(source_type, files, records) of each known type."""
+        files = self.files.groupBy("source_type").agg(F.count(F.lit(1)).alias("files"))
+        records = self.records.groupBy("source_type").agg(F.count(F.lit(1)).alias("records"))
+        return files.where(F.col("source_type").isin(*REGISTRY)).join(records, "source_type", "left").select("source_type", "files", F.coalesce("records", F.lit(0)).alias("records"))
 
     def stats(self) -> dict:
-        files = self.files.groupBy("source_type").agg(F.count(F.lit(1)).alias("n")).collect()
-        records = {r[0]: r[1] for r in self.records.groupBy("source_type").count().collect()}
+        by_source = {r["source_type"]: r["records"] for r in self.source_counts().orderBy("source_type").collect()}
         people = self.results.agg(F.count(F.lit(1)), F.count_if(F.size("validation_errors") > 0)).first()
-        return {
-            "input_files": sum(r["n"] for r in files),
-            "records_extracted": sum(records.values()),
-            "candidates": people[0],
-            "by_source": {r["source_type"]: records.get(r["source_type"], 0) for r in sorted(files, key=lambda r: r["source_type"] or "") if r["source_type"] in REGISTRY},
-            "all_valid": people[1] == 0,
-        }
+        return {"input_files": self.files.count(), "records_extracted": sum(by_source.values()), "candidates": people[0], "by_source": by_source, "all_valid": people[1] == 0}
 
     def ok(self) -> bool:
         return self.results.where(F.size("validation_errors") > 0).isEmpty()
@@ -63,7 +67,16 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def consolidate(records: DataFrame) -> DataFrame:
-    """The profiles of records: normalised, linked and resolved."""
+    """The profiles of records: normalised, linked and resolved.
+
+    Records are written once: extraction is long expressions, which would else be
+    planned into, and run for, keys and claims alike.
+    """
+    return resolve(written(records))
+
+
+def resolve(records: DataFrame) -> DataFrame:
+    """consolidate() over records that need no writing."""
     components = resolve_identities(normalise_hints(records))
     claims = normalise_claims(records).join(components, "record_id")
     # people all of whose claims were dropped still have an empty profile
@@ -74,8 +87,8 @@ def consolidate(records: DataFrame) -> DataFrame:
 def run_files(files: DataFrame, config: dict, forced: dict[str, str] | None = None) -> Run:
     """A run over (path, ext, raw, content), however it was read."""
     typed = with_types(files, forced).persist()
-    records = extract(typed).persist()
-    canonical = consolidate(records).persist()
+    records = written(extract(typed))
+    canonical = resolve(records).persist()
     results = validate(canonical, config).withColumn("canonical_json", canonical_json(canonical.schema))
     return Run(typed, records, canonical, results)
 

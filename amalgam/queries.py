@@ -10,8 +10,9 @@ from .functions import tables as T
 from .functions import text as X
 from .functions import values as V
 from .operators import resolve as R
+from .operators.components import written
 from .operators.identity import resolve_identities
-from .operators.normalise import EDUCATION, EXPERIENCE, LOCATION
+from .operators.normalise import EDUCATION, EXPERIENCE, LOCATION, normalise_claims, normalise_hints
 from .plans import pipeline
 from .plans.projection import canonical_json
 from .plans.validation import validate
@@ -471,10 +472,8 @@ def extract_csv(spark, sf_dir):
     return claim_text(delimited.extract_delimited(named(files, F.concat(F.lit("nation/"), "c_nationkey"), content, ".csv")))
 
 
-@query("""WITH c AS (SELECT *, c_custkey AS k FROM customer)
-SELECT 'c/' || k AS path, CAST(1 AS INTEGER) AS rec_idx, 'full_name=' || c_name || '|emails=m' || k || '@x.io|emails=z@x.io|phones=+1' || k || '|years_experience=' || (k % 9) || '|location=Rome, IT|links.github=github.com/U' || k || '|skills=js|skills=Go'
-  || CASE WHEN k % 2 = 0 THEN '|experience=Co~' || c_mktsegment || '~2019-01~-~-' ELSE '' END || '|education=Uni~BSc~-~' || (2000 + k % 20) AS claims, 'm' || k || '@x.io|z@x.io' AS hint_emails, c_name AS hint_name, 'u' || k AS hint_github, NULL::VARCHAR AS hint_linkedin FROM c WHERE k % 5 > 0""")
-def extract_foreign_json(spark, sf_dir):
+def foreign_documents(spark, sf_dir) -> DataFrame:
+    """A JSON document for each customer, every fifth one broken."""
     k = F.col("c_custkey").cast("string")
     job = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('[{"org": "", "company": "Co", "role": "'), "c_mktsegment", F.lit('", "start": "2019-01"}, 7]'))).otherwise("[]")
     content = F.concat(
@@ -482,7 +481,65 @@ def extract_foreign_json(spark, sf_dir):
         F.lit(', "location": {"city": "Rome", "country": "IT"}, "github": "github.com/U'), k, F.lit('", "skills": [{"tag": "js"}, "Go", {"x": 1}], "history": '), job,
         F.lit(', "schools": [{"school": "Uni", "degree": "BSc", "grad": '), (2000 + F.col("c_custkey") % 20).cast("string"), F.when(F.col("c_custkey") % 5 > 0, F.lit("}]}]}")).otherwise("}"),
     )
-    return claim_text(foreign_json.extract_json(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".json")))
+    return named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".json")
+
+
+@query("""WITH c AS (SELECT *, c_custkey AS k FROM customer)
+SELECT 'c/' || k AS path, CAST(1 AS INTEGER) AS rec_idx, 'full_name=' || c_name || '|emails=m' || k || '@x.io|emails=z@x.io|phones=+1' || k || '|years_experience=' || (k % 9) || '|location=Rome, IT|links.github=github.com/U' || k || '|skills=js|skills=Go'
+  || CASE WHEN k % 2 = 0 THEN '|experience=Co~' || c_mktsegment || '~2019-01~-~-' ELSE '' END || '|education=Uni~BSc~-~' || (2000 + k % 20) AS claims, 'm' || k || '@x.io|z@x.io' AS hint_emails, c_name AS hint_name, 'u' || k AS hint_github, NULL::VARCHAR AS hint_linkedin FROM c WHERE k % 5 > 0""")
+def extract_foreign_json(spark, sf_dir):
+    return claim_text(foreign_json.extract_json(foreign_documents(spark, sf_dir)))
+
+
+def foreign_points(field: str) -> int:
+    return T.base_points("ats_json", field, "ats_field_map")
+
+
+@query(f"""WITH c AS (SELECT *, c_custkey AS k FROM customer WHERE c_custkey % 5 > 0), v AS (
+  SELECT k, 1 AS claim_idx, 'emails' AS field, {foreign_points('emails')} AS base_bp, 'm' || k || '@x.io' AS value FROM c UNION ALL SELECT k, 2, 'emails', {foreign_points('emails')}, 'z@x.io' FROM c
+  UNION ALL SELECT k, 4, 'years_experience', {foreign_points('years_experience')}, CAST(k % 9 AS VARCHAR) FROM c UNION ALL SELECT k, 5, 'location', {foreign_points('location')}, 'Rome~-~IT' FROM c
+  UNION ALL SELECT k, 6, 'links.github', {foreign_points('links.github')}, 'https://github.com/U' || k FROM c UNION ALL SELECT k, 7, 'skills', {foreign_points('skills')}, 'JavaScript' FROM c UNION ALL SELECT k, 8, 'skills', {foreign_points('skills')}, 'Go' FROM c
+  UNION ALL SELECT k, 9, 'experience', {foreign_points('experience')}, 'Co~' || c_mktsegment || '~2019-01~present~-' FROM c WHERE k % 2 = 0
+  UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 10 ELSE 9 END, 'education', {foreign_points('education')}, 'Uni~BSc~-~' || (2000 + k % 20) FROM c)
+SELECT 'ats_json:c/' || k AS source, claim_idx, field, base_bp, value FROM v""")
+def normalize_claims(spark, sf_dir):
+    made = normalise_claims(written(foreign_json.extract_json(foreign_documents(spark, sf_dir))), F.lit(2100))
+    joined = lambda c, fields: F.when(F.col(c).isNotNull(), F.concat_ws("~", *[F.coalesce(F.col(f"{c}.{f}").cast("string"), F.lit("-")) for f in fields]))
+    value = F.coalesce("v_text", R.number_text(F.col("v_number")), joined("v_place", R.PARTS), joined("v_job", R.JOB_FIELDS), joined("v_school", R.SCHOOL_FIELDS))
+    return made.select("source", "claim_idx", "field", "base_bp", value.alias("value"))
+
+
+@query("SELECT 'c/' || c_custkey AS path, 'm' || c_custkey || '@x.io|z@x.io' AS emails, NULL::VARCHAR AS name, 'u' || c_custkey AS github FROM customer WHERE c_custkey % 5 > 0")
+def normalize_hints(spark, sf_dir):
+    made = normalise_hints(foreign_json.extract_json(foreign_documents(spark, sf_dir)))
+    return made.select(F.substring_index("record_id", "\x00", 1).alias("path"), F.array_join("emails", "|").alias("emails"), "name", "github")
+
+
+def mixed_files(spark, sf_dir) -> DataFrame:
+    """A file for each customer: JSON, some of it broken, notes, some of them blank, and files of a type that is forced and unknown."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 4 < 2, F.lit(".json")).when(k % 4 == 2, F.lit(".txt")).otherwise(F.lit(".x"))
+    content = F.when(k % 8 == 0, '{"name": "cut').when(k % 4 < 2, F.concat(F.lit('{"email": "m'), k, F.lit('@x.io"}'))).when(k % 8 == 2, "  ").otherwise(F.concat(F.lit("mail n"), k, F.lit("@x.io")))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("f/"), F.lpad(k.cast("string"), 9, "0"), kind).alias("path"), content.cast("binary").alias("raw"), content.alias("content"), kind.alias("ext"))
+    typed = detect.with_types(files)
+    return typed.withColumn("source_type", F.when(F.col("ext") == ".x", "fax").otherwise(F.col("source_type")))
+
+
+def mixed_run(spark, sf_dir) -> pipeline.Run:
+    files = mixed_files(spark, sf_dir)
+    none = spark.createDataFrame([], "validation_errors array<string>")
+    return pipeline.Run(files, pipeline.extract(files), none, none)
+
+
+@query("""SELECT path, CASE k % 4 WHEN 3 THEN 'skipped (unrecognized source type): ' || path WHEN 2 THEN 'no candidates extracted from ' || path || ' (recruiter_notes)' ELSE 'no candidates extracted from ' || path || ' (ats_json)' END AS warning
+FROM (SELECT c_custkey AS k, 'f/' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ['.json', '.json', '.txt', '.x'][c_custkey % 4 + 1] AS path FROM customer) WHERE k % 4 = 3 OR k % 8 IN (0, 2)""")
+def run_warnings(spark, sf_dir):
+    return mixed_run(spark, sf_dir).warning_rows()
+
+
+@query("""SELECT CASE WHEN c_custkey % 4 < 2 THEN 'ats_json' ELSE 'recruiter_notes' END AS source_type, count(*) AS files, count(*) FILTER (c_custkey % 8 NOT IN (0, 2)) AS records FROM customer WHERE c_custkey % 4 < 3 GROUP BY 1""")
+def run_stats(spark, sf_dir):
+    return mixed_run(spark, sf_dir).source_counts()
 
 
 @query("""SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'emails=m' || c_custkey || '@x.io|phones=415) 555-26' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '|full_name=Ada Lovelace|headline=Staff Engineer at Acme|experience=Acme~Staff Engineer~-~present~-|years_experience=' || (c_custkey % 30)
