@@ -239,10 +239,10 @@ def judge(documents: DataFrame, model: QualityModel) -> DataFrame:
     documents = documents.drop(*added)
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
-        m = shared.value
+        # Spark itself broadcasts a function of this size; pickled with it, the model needs no installed package
+        m = model
         worker_state().clear()
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))

@@ -203,12 +203,11 @@ def judge(pages: DataFrame, rules: list[Rule], model: Boosted) -> DataFrame:
     one. Other columns stay; those named like the results are replaced.
     """
     ruled = apply_rules(pages.drop("p_block", "verdict"), rules)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("url"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.probability(column.to_pylist()))], names=[*batch.schema.names, "p_block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(column.to_pylist()))], names=[*batch.schema.names, "p_block"])
 
     scored = ruled.mapInArrow(score, extended(ruled.schema, {"p_block": "double"}))
     return scored.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("p_block") >= BLOCK_AT, "block").otherwise("allow"))).drop("rule_verdict")
