@@ -270,26 +270,62 @@ def keep_rows(documents: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFr
 # ------------------------------------------------------------------ copies by similarity
 #: Words in a shingle, and similarity from which two texts are copies of each other.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: Bits by which fingerprints of distinct words may differ. Texts of that similarity differ by 4 to 5 on average.
+#: Bits that word fingerprints of copies with a few changed words stay within. No candidates are made from them: other copies differ by more.
 COPY_BITS = 8
 #: Words with fewer bytes are left out of those fingerprints, as every text has them, if enough others remain.
 LEAST_BYTES, LEAST_WORDS = 5, 8
 #: Bins of a similarity signature.
 BINS = 256
+#: Bins of a band. Of texts of similarity 0.8, all but 3 pairs in a million agree in a whole band: (1 - 0.8 ** 6) ** 42.
+BAND = 6
 #: Texts that are compared with each other in one place; larger buckets are split into blocks.
 BLOCK = 2048
-#: How many comparisons cost as much as moving a row.
-ROW_COST = 1000.0
 
 
-def signatures(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of the longer words, one-permutation signature of the five-word shingles) of each text of a buffer.
+def shingle_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every five-word shingle of a buffer in lower case; a text of fewer words has one shingle, of all its words."""
+    start, end, doc = words(raw, offsets)
+    h = word_hashes(raw, start, end)
+    shingle, size = h.copy(), np.bincount(doc, minlength=len(offsets) - 1)
+    for k in range(1, COPY_WORDS):
+        reach = (np.arange(len(h)) + k < len(h)) & (np.append(doc[k:], np.full(min(k, len(doc)), -1)) == doc)
+        shingle[reach] = mix64(shingle[reach] * np.uint64(0x9E3779B97F4A7C15) + h[k:][reach[: max(0, len(h) - k)]])
+    begins = np.concatenate([[0], np.cumsum(size)])[doc]
+    whole = np.arange(len(h)) - begins <= np.maximum(size[doc] - COPY_WORDS, 0)
+    return mix64(shingle[whole]), doc[whole]
 
-    A signature has 8 bits of the smallest hash of each bin, 0 for an empty bin.
+
+def sketches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(band keys, whether a band holds anything, one-permutation signature of the five-word shingles) of each text of a buffer.
+
+    A signature has 8 bits of the smallest hash of each bin, 0 for an empty bin; a band
+    key is of the whole hashes. A text without words has one key.
     """
-    raw = _LOWER[raw]
-    start, end, doc = words(raw, offsets)
-    h, n = word_hashes(raw, start, end), len(offsets) - 1
+    shingle, doc = shingle_hashes(_LOWER[raw], offsets)
+    n = len(offsets) - 1
+    place = doc * BINS + (shingle >> np.uint64(56)).astype(np.int64)
+    least = np.full(n * BINS, ~np.uint64(0))
+    np.minimum.at(least, place, shingle)
+    full = np.bincount(place, minlength=n * BINS) > 0
+    signs = np.where(full, (least % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.uint8(0)).reshape(n, BINS)
+    least, full = np.where(full, least, np.uint64(0)).reshape(n, BINS), full.reshape(n, BINS)
+    at = range(0, BINS, BAND)
+    keys = np.empty((n, len(at)), np.uint64)
+    for band, lo in enumerate(at):
+        key = np.full(n, band, np.uint64)
+        for k in range(lo, min(lo + BAND, BINS)):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+        keys[:, band] = key
+    live = np.logical_or.reduceat(full, list(at), axis=1)
+    live[:, 0] |= ~live.any(axis=1)
+    return keys, live, signs
+
+
+def signatures(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of the longer words, signature as in sketches()) of each text of a buffer."""
+    lower = _LOWER[raw]
+    start, end, doc = words(lower, offsets)
+    h, n = word_hashes(lower, start, end), len(offsets) - 1
     long = end - start >= LEAST_BYTES
     long |= (np.bincount(doc[long], minlength=n) < LEAST_WORDS)[doc]
     marks, owner = h[long], doc[long]
@@ -302,93 +338,55 @@ def signatures(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         count[some[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
     total = np.bincount(owner, minlength=n)
     prints = np.packbits(2 * count > total[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
-
-    shingle, last = h.copy(), doc
-    size = np.bincount(doc, minlength=n)
-    for k in range(1, COPY_WORDS):
-        # a text of fewer words has one shingle, of all its words
-        reach = (np.arange(len(h)) + k < len(h)) & (np.append(doc[k:], np.full(min(k, len(doc)), -1)) == doc)
-        shingle[reach] = mix64(shingle[reach] * np.uint64(0x9E3779B97F4A7C15) + h[k:][reach[: max(0, len(h) - k)]])
-    begins = np.concatenate([[0], np.cumsum(size)])[doc]
-    whole = np.arange(len(h)) - begins <= np.maximum(size[doc] - COPY_WORDS, 0)
-    shingle, last = mix64(shingle[whole]), doc[whole]
-    least = np.full(n * BINS, ~np.uint64(0))
-    np.minimum.at(least, last * BINS + (shingle >> np.uint64(56)).astype(np.int64), shingle)
-    full = np.bincount(last * BINS + (shingle >> np.uint64(56)).astype(np.int64), minlength=n * BINS) > 0
-    signs = np.where(full, (least % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.uint8(0))
-    return prints, signs.reshape(n, BINS)
+    return prints, sketches(raw, offsets)[2]
 
 
-def similar(signs: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the estimated similarity of signatures i and j reaches the threshold; texts without words are alike."""
-    out = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 1 << 14):
-        a, b = signs[i[lo : lo + (1 << 14)]], signs[j[lo : lo + (1 << 14)]]
-        both, any_ = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
-        out[lo : lo + (1 << 14)] = both >= threshold * any_
-    return out
+def estimates(some: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The estimated similarity of every signature of `some` to every one of `signs`; texts without words are alike."""
+    any_ = BINS - ((some == 0).astype(np.float32) @ (signs == 0).astype(np.float32).T)
+    equal = np.empty((len(some), len(signs)), np.float32)
+    for k in range(len(some)):
+        equal[k] = np.count_nonzero(signs == some[k], axis=1)
+    return np.where(any_ > 0, (equal - (BINS - any_)) / np.maximum(any_, 1), 1)
 
 
-def copy_links(texts: DataFrame, most: int = COPY_BITS, threshold: float = COPY_SIMILARITY) -> DataFrame:
-    """(src, dst) that join similar texts of (id, fingerprint, sign) into their components.
+def copy_links(texts: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
+    """(src, dst) that join similar texts of (id, bands, sign) into their components.
 
-    Fingerprints within `most` bits are candidates, found as in links(); the signatures
-    verify them. A bucket of over BLOCK texts is split into blocks, and each two blocks
-    meet in a place of their own, so no pair is left out and no task holds a bucket.
-    Found pairs leave a task as a spanning forest.
+    Texts with a band in common are candidates; the signatures verify them. Buckets
+    with the same members are one. A bucket of over BLOCK texts is split into blocks,
+    and each two blocks meet in a place of their own, so no pair is left out and no
+    task holds a bucket. Found pairs leave a task as a spanning forest.
     """
-    spark = texts.sparkSession
-    total = texts.count()
-    if total < 2:
-        return spark.createDataFrame([], "src long, dst long")
-    drawn = texts.orderBy(F.xxhash64("id")).limit(SAMPLE).select("fingerprint").toArrow()["fingerprint"].to_numpy().view(np.uint64)
-    masks, thresholds = plan(np.ascontiguousarray(drawn), total, most, most + 1, ROW_COST)
-    small_batches(spark, 16)
-
-    def emit(batches):
-        for batch in batches:
-            fp = batch.column(1).to_numpy().view(np.uint64)
-            for part, (mask, t) in enumerate(zip(masks, thresholds, strict=True)):
-                if t < 0:
-                    continue
-                change = flips(mask, t)
-                value = ((fp & np.uint64(mask))[:, None] ^ change[None, :]).ravel()
-                row = np.repeat(np.arange(len(fp)), len(change))
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(value.view(np.int64)), pa.array(np.tile(change == 0, len(fp))), *taken.columns], names=["part", "value", "own", "id", "fingerprint", "sign"])
-
-    rows = texts.select("id", "fingerprint", "sign").mapInArrow(emit, "part int, value long, own boolean, id long, fingerprint long, sign binary")
-    large = stored(rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("part", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
-    blocks = F.coalesce("blocks", F.lit(1))
-    dealt = rows.join(large, ["part", "value"], "left").withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = dealt.groupBy("part", "value", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(F.struct("id", "fingerprint", "own", "sign")).alias("texts")).where("size(texts) > 1").select("texts")
+    small_batches(texts.sparkSession, 16)
+    keyed = texts.select("id", F.explode("bands").alias("band"))
+    members = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")).where("n > 1")
+    buckets = stored(members.groupBy("n", "a", "b").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    rows = keyed.join(buckets, "band").join(texts.select("id", "sign"), "id")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.groupBy("band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(F.struct("id", "sign")).alias("texts")).where("size(texts) > 1").select("texts")
 
     def compare(batches):
         for batch in batches:
             column = batch.column(0)
             bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             flat = column.flatten()
-            ids, fp, own = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64), flat.field(2).to_numpy(zero_copy_only=False)
-            signs = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            ids = flat.field(0).to_numpy()
+            signs = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(-1, BINS)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                src, dst = similar_forest(ids[lo:hi], fp[lo:hi], own[lo:hi], signs[lo:hi], most, threshold)
+                src, dst = similar_forest(ids[lo:hi], signs[lo:hi], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
     return met.mapInArrow(compare, "src long, dst long").distinct()
 
 
-def similar_forest(ids: np.ndarray, fp: np.ndarray, own: np.ndarray, signs: np.ndarray, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def similar_forest(ids: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Similar texts of a bucket, each of its components as a star around its smallest id."""
-    n = len(ids)
     left, right = [], []
-    for lo in range(0, n, 512):
-        near = np.bitwise_count(fp[lo : lo + 512, None] ^ fp[None, :]) <= most
-        near &= own[lo : lo + 512, None] | own[None, :]
-        i, j = np.nonzero(near)
+    for lo in range(0, len(ids), 512):
+        i, j = np.nonzero(estimates(signs[lo : lo + 512], signs) >= threshold)
         use = i + lo < j
-        i, j = i[use] + lo, j[use]
-        use = similar(signs, i, j, threshold)
-        left.append(i[use])
+        left.append(i[use] + lo)
         right.append(j[use])
     i, j = np.concatenate(left), np.concatenate(right)
     # labels are ids; the smallest spreads over the pairs
@@ -403,14 +401,14 @@ def similar_forest(ids: np.ndarray, fp: np.ndarray, own: np.ndarray, signs: np.n
     return label[apart], ids[apart]
 
 
-def drop_copies(documents: DataFrame, most: int = COPY_BITS, threshold: float = COPY_SIMILARITY) -> DataFrame:
+def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """documents with one row of each class of copies, all columns as they were.
 
     Copies are equal texts, and texts whose five-word shingles are similar to the
-    threshold (as 256 bins estimate it) and whose word fingerprints differ by `most`
-    bits at most, directly or through others. The row with the smallest doc_id stays,
-    nulls last; of equal ids the one with the smallest hash of its text. Nulls count as
-    empty; texts without words are one class. An empty table gives an empty result.
+    threshold (as 256 bins estimate it), directly or through others. The row with the
+    smallest doc_id stays, nulls last; of equal ids the one with the smallest hash of its
+    text. Nulls count as empty; texts without words are one class. An empty table gives
+    an empty result.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -420,13 +418,14 @@ def drop_copies(documents: DataFrame, most: int = COPY_BITS, threshold: float =
         for batch in batches:
             raw, offsets = utf8(batch.column(3))
             for lo, hi in slices(offsets, 1 << 20):
-                prints, signs = signatures(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(prints.view(np.int64)), pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "key", "id", "fingerprint", "sign"])
+                keys, live, signs = sketches(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live.sum(axis=1))]), pa.int32()), pa.array(keys[live].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), bands, pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "key", "id", "bands", "sign"])
 
-    marks = stored(documents.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text).alias("id"), text.alias("text")).mapInArrow(scan, "doc_id long, key long, id long, fingerprint long, sign binary"), "copies")
+    marks = stored(documents.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text).alias("id"), text.alias("text")).mapInArrow(scan, "doc_id long, key long, id long, bands array<long>, sign binary"), "copies")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
-    texts = marks.groupBy("id").agg(F.min(order).alias("first"), F.min_by("fingerprint", "key").alias("fingerprint"), F.min_by("sign", "key").alias("sign"))
+    texts = marks.groupBy("id").agg(F.min(order).alias("first"), F.min_by("bands", "key").alias("bands"), F.min_by("sign", "key").alias("sign"))
     texts = stored(texts, "texts")
-    found = connected_components(copy_links(texts, most, threshold))
+    found = connected_components(copy_links(texts, threshold))
     kept = texts.select("id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.c").alias("key"))
     return keep_rows(documents, kept, marks)

@@ -168,3 +168,34 @@ def test_short_texts_and_nothing(spark):
     assert simhash.drop_copies(frame(spark, [])).count() == 0
     rows = [(1, "one two"), (2, "ONE  two"), (3, "one two three"), (4, "x"), (5, None), (6, " ")]
     assert sorted(r.doc_id for r in simhash.drop_copies(frame(spark, rows)).collect()) == [1, 3, 4, 5]
+
+
+def altered(rng, n):
+    """Pairs whose similarity is 0.8 or little more: a copy with words appended, a truncated one, one with an end word changed, one with a passage replaced."""
+    base = [f"word{rng.integers(10**5)}" for _ in range(n)]
+    more = [f"word{rng.integers(10**5)}" for _ in range(n)]
+    k = max(1, (n - 4) // 4)
+    yield base, base + more[:k]
+    yield base, base[: n - (n - 4) // 5]
+    yield base, [*base[:-1], "other"]
+    at, k = n // 3, max(1, (n - 4) // 9 - 4)
+    yield base, base[:at] + more[:k] + base[at + k :]
+
+
+def test_bands_hold_similar_texts(spark):
+    rng = np.random.default_rng(6)
+    met, lost, rows = 0, 0, []
+    for n in (6, 9, 14, 20, 40, 100, 400, 1500):
+        for _ in range(40 if n < 400 else 10):
+            for pair in altered(rng, n):
+                a, b = (shingles(" ".join(p)) for p in pair)
+                if len(a & b) / len(a | b) >= simhash.COPY_SIMILARITY:
+                    raw = [" ".join(p).encode() for p in pair]
+                    keys, live, _ = simhash.sketches(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+                    met += 1
+                    lost += not (live[0] & live[1] & (keys[0] == keys[1])).any()
+    assert met > 500 and lost == 0
+    for c in range(40):
+        base = [f"word{rng.integers(10**5)}" for _ in range(100)]
+        rows += [(2 * c, " ".join(base)), (2 * c + 1, " ".join([*base, *(f"more{rng.integers(10**5)}" for _ in range(15))]))]
+    assert sorted(r.doc_id for r in simhash.drop_copies(frame(spark, rows)).collect()) == list(range(0, 80, 2))
