@@ -434,7 +434,10 @@ def repeated_strings(documents: DataFrame, with_text: bool = False, chunk_bytes:
     spark = documents.sparkSession
     small_batches(spark, 2000)
     text = F.coalesce("text", F.lit(""))
-    hashed = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    # texts under LENGTH bytes hold no string that counts, so however frequent they are, they stay out of everything below
+    every = documents.select("doc_id", text.alias("text"))
+    short = every.where(F.octet_length("text") < LENGTH)
+    hashed = every.where(F.octet_length("text") >= LENGTH).withColumn("h", F.xxhash64("text"))
     sizes = hashed.select("h", F.octet_length("text").cast("long").alias("n"), F.crc32("text").alias("c"), "doc_id").groupBy("h", "c", "n").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
     sizes = stored(sizes, "texts")
     total = sizes.agg(F.sum(F.col("rows") * F.col("n"))).first()[0] or 0
@@ -466,7 +469,9 @@ def repeated_strings(documents: DataFrame, with_text: bool = False, chunk_bytes:
     done = cut_texts(dealt, removed, with_text)
     empty = hashlib.sha256(b"").hexdigest()
     copies = whole.select("doc_id", "n_bytes", F.array(F.lit(0)).alias("starts"), F.array(F.col("n_bytes").cast("int")).alias("ends"), F.lit(empty).alias("sha"), F.lit(None).cast("binary").alias("kept"))
-    out = done.unionByName(copies)
+    none = F.array().cast("array<int>")
+    left = short.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.col("text").cast("binary").alias("kept"))
+    out = done.unionByName(copies).unionByName(left)
     return out if with_text else out.drop("kept")
 
 

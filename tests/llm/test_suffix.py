@@ -75,3 +75,9 @@ def test_kept_text(spark):
 def test_nothing(spark):
     assert suffix.digest(suffix.repeated_strings(frame(spark, []))).count() == 0
     assert suffix.digest(suffix.repeated_strings(frame(spark, [(1, None), (2, "")]))).count() == 2
+
+
+def test_frequent_short_texts_stay(spark):
+    rows = [(i, "x" * n) for i in range(60) for n in (0, 20, 49, 50)]
+    got = suffix.digest(suffix.repeated_strings(frame(spark, rows), False, 800, 300)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
