@@ -278,6 +278,8 @@ LEAST_BYTES, LEAST_WORDS = 5, 8
 BINS = 256
 #: Bins of a band. Of texts of similarity 0.8, all but 3 pairs in a million agree in a whole band: (1 - 0.8 ** 6) ** 42.
 BAND = 6
+#: Estimates nearer to the threshold are verified on the shingles themselves: five times the deviation of an estimate from 256 bins, 0.025 at most.
+MARGIN = 0.125
 #: Texts that are compared with each other in one place; larger buckets are split into blocks.
 BLOCK = 2048
 
@@ -351,12 +353,12 @@ def estimates(some: np.ndarray, signs: np.ndarray) -> np.ndarray:
 
 
 def copy_links(texts: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
-    """(src, dst) that join similar texts of (id, bands, sign) into their components.
+    """(src, dst, sure) of texts of (id, bands, sign): the sure links join similar texts; the others may, and are to be verified.
 
-    Texts with a band in common are candidates; the signatures verify them. Buckets
-    with the same members are one. A bucket of over BLOCK texts is split into blocks,
-    and each two blocks meet in a place of their own, so no pair is left out and no
-    task holds a bucket. Found pairs leave a task as a spanning forest.
+    Texts with a band in common are candidates. Buckets with the same members are one.
+    A bucket of over BLOCK texts is split into blocks, and each two blocks meet in a
+    place of their own, so no pair is left out and no task holds a bucket. Sure pairs
+    leave a task as a spanning forest, others if it does not join them already.
     """
     small_batches(texts.sparkSession, 16)
     keyed = texts.select("id", F.explode("bands").alias("band"))
@@ -374,41 +376,76 @@ def copy_links(texts: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFram
             ids = flat.field(0).to_numpy()
             signs = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(-1, BINS)
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                src, dst = similar_forest(ids[lo:hi], signs[lo:hi], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+                found = similar_forest(ids[lo:hi], signs[lo:hi], threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["src", "dst", "sure"])
 
-    return met.mapInArrow(compare, "src long, dst long").distinct()
+    return met.mapInArrow(compare, "src long, dst long, sure boolean").distinct()
 
 
-def similar_forest(ids: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Similar texts of a bucket, each of its components as a star around its smallest id."""
-    left, right = [], []
+def similar_forest(ids: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, sure) of a bucket: each component of surely similar texts as a star around its smallest id, and uncertain pairs of different components."""
+    left, right, level = [], [], []
     for lo in range(0, len(ids), 512):
-        i, j = np.nonzero(estimates(signs[lo : lo + 512], signs) >= threshold)
+        near = estimates(signs[lo : lo + 512], signs)
+        i, j = np.nonzero(near >= threshold - MARGIN)
         use = i + lo < j
-        left.append(i[use] + lo)
-        right.append(j[use])
-    i, j = np.concatenate(left), np.concatenate(right)
-    # labels are ids; the smallest spreads over the pairs
-    label = ids.copy()
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        if (label[i] == low).all() and (label[j] == low).all():
+        i, j = i[use], j[use]
+        left.append(i + lo)
+        right.append(j)
+        level.append(near[i, j] >= threshold + MARGIN)
+    i, j, sure = np.concatenate(left), np.concatenate(right), np.concatenate(level)
+    # labels are ids; the smallest spreads over the sure pairs
+    label, a, b = ids.copy(), i[sure], j[sure]
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
             break
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
     apart = label != ids
-    return label[apart], ids[apart]
+    open_ = ~sure & (label[i] != label[j])
+    u, v = ids[i[open_]], ids[j[open_]]
+    src, dst = np.concatenate([label[apart], np.minimum(u, v)]), np.concatenate([ids[apart], np.maximum(u, v)])
+    return src, dst, np.arange(len(src)) < apart.sum()
+
+
+def verified(pairs: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
+    """The (src, dst) whose sets of five-word shingles are similar to the threshold; documents has id and text of every text."""
+    small_batches(pairs.sparkSession, 16)
+
+    def gather(batches):
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            shingle, doc = shingle_hashes(_LOWER[raw], offsets)
+            bounds = np.searchsorted(doc, np.arange(len(offsets)))
+            sets = [np.unique(shingle[a:b]).astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                most, least = max(len(a), len(b)), min(len(a), len(b))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if least >= threshold * most - 1 else 0
+                # a quotient is rounded as the threshold is, so equality holds
+                keep.append(most == 0 or both / (most + least - both) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    sets = stored(documents.join(wanted, "id").groupBy("id").agg(F.first("text").alias("text")).mapInArrow(gather, "id long, set binary"), "sets")
+    sides = [sets.select(F.col("id").alias(side), F.col("set").alias(f"{side}_set")) for side in ("src", "dst")]
+    return pairs.select("src", "dst").join(sides[0], "src").join(sides[1], "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(compare, "src long, dst long")
 
 
 def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """documents with one row of each class of copies, all columns as they were.
 
     Copies are equal texts, and texts whose five-word shingles are similar to the
-    threshold (as 256 bins estimate it), directly or through others. The row with the
-    smallest doc_id stays, nulls last; of equal ids the one with the smallest hash of its
-    text. Nulls count as empty; texts without words are one class. An empty table gives
-    an empty result.
+    threshold, directly or through others. Signatures decide where they are far enough
+    from the threshold, else the shingles. The row with the smallest doc_id stays, nulls
+    last; of equal ids the one with the smallest hash of its text. Nulls count as empty;
+    texts without words are one class. An empty table gives an empty result.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -426,6 +463,16 @@ def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> Dat
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
     texts = marks.groupBy("id").agg(F.min(order).alias("first"), F.min_by("bands", "key").alias("bands"), F.min_by("sign", "key").alias("sign"))
     texts = stored(texts, "texts")
-    found = connected_components(copy_links(texts, threshold))
+    near = stored(copy_links(texts, threshold), "near")
+    sure = near.where("sure").select("src", "dst")
+    # pairs that sure links join, if by a longer way, need no verifying
+    joined = stored(connected_components(sure), "joined")
+    root = lambda side: F.coalesce(f"{side}_root", side)
+    unsure = near.where("NOT sure").select("src", "dst")
+    for side in ("src", "dst"):
+        unsure = unsure.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root")), side, "left")
+    unsure = stored(unsure.where(root("src") != root("dst")).select("src", "dst"), "unsure")
+    links = sure.unionByName(verified(unsure, documents.select(F.xxhash64(text).alias("id"), text.alias("text")), threshold))
+    found = connected_components(links)
     kept = texts.select("id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.c").alias("key"))
     return keep_rows(documents, kept, marks)

@@ -199,3 +199,16 @@ def test_bands_hold_similar_texts(spark):
         base = [f"word{rng.integers(10**5)}" for _ in range(100)]
         rows += [(2 * c, " ".join(base)), (2 * c + 1, " ".join([*base, *(f"more{rng.integers(10**5)}" for _ in range(15))]))]
     assert sorted(r.doc_id for r in simhash.drop_copies(frame(spark, rows)).collect()) == list(range(0, 80, 2))
+
+
+def test_similarity_is_exact_near_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for c in range(120):
+        base = [f"word{rng.integers(10**6)}" for _ in range(304)]
+        # 300 shingles and as many more as leave 0.8 exactly or just miss it
+        more = [f"more{rng.integers(10**6)}" for _ in range(75 + c % 2)]
+        assert (len(shingles(" ".join(base))) / len(shingles(" ".join(base + more))) >= 0.8) == (c % 2 == 0)
+        rows += [(2 * c, " ".join(base)), (2 * c + 1, " ".join(base + more))]
+        want += [2 * c, 2 * c + 1] if c % 2 else [2 * c]
+    assert sorted(r.doc_id for r in simhash.drop_copies(frame(spark, rows)).collect()) == want
