@@ -19,8 +19,6 @@ from .common import extended, slices, small_batches, stored, utf8, word_hashes,
 
 #: Words on each side of an entity that may disclose it.
 CONTEXT_WORDS = 8
-#: Distinct texts in which a term must stand near the entity.
-LEAST_TEXTS = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE_AT, REMOVE_AT = 0.7, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -118,18 +116,17 @@ def scan(documents: DataFrame) -> DataFrame:
     def look(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            spans, contexts, texts = [], [], []
+            spans, contexts = [], []
             for text in batch.column(1).to_pylist():
                 found = base_spans(text)
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
                 contexts.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in context_terms(text, found)] if found else [])
-                texts.append(_hash(text) if found else None)
             n = batch.num_rows
             kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + n), pa.int64()), pa.array(texts, pa.int64()), pa.array(spans, kinds[0]), pa.array(contexts, kinds[1])], names=["doc_id", "row", "text_hash", "spans", "context"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + n), pa.int64()), pa.array(spans, kinds[0]), pa.array(contexts, kinds[1])], names=["doc_id", "row", "spans", "context"])
             row += n
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id long, row long, text_hash long, spans {span}, context {context}")
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id long, row long, spans {span}, context {context}")
 
 
 def term_frequencies(documents: DataFrame) -> DataFrame:
@@ -184,8 +181,8 @@ def hash_terms(terms: DataFrame) -> DataFrame:
 
 def disclosures(found: DataFrame, documents: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or over GENERALISE_AT, from scan()'s rows and all documents' words."""
-    near = found.where("size(context) > 0").select("row", "text_hash", F.explode(F.array_distinct(F.expr("transform(context, c -> struct(c.entity, c.term))"))).alias("c")).select("row", "text_hash", "c.entity", "c.term")
-    pairs = near.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= LEAST_TEXTS)
+    near = found.where("size(context) > 0").select("row", F.explode(F.array_distinct(F.expr("transform(context, c -> struct(c.entity, c.term))"))).alias("c")).select("row", "c.entity", "c.term")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     entities = found.where("size(context) > 0").select("row", F.explode(F.array_distinct(F.expr("transform(context, c -> c.entity)"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     asked = stored(pairs, "pairs")
     terms = hash_terms(asked.select("term").distinct())

@@ -80,3 +80,13 @@ def test_copies_do_not_make_terms(spark):
 def test_nothing(spark):
     assert pii.find(frame(spark, [])).count() == 0
     assert pii.sanitise(None, []) is None
+
+
+def test_entities_of_one_text_have_terms(spark):
+    one = "met us number 7 at the gate, write to Dr Zorgon of Fizzbury zed@mail.example.org for more news"
+    for copies in (1, 2):
+        rows = [(i, one) for i in range(copies)] + [r for r in corpus() if r[0] >= 200]
+        got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+        for i in range(copies):
+            words = {one[s.start : s.end]: s.action for s in got[i].spans if s.kind == "term"}
+            assert words.get("Zorgon") == "remove" and words.get("Fizzbury") == "remove" and "gate" not in words and "news" not in words
