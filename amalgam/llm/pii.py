@@ -1,6 +1,6 @@
 """Personal data: patterns find the protected entities, corpus statistics find the terms that give them away.
 
-A term near an entity discloses it by PMI(entity; term) / IC(entity), which is 1 if the
+A term in a document of an entity discloses it by PMI(entity; term) / IC(entity), which is 1 if the
 term never occurs without the entity and 0 if it says nothing of it. Probabilities are
 shares of all documents. Terms over one threshold are generalised, over a higher one
 removed.
@@ -15,10 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, slices, small_batches, stored, utf8, word_hashes, words
+from .common import slices, small_batches, stored, utf8, word_hashes, words
 
-#: Words on each side of an entity that may disclose it.
-CONTEXT_WORDS = 8
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE_AT, REMOVE_AT = 0.7, 0.9
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -83,50 +81,59 @@ def ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def context_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the words near each span: stripped of punctuation, lower-cased, three letters at least, outside all spans.
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """The distinct entities of spans: hashes of a span's kind and its value (digits only for numbers, lower case for addresses)."""
+    values = [(kind, ascii_lower(text[a:b]) if kind in ("email", "ip") else _NOT_DIGIT.sub("", text[a:b])) for kind, a, b in spans]
+    return sorted({_hash(f"{kind}:{value}") for kind, value in values})
 
-    An entity is the hash of a span's kind and its value (digits only for numbers, lower case for addresses).
-    """
-    tokens = [m.span() for m in _WORD.finditer(text)]
-    starts = np.array([s for s, _ in tokens])
-    ends = np.array([e for _, e in tokens])
-    out = []
-    for kind, a, b in spans:
-        value = ascii_lower(text[a:b]) if kind in ("email", "ip") else _NOT_DIGIT.sub("", text[a:b])
-        entity = _hash(f"{kind}:{value}")
-        lo, hi = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
-        for i in [*range(max(0, lo - CONTEXT_WORDS), lo), *range(hi, min(len(tokens), hi + CONTEXT_WORDS))]:
-            s, e = tokens[i]
-            word = text[s:e]
-            s += len(word) - len(word.lstrip(_EDGES))
-            word = word.strip(_EDGES)
-            e = s + len(word)
-            if len(word) >= 3 and not any(s < y and e > x for _, x, y in spans):
-                out.append((entity, ascii_lower(word), s, e))
-    return out
+
+def all_terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of a text: stripped of punctuation, lower-cased, three letters at least, outside all spans."""
+    starts, ends, terms, at, reach = [], [], [], 0, 0
+    for m in _WORD.finditer(text):
+        word = m.group()
+        s = m.start() + len(word) - len(word.lstrip(_EDGES))
+        word = word.strip(_EDGES)
+        e = s + len(word)
+        if len(word) < 3:
+            continue
+        # spans come by start, so those that begin before a word end at `reach` at most
+        while at < len(spans) and spans[at][1] < e:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= s:
+            starts.append(s)
+            ends.append(e)
+            terms.append(ascii_lower(word).encode("utf-8", "surrogatepass"))
+    offsets = np.cumsum([0, *map(len, terms)])
+    h = word_hashes(np.frombuffer(b"".join(terms), np.uint8), offsets[:-1], offsets[1:])
+    return h.view(np.int64), np.array(starts, np.int32), np.array(ends, np.int32)
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """One row for each document: the counts of base spans, the spans, and the context terms of the entities."""
+    """One row for each document: the base spans, and, if there are any, their entities and all words outside them."""
     small_batches(documents.sparkSession)
-    span = "array<struct<kind:string,start:int,end:int>>"
-    context = "array<struct<entity:long,term:string,start:int,end:int>>"
+    span, word = "array<struct<kind:string,start:int,end:int>>", "array<struct<term:long,start:int,end:int>>"
+    kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def look(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            spans, contexts = [], []
+            spans, named, held = [], [], []
             for text in batch.column(1).to_pylist():
                 found = base_spans(text)
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-                contexts.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in context_terms(text, found)] if found else [])
+                named.append(entities(text, found))
+                held.append(all_terms(text, found) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)))
             n = batch.num_rows
-            kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + n), pa.int64()), pa.array(spans, kinds[0]), pa.array(contexts, kinds[1])], names=["doc_id", "row", "spans", "context"])
+            if n == 0:
+                continue
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["term", "start", "end"])
+            terms = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(h[0]) for h in held)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + n), pa.int64()), pa.array(spans, kinds), pa.array(named, pa.list_(pa.int64())), terms], names=["doc_id", "row", "spans", "entities", "words"])
             row += n
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id long, row long, spans {span}, context {context}")
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id long, row long, spans {span}, entities array<long>, words {word}")
 
 
 def term_frequencies(documents: DataFrame) -> DataFrame:
@@ -167,45 +174,36 @@ def term_frequencies(documents: DataFrame) -> DataFrame:
     return partial.groupBy("term_hash").agg(F.sum("df").alias("df"))
 
 
-def hash_terms(terms: DataFrame) -> DataFrame:
-    """terms with term_hash, as term_frequencies() hashes words."""
-
-    def add(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(batch.schema.get_field_index("term")))
-            h = word_hashes(raw, offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], names=[*batch.schema.names, "term_hash"])
-
-    return terms.mapInArrow(add, extended(terms.schema, {"term_hash": "long"}))
-
-
 def disclosures(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over GENERALISE_AT, from scan()'s rows and all documents' words."""
-    near = found.where("size(context) > 0").select("row", F.explode(F.array_distinct(F.expr("transform(context, c -> struct(c.entity, c.term))"))).alias("c")).select("row", "c.entity", "c.term")
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = found.where("size(context) > 0").select("row", F.explode(F.array_distinct(F.expr("transform(context, c -> c.entity)"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    asked = stored(pairs, "pairs")
-    terms = hash_terms(asked.select("term").distinct())
-    df = terms.join(term_frequencies(documents), "term_hash").select("term", "df")
+    """(row, term, disclosure) of the terms that disclose an entity of their row to GENERALISE_AT, from scan()'s rows and all documents' words."""
     n = found.count()
-    both = asked.join(entities, "entity").join(df, "term")
+    held = found.where("size(entities) > 0").select("row", F.explode("entities").alias("entity"))
+    sizes = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < n)
+    terms = found.where("size(entities) > 0").select("row", F.explode(F.array_distinct(F.expr("transform(words, w -> w.term)"))).alias("term"))
+    # a pair can reach GENERALISE_AT only if the term stands in no more documents than this, with a little for rounding
+    bound = lambda size: F.pow(size, F.lit(GENERALISE_AT)) * F.lit(max(1.0, float(n)) ** (1 - GENERALISE_AT) * 1.000001)
+    rare = term_frequencies(documents).withColumnRenamed("term_hash", "term").where(F.col("df") <= bound(F.lit(float(sizes.agg(F.max("n_entity")).first()[0] or 0))))
+    pairs = terms.join(rare, "term").join(held.join(sizes, "entity"), "row").where(F.col("df") <= bound(F.col("n_entity").cast("double"))).select("row", "entity", "term", "df", "n_entity")
+    pairs = stored(pairs, "pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("df").alias("df"), F.first("n_entity").alias("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.greatest("df", "n_both")))
     information = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return both.where(information > 0).select("entity", "term", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE_AT)
+    found_pairs = both.select("entity", "term", (pmi / information).alias("disclosure")).where(F.col("disclosure") >= GENERALISE_AT)
+    return pairs.select("row", "entity", "term").join(found_pairs, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(documents: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end, action) of every document, by start and then kind.
 
-    Base spans are masked; terms are generalised or removed. Positions are code points,
+    Base spans are masked; terms are generalised or removed, wherever they stand in a
+    document of the entity that they disclose. Positions are code points,
     ends exclusive. A null text counts as empty and has no spans; a null doc_id stays
     null; repeated rows each get a row. An empty table gives an empty result.
     """
     found = stored(scan(documents), "pii")
-    context = found.where("size(context) > 0").select("row", F.explode("context").alias("c")).select("row", "c.*")
+    held = found.where("size(entities) > 0").select("row", F.explode("words").alias("w")).select("row", "w.*")
     terms = (
-        context.join(disclosures(found, documents), ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+        held.join(disclosures(found, documents), ["row", "term"])
         .groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end", F.when(F.col("disclosure") >= REMOVE_AT, "remove").otherwise("generalise").alias("action"))).alias("terms"))
     )
     base = F.expr("transform(spans, s -> struct(s.kind AS kind, s.start AS start, s.end AS end, 'mask' AS action))")

@@ -90,3 +90,12 @@ def test_entities_of_one_text_have_terms(spark):
         for i in range(copies):
             words = {one[s.start : s.end]: s.action for s in got[i].spans if s.kind == "term"}
             assert words.get("Zorgon") == "remove" and words.get("Fizzbury") == "remove" and "gate" not in words and "news" not in words
+
+
+def test_terms_far_from_the_entity(spark):
+    fill = " ".join(["the gate at number met us for more of the news"] * 5)
+    far = f"Dr Zorgon, {fill} zed@mail.example.org {fill} (Zorgon)"
+    rows = [(i, far) for i in range(3)] + [(100 + i, f"{fill} to all") for i in range(60)]
+    for r in pii.find(frame(spark, rows)).collect():
+        places = [(s.start, far[s.start : s.end], s.action) for s in r.spans if s.kind == "term"]
+        assert places == ([(3, "Zorgon", "remove"), (far.rindex("Zorgon"), "Zorgon", "remove")] if r.doc_id < 100 else [])
