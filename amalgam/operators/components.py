@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by min-label hooking and pointer jumping."""
+"""Connected components of an edge table, by min-label hooking and pointer jumping; tables in the shared folder."""
 
 import atexit
 import shutil
@@ -8,18 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The folders that this process has made below the shared one.
+_made: list[str] = []
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one, deleted at exit, only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where none is set, a local master gets a temporary one, deleted at exit; a cluster,
+    whose machines share no temporary folder, an error.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="amalgam-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     if not sc.getCheckpointDir():
@@ -27,9 +30,35 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. What is built on it plans by itself, and nothing below it runs twice."""
-    return _cut(df, f"{shared_base(df.sparkSession)}/amalgam-table-{uuid.uuid4().hex}")
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder."""
+    path = f"{shared_base(spark)}/amalgam-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this process has put into the shared folder. Results that were not yet collected or written need them."""
+    for path in list(_made):
+        delete(spark, path)
+
+
+def _cut(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, tag: str = "table") -> DataFrame:
+    """df as a table in the shared folder. What is built on it plans by itself, nothing below it runs twice, and a lost executor loses nothing."""
+    return _cut(df, scratch(df.sparkSession, tag))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -41,16 +70,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     the edges each round; no pairs within a component are made. Null ends and
     self-loops only name their nodes. An empty edge table gives no rows.
     """
-    folder = f"{shared_base(edges.sparkSession)}/amalgam-components-{uuid.uuid4().hex}"
+    spark = edges.sparkSession
+    folder = scratch(spark, "components")
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    links = _cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder)
+    links = _cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/links")
     # the first round needs no join: each node's label is its smallest neighbour
-    labels = _cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), folder)
-    while True:
+    at = f"{folder}/0"
+    labels = _cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), at)
+    done, turn = labels.isEmpty(), 0
+    while not done:
+        turn += 1
         near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = _cut(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), folder)
+        hooked = _cut(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), f"{folder}/hooked-{turn}")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = _cut(hooked.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), folder)
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
+        jumped = _cut(hooked.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), f"{folder}/{turn}")
+        # nothing reads the tables of the round before any more
+        delete(spark, at)
+        delete(spark, f"{folder}/hooked-{turn}")
+        at, labels = f"{folder}/{turn}", jumped.select("node", "label")
+        done = jumped.where("label <> old").isEmpty()
+    delete(spark, f"{folder}/links")
+    return labels.select("node", F.col("label").alias("component"))
