@@ -1,38 +1,60 @@
-"""What several operators share: the scratch folder, Arrow batches as byte buffers, words."""
+"""What several operators share: tables in the shared folder, Arrow batches as byte buffers, words, free column names."""
 
 import hashlib
 import sys
 import types
-import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import shared_base
+from ..operators.components import scratch, written as stored
 
-#: Rows in an Arrow batch. Texts are sent whole, so a batch is kept small: 256 texts
-#: of 100 kB are 25 MB.
-BATCH_ROWS = 256
+__all__ = ["scratch", "stored"]
 
+#: Text bytes that a worker handles at a time. Spark itself ends an Arrow batch at 64 MB, so no session setting is needed.
+PIECE_BYTES = 4 << 20
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_base(spark)}/amalgam-{tag}-{uuid.uuid4().hex}"
 
+def split_batches(batches: Iterable[pa.RecordBatch], column: int | str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with at most `most` bytes of a text column each, or one longer row."""
+    for batch in batches:
+        at = column if isinstance(column, int) else batch.schema.get_field_index(column)
+        _, offsets = utf8(batch.column(at))
+        for lo, hi in slices(offsets, most):
+            yield batch.slice(lo, hi - lo)
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and losing an executor loses nothing."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as it takes to differ from every column of df, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def columns(df: DataFrame) -> list:
+    """The columns of df, by their literal names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def smallest(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """The `rows` rows with the smallest hashes of key, which are a sample that does not depend on order.
+
+    Rows over twice the share that is wanted are left out before the sort, so a
+    partition sends a few rows and not `rows` of them.
+    """
+    total = df.count()
+    digest = F.xxhash64(*key)
+    if total > 2 * rows:
+        df = df.where(digest < F.lit(int(-(1 << 63) + min(1.0, 2 * rows / total) * ((1 << 64) - 1))))
+    return df.orderBy(digest, *key).limit(rows)
 
 
 def text_column(df: DataFrame, text: str) -> DataFrame:

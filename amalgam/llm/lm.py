@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, stored, utf8, word_hashes, words
+from .common import mix64, stored, utf8, word_hashes, words
 
 #: Text bytes of a chunk, and of the chunks whose keys a range should answer.
 CHUNK_BYTES = 12 << 20
@@ -195,8 +195,6 @@ def score(documents: DataFrame, kind: Column, chunk_bytes: int = CHUNK_BYTES) ->
     every word's count. A null text is empty: its one token is the end. Without training
     documents every probability is 1 / (V + 1) = 1. Equal ids are scored row by row.
     """
-    spark = documents.sparkSession
-    small_batches(spark, 2000)
     text = F.coalesce("text", F.lit(""))
     mark = F.xxhash64("doc_id", text)
     tune = (kind == TRAIN) & (F.pmod(F.xxhash64(mark), F.lit(HELD_OUT_ONE_IN)) == 0)

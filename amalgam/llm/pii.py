@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored, utf8, word_hashes, words
+from .common import slices, split_batches, stored, utf8, word_hashes, words
 
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE_AT, REMOVE_AT = 0.7, 0.9
@@ -112,13 +112,12 @@ def all_terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray,
 
 def scan(documents: DataFrame) -> DataFrame:
     """One row for each document: the base spans, and, if there are any, their entities and all words outside them."""
-    small_batches(documents.sparkSession)
     span, word = "array<struct<kind:string,start:int,end:int>>", "array<struct<term:long,start:int,end:int>>"
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def look(batches):
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in split_batches(batches, 1):
             spans, named, held = [], [], []
             for text in batch.column(1).to_pylist():
                 found = base_spans(text)
@@ -138,7 +137,6 @@ def scan(documents: DataFrame) -> DataFrame:
 
 def term_frequencies(documents: DataFrame) -> DataFrame:
     """(term_hash, df): the number of documents that hold each word, stripped and lower-cased as context terms are."""
-    small_batches(documents.sparkSession)
     edge = np.zeros(256, bool)
     edge[list(_EDGES.encode())] = True
     low = np.arange(256, dtype=np.uint8)

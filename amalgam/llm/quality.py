@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, extended, slices, small_batches, utf8, word_hashes, words, worker_state
+from .common import IS_SPACE, extended, slices, split_batches, utf8, word_hashes, words, worker_state
 
 #: Size of the hashed feature space, as a power of two.
 FEATURE_BITS = 20
@@ -237,14 +237,12 @@ def judge(documents: DataFrame, model: QualityModel) -> DataFrame:
     kinds = {k: "long" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": "boolean", "p_low_quality": "double", "p_toxic": "double", "kept": "boolean"}
     added = list(kinds)
     documents = documents.drop(*added)
-    spark = documents.sparkSession
-    small_batches(spark)
 
     def score(batches):
         # Spark itself broadcasts a function of this size; pickled with it, the model needs no installed package
         m = model
         worker_state().clear()
-        for batch in batches:
+        for batch in split_batches(batches, "text"):
             text = batch.column(batch.schema.get_field_index("text"))
             raw, offsets = utf8(text.fill_null(""))
             n = batch.num_rows

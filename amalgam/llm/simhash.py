@@ -13,11 +13,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import mix64, slices, small_batches, stored, utf8, word_hashes, words
+from .common import columns, free, mix64, smallest, split_batches, stored, utf8, word_hashes, words
 
 #: Distinct fingerprints (those with the smallest hashes) that bit correlation and candidate counts are estimated on.
 SAMPLE = 4000
@@ -51,19 +51,23 @@ def fingerprint(raw: bytes, shingle: int) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, key (a hash of doc_id and text) and fingerprint (long) of every text; a null text counts as empty, and its fingerprint is 0."""
-    small_batches(documents.sparkSession)
+def text_keys(text: Column) -> list[Column]:
+    """h and h2: two hashes of a text, which stand for it. Of 10^12 texts no two share both."""
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def fingerprints(documents: DataFrame, shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id, fingerprint (long) and, if wanted, h and h2 of every text; a null text counts as empty, and its fingerprint is 0."""
 
     def scan(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(2))
+        for batch in split_batches(batches, 0):
+            raw, offsets = utf8(batch.column(0))
             data = raw.tobytes()
             marks = np.array([fingerprint(data[a:b], shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], names=["doc_id", "key", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(marks.view(np.int64))], names=[*batch.schema.names[1:], "fingerprint"])
 
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInArrow(scan, "doc_id long, key long, fingerprint long")
+    return documents.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *(text_keys(text) if keyed else [])).mapInArrow(scan, "doc_id long, " + "h long, h2 long, " * keyed + "fingerprint long")
 
 
 def group_bits(sample: np.ndarray, partitions: int) -> list[int]:
@@ -160,7 +164,7 @@ def links(prints: DataFrame, most: int, total: int | None = None) -> DataFrame:
     prints = prints.select("fingerprint")
     if total is None:
         total = prints.count()
-    drawn = prints.orderBy(F.xxhash64("fingerprint")).limit(SAMPLE).toArrow()["fingerprint"].to_numpy().view(np.uint64)
+    drawn = smallest(prints, SAMPLE, "fingerprint").toArrow()["fingerprint"].to_numpy().view(np.uint64)
     if total < 2:
         return prints.sparkSession.createDataFrame([], "src long, dst long")
     masks, thresholds = plan(np.ascontiguousarray(drawn), total, most)
@@ -217,13 +221,13 @@ def forest(fp: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     return nodes[label[apart]], nodes[apart]
 
 
-def classes(documents: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, fingerprint of every document; fingerprint and root of every fingerprint): equal roots, linked documents.
+def classes(documents: DataFrame, shingle: int, most: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints() of every document; fingerprint, root and first_doc of every fingerprint): equal roots, linked documents.
 
     Documents with equal fingerprints meet as one fingerprint before anything is
     compared, whatever their number.
     """
-    marks = stored(fingerprints(documents, shingle), "fingerprints")
+    marks = stored(fingerprints(documents, shingle, keyed), "fingerprints")
     prints = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), "prints")
     found = connected_components(links(prints, most))
     return marks, prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("root"), "first_doc")
@@ -233,8 +237,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, most: int = 2) -> Da
     """doc_id, fingerprint (long), component_id: the smallest doc_id reachable over fingerprints within `most` bits.
 
     Null and empty texts have fingerprint 0 and link like any other; documents with a
-    null doc_id take part, but name no component unless it has no other. An empty table
-    gives an empty result.
+    null doc_id take part, but name no component unless it has no other. Repeated rows
+    each get a row. Columns other than doc_id and text are not read, so their names
+    matter nothing. An empty table gives an empty result.
     """
     marks, rooted = classes(documents, shingle, most)
     first = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
@@ -242,38 +247,43 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, most: int = 2) -> Da
     return marks.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def row_order() -> Column:
+    """Rows by doc_id, nulls last; equal ids by the hashes of their texts."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "h2")
+
+
 def deduplicate(documents: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
     """documents with one row of each class, all columns as they were.
 
     The row with the smallest doc_id stays, nulls last; of equal ids the one with the
-    smallest hash of its text; of equal rows any. Rows without words are one class.
+    smallest hash of its text; of equal rows any. Rows without words are one class. An
+    empty table gives an empty result.
     """
-    marks, rooted = classes(documents, shingle, most)
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    marks, rooted = classes(documents, shingle, most, keyed=True)
     # per fingerprint first: a hot class is then as many rows as it has fingerprints
-    per_print = marks.groupBy("fingerprint").agg(F.min(order).alias("first"))
-    kept = per_print.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.c").alias("_key"))
-    return keep_rows(documents, kept.withColumnRenamed("_key", "key"), marks)
+    per_print = marks.groupBy("fingerprint").agg(F.min(row_order()).alias("first"))
+    kept = per_print.join(rooted.select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h", "first.h2")
+    return keep_rows(documents, kept, marks)
 
 
 def keep_rows(documents: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFrame:
-    """The documents whose key is kept; of rows with equal ids and texts, one. marks has the key of every document."""
-    repeats = marks.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = kept.join(repeats, "key").withColumnRenamed("key", "_key")
-    keyed = documents.join(chosen, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) == F.col("_key"))
-    names = [F.col(f"`{c}`") for c in documents.columns]
-    single = keyed.where("_n = 1").select(*names)
-    several = keyed.where("_n > 1").dropDuplicates(["_key"]).select(*names)
+    """The documents with a kept (doc_id, h, h2), all columns as they were; of rows with equal ids and texts, one. marks has doc_id, h and h2 of every document."""
+    ours = free(documents, "kept_id", "kept_h", "kept_h2", "kept_rows")
+    same = [F.col("doc_id").eqNullSafe(F.col("other_id")), F.col("h") == F.col("other_h"), F.col("h2") == F.col("other_h2")]
+    repeats = marks.groupBy("doc_id", "h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toDF("other_id", "other_h", "other_h2", "n")
+    # rows that are there once, as nearly all are, need no counting
+    chosen = kept.join(repeats, same[0] & same[1] & same[2], "left").select("doc_id", "h", "h2", F.coalesce("n", F.lit(1)).alias("n")).toDF(*ours)
+    mark, h, h2, n = (F.col(c) for c in ours)
+    whole = text_keys(F.coalesce("text", F.lit("")))
+    keyed = documents.join(chosen, F.col("doc_id").cast("long").eqNullSafe(mark) & (whole[0] == h) & (whole[1] == h2))
+    single = keyed.where(n == 1).select(*columns(documents))
+    several = keyed.where(n > 1).dropDuplicates(ours[:3]).select(*columns(documents))
     return single.unionByName(several)
 
 
 # ------------------------------------------------------------------ copies by similarity
 #: Words in a shingle, and similarity from which two texts are copies of each other.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: Bits that word fingerprints of copies with a few changed words stay within. No candidates are made from them: other copies differ by more.
-COPY_BITS = 8
-#: Words with fewer bytes are left out of those fingerprints, as every text has them, if enough others remain.
-LEAST_BYTES, LEAST_WORDS = 5, 8
 #: Bins of a similarity signature.
 BINS = 256
 #: Bins of a band. Of texts of similarity 0.8, all but 3 pairs in a million agree in a whole band: (1 - 0.8 ** 6) ** 42.
@@ -282,6 +292,12 @@ BAND = 6
 MARGIN = 0.125
 #: Texts that are compared with each other in one place; larger buckets are split into blocks.
 BLOCK = 2048
+#: One in so many buckets takes part in the first turn.
+FIRST_BUCKETS = 5
+#: Pairs to verify that a text names in the first turn of a place, and how much more in each next one.
+NAMED, MORE = 4, 16
+#: Most texts whose ids are broadcast to the documents; beyond that the join is left to Spark.
+BROADCAST_TEXTS = 500_000
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -323,98 +339,119 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, live, signs
 
 
-def signatures(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint of the longer words, signature as in sketches()) of each text of a buffer."""
-    lower = _LOWER[raw]
-    start, end, doc = words(lower, offsets)
-    h, n = word_hashes(lower, start, end), len(offsets) - 1
-    long = end - start >= LEAST_BYTES
-    long |= (np.bincount(doc[long], minlength=n) < LEAST_WORDS)[doc]
-    marks, owner = h[long], doc[long]
-    # bits are counted for all documents at once, 2^14 words at a time
-    count = np.zeros((n, 64), np.int64)
-    for lo in range(0, len(marks), 1 << 14):
-        bits = np.unpackbits(marks[lo : lo + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        some = owner[lo : lo + (1 << 14)]
-        first = np.flatnonzero(np.diff(some, prepend=-1))
-        count[some[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    total = np.bincount(owner, minlength=n)
-    prints = np.packbits(2 * count > total[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
-    return prints, sketches(raw, offsets)[2]
-
-
 def estimates(some: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """The estimated similarity of every signature of `some` to every one of `signs`; texts without words are alike."""
     any_ = BINS - ((some == 0).astype(np.float32) @ (signs == 0).astype(np.float32).T)
     equal = np.empty((len(some), len(signs)), np.float32)
+    low = np.uint64(0x00FF00FF00FF00FF)
     for k in range(len(some)):
-        equal[k] = np.count_nonzero(signs == some[k], axis=1)
+        # eight flags are a word; the words' bytes count up to 32 each
+        lanes = (signs == some[k]).view(np.uint64).sum(axis=1)
+        equal[k] = (((lanes & low) + (lanes >> np.uint64(8) & low)) * np.uint64(0x0001000100010001)) >> np.uint64(48)
     return np.where(any_ > 0, (equal - (BINS - any_)) / np.maximum(any_, 1), 1)
 
 
-def copy_links(texts: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
-    """(src, dst, sure) of texts of (id, bands, sign): the sure links join similar texts; the others may, and are to be verified.
-
-    Texts with a band in common are candidates. Buckets with the same members are one.
-    A bucket of over BLOCK texts is split into blocks, and each two blocks meet in a
-    place of their own, so no pair is left out and no task holds a bucket. Sure pairs
-    leave a task as a spanning forest, others if it does not join them already.
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a[i] and b[i] in `root`, which names the smallest place of each set."""
+    while len(a):
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def place_links(ids: np.ndarray, signs: np.ndarray, label: np.ndarray, asks: np.ndarray, threshold: float, named: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(src, dst, sure, whether pairs to verify were left out) of the texts of a place.
+
+    The texts that ask are compared with all of other labels. Of surely similar labels
+    each set comes as a star around its smallest one; of the uncertain pairs that remain
+    between sets, each asking text names the `named` most similar.
     """
-    small_batches(texts.sparkSession, 16)
-    keyed = texts.select("id", F.explode("bands").alias("band"))
+    labels, at = np.unique(label, return_inverse=True)
+    root = np.arange(len(labels))
+    ask = np.flatnonzero(asks)
+    parts = [ask[lo : lo + 256] for lo in range(0, len(ask), 256)]
+    near = None
+    for who in parts:
+        near = estimates(signs[who], signs)
+        i, j = np.nonzero((near >= threshold + MARGIN) & (root[at[who]][:, None] != root[at][None, :]))
+        merge(root, at[who[i]], at[j])
+    src, dst, more = [], [], False
+    for who in parts:
+        if len(parts) > 1:
+            near = estimates(signs[who], signs)
+        open_ = (near >= threshold - MARGIN) & (root[at[who]][:, None] != root[at][None, :])
+        rows = np.flatnonzero(open_.any(axis=1))
+        for k in rows.tolist():
+            found = np.flatnonzero(open_[k])
+            if len(found) > named:
+                more = True
+                found = found[np.lexsort((ids[found], -near[k, found]))[:named]]
+            src.append(np.full(len(found), ids[who[k]]))
+            dst.append(ids[found])
+    apart = np.flatnonzero(root != np.arange(len(root)))
+    u = np.concatenate([labels[root[apart]], *src]).astype(np.int64)
+    v = np.concatenate([labels[apart], *dst]).astype(np.int64)
+    return np.minimum(u, v), np.maximum(u, v), np.arange(len(u)) < len(apart), more
+
+
+def placed_texts(keyed: DataFrame) -> DataFrame:
+    """(band, id, n) of the texts in buckets of two or more; buckets with the same members are one."""
     members = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")).where("n > 1")
-    buckets = stored(members.groupBy("n", "a", "b").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-    rows = keyed.join(buckets, "band").join(texts.select("id", "sign"), "id")
-    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = dealt.groupBy("band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).agg(F.collect_list(F.struct("id", "sign")).alias("texts")).where("size(texts) > 1").select("texts")
+    return keyed.join(members.groupBy("n", "a", "b").agg(F.min("band").alias("band")).select("band", "n"), "band")
+
+
+def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, threshold: float, named: int) -> DataFrame:
+    """(src, dst, sure, band): links of the buckets' texts as place_links() finds them, and with null ends the buckets that left pairs out.
+
+    Without labels, a bucket over BLOCK texts is compared with one block of its own: work
+    that grows with its texts. With labels, which name the component of each text so
+    far, the texts outside a bucket's largest component ask, and all of the bucket
+    answer; a bucket of one component has no work left. Askers and answerers meet in
+    blocks, so no task holds a bucket.
+    """
+    if labels is None:
+        some = placed.withColumn("label", F.col("id")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        asking = some.withColumn("asks", F.pmod(F.xxhash64("id"), "blocks") == 0).withColumn("ablocks", F.lit(1))
+    else:
+        some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+        parts = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        some = some.join(parts.select("band", "most"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        asking = some.withColumn("asks", F.col("label") != F.col("most.label")).withColumn("ablocks", F.ceil((F.col("n") - F.col("most.size")) / BLOCK).cast("int"))
+    dealt = asking.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("seat", F.when(F.col("ablocks") > 1, F.pmod(F.xxhash64("id", F.lit(1)), "ablocks").cast("int")).otherwise(0))
+    answers = F.transform(F.sequence(F.lit(0), F.col("ablocks") - 1), lambda a: F.struct(a.alias("a"), F.col("mine").alias("b")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("seat").alias("a"), b.alias("b")))
+    places = dealt.withColumn("place", F.explode(F.when(F.col("asks"), F.array_union(answers, asked)).otherwise(answers)))
+    rows = places.select("band", "place", "id", "label", (F.col("asks") & (F.col("place.a") == F.col("seat"))).alias("asks")).join(texts.select("id", "sign"), "id")
+    met = rows.groupBy("band", "place").agg(F.collect_list(F.struct("id", "sign", "label", "asks")).alias("texts")).where("size(texts) > 1").select("band", "texts")
 
     def compare(batches):
         for batch in batches:
-            column = batch.column(0)
+            column = batch.column(1)
             bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
             flat = column.flatten()
-            ids = flat.field(0).to_numpy()
+            ids, label, asks = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False)
             signs = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(-1, BINS)
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                found = similar_forest(ids[lo:hi], signs[lo:hi], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["src", "dst", "sure"])
-
-    return met.mapInArrow(compare, "src long, dst long, sure boolean").distinct()
-
-
-def similar_forest(ids: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, sure) of a bucket: each component of surely similar texts as a star around its smallest id, and uncertain pairs of different components."""
-    left, right, level = [], [], []
-    for lo in range(0, len(ids), 512):
-        near = estimates(signs[lo : lo + 512], signs)
-        i, j = np.nonzero(near >= threshold - MARGIN)
-        use = i + lo < j
-        i, j = i[use], j[use]
-        left.append(i + lo)
-        right.append(j)
-        level.append(near[i, j] >= threshold + MARGIN)
-    i, j, sure = np.concatenate(left), np.concatenate(right), np.concatenate(level)
-    # labels are ids; the smallest spreads over the sure pairs
-    label, a, b = ids.copy(), i[sure], j[sure]
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        if (label[a] == low).all() and (label[b] == low).all():
-            break
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-    apart = label != ids
-    open_ = ~sure & (label[i] != label[j])
-    u, v = ids[i[open_]], ids[j[open_]]
-    src, dst = np.concatenate([label[apart], np.minimum(u, v)]), np.concatenate([ids[apart], np.maximum(u, v)])
-    return src, dst, np.arange(len(src)) < apart.sum()
+            for band, lo, hi in zip(batch.column(0), bounds[:-1], bounds[1:], strict=True):
+                src, dst, sure, more = place_links(ids[lo:hi], signs[lo:hi], label[lo:hi], asks[lo:hi], threshold, named)
+                ends = [None] * more
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(src), pa.array(ends, pa.int64())]), pa.concat_arrays([pa.array(dst), pa.array(ends, pa.int64())]), pa.concat_arrays([pa.array(sure), pa.array(ends, pa.bool_())]), pa.concat_arrays([pa.nulls(len(src), pa.int64()), pa.array([band.as_py()] * more, pa.int64())])],
+                    names=["src", "dst", "sure", "band"],
+                )
 
+    return met.mapInArrow(compare, "src long, dst long, sure boolean, band long").distinct()
 
-def verified(pairs: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
-    """The (src, dst) whose sets of five-word shingles are similar to the threshold; documents has id and text of every text."""
-    small_batches(pairs.sparkSession, 16)
+
+def verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
+    """The (src, dst) whose sets of five-word shingles are similar to the threshold; texts has id, first, h and h2, documents the text of each."""
 
     def gather(batches):
-        for batch in batches:
+        for batch in split_batches(batches, 1):
             raw, offsets = utf8(batch.column(1))
             shingle, doc = shingle_hashes(_LOWER[raw], offsets)
             bounds = np.searchsorted(doc, np.arange(len(offsets)))
@@ -424,55 +461,83 @@ def verified(pairs: DataFrame, documents: DataFrame, threshold: float = COPY_SIM
     def compare(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 most, least = max(len(a), len(b)), min(len(a), len(b))
                 both = len(np.intersect1d(a, b, assume_unique=True)) if least >= threshold * most - 1 else 0
                 # a quotient is rounded as the threshold is, so equality holds
                 keep.append(most == 0 or both / (most + least - both) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sets = stored(documents.join(wanted, "id").groupBy("id").agg(F.first("text").alias("text")).mapInArrow(gather, "id long, set binary"), "sets")
+    wanted = stored(texts.join(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id").select("id", F.col("first.doc_id").alias("first_id"), "h", "h2"), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    text = F.coalesce("text", F.lit(""))
+    whole = documents.select("doc_id", *text_keys(text), text.alias("text"))
+    # one row of each text, however many copies it has; repeats of that row are made one by their sets
+    found = whole.join(few, whole["doc_id"].eqNullSafe(few["first_id"]) & (whole["h"] == few["h"]) & (whole["h2"] == few["h2"]))
+    sets = stored(found.select("id", "text").mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set")), "sets")
     sides = [sets.select(F.col("id").alias(side), F.col("set").alias(f"{side}_set")) for side in ("src", "dst")]
     return pairs.select("src", "dst").join(sides[0], "src").join(sides[1], "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(compare, "src long, dst long")
 
 
+def copy_classes(texts: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
+    """(node, component) of the texts of (id, first, h, h2, bands, sign) that are similar to another, directly or through others.
+
+    Texts with a band in common are candidates. Turns link them: the first one takes a
+    fifth of the buckets and joins most large groups at a cost that grows with their
+    texts; each next one compares what is still apart, and verifies more of the pairs
+    that signatures leave uncertain, until none that could join two components is left.
+    """
+    placed = stored(placed_texts(texts.select("id", F.explode("bands").alias("band"))), "placed")
+    links, labels, named = [], None, NAMED
+    some = placed.where(F.pmod("band", F.lit(FIRST_BUCKETS)) == 0)
+    while True:
+        first = labels is None
+        near = stored(found_links(some, texts, labels, threshold, named), "near")
+        links.append(near.where("sure").select("src", "dst"))
+        unsure = near.where("NOT sure").select("src", "dst")
+        if first:
+            # many pairs of the first turn are joined by another bucket's sure links
+            labels = stored(connected_components(links[0]), "labels")
+            for side in ("src", "dst"):
+                unsure = unsure.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root")), side, "left")
+            unsure = stored(unsure.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"), "unsure")
+        links.append(stored(verified(unsure, texts, documents, threshold), "verified"))
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        labels = stored(connected_components(every), "labels")
+        if not first:
+            left = near.where("band IS NOT NULL").select("band").distinct()
+            if left.isEmpty():
+                return labels
+            placed = stored(placed.join(left, "band", "left_semi"), "placed")
+            named *= MORE
+        some = placed
+
+
 def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """documents with one row of each class of copies, all columns as they were.
 
     Copies are equal texts, and texts whose five-word shingles are similar to the
     threshold, directly or through others. Signatures decide where they are far enough
     from the threshold, else the shingles. The row with the smallest doc_id stays, nulls
-    last; of equal ids the one with the smallest hash of its text. Nulls count as empty;
-    texts without words are one class. An empty table gives an empty result.
+    last; of equal ids the one with the smallest hash of its text; of equal rows any.
+    Nulls count as empty; texts without words are one class. Other columns may have any
+    name. An empty table gives an empty result.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
     text = F.coalesce("text", F.lit(""))
 
     def scan(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column(3))
-            for lo, hi in slices(offsets, 1 << 20):
-                keys, live, signs = sketches(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live.sum(axis=1))]), pa.int32()), pa.array(keys[live].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), bands, pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "key", "id", "bands", "sign"])
-
-    marks = stored(documents.select("doc_id", F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text).alias("id"), text.alias("text")).mapInArrow(scan, "doc_id long, key long, id long, bands array<long>, sign binary"), "copies")
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
-    texts = marks.groupBy("id").agg(F.min(order).alias("first"), F.min_by("bands", "key").alias("bands"), F.min_by("sign", "key").alias("sign"))
-    texts = stored(texts, "texts")
-    near = stored(copy_links(texts, threshold), "near")
-    sure = near.where("sure").select("src", "dst")
-    # pairs that sure links join, if by a longer way, need no verifying
-    joined = stored(connected_components(sure), "joined")
-    root = lambda side: F.coalesce(f"{side}_root", side)
-    unsure = near.where("NOT sure").select("src", "dst")
-    for side in ("src", "dst"):
-        unsure = unsure.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root")), side, "left")
-    unsure = stored(unsure.where(root("src") != root("dst")).select("src", "dst"), "unsure")
-    links = sure.unionByName(verified(unsure, documents.select(F.xxhash64(text).alias("id"), text.alias("text")), threshold))
-    found = connected_components(links)
-    kept = texts.select("id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.c").alias("key"))
-    return keep_rows(documents, kept, marks)
+        for batch in split_batches(batches, 0, 1 << 20):
+            keys, live, signs = sketches(*utf8(batch.column(0)))
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live.sum(axis=1))]), pa.int32()), pa.array(keys[live].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], bands, pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "h", "h2", "bands", "sign"])
+
+    marks = stored(documents.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text)).mapInArrow(scan, "doc_id long, h long, h2 long, bands array<long>, sign binary"), "copies")
+    texts = marks.groupBy("h", "h2").agg(F.min(row_order()).alias("first"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    # a number of its own for each text; it is stored, so it stays
+    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    found = copy_classes(texts, documents, threshold)
+    kept = texts.select("id", "first").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first"))
+    return keep_rows(documents, kept.select("first.doc_id", "first.h", "first.h2"), marks)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, stored, utf8
+from .common import mix64, stored, utf8
 from .lm import squeeze, stretch
 
 #: Bytes of a string that counts as repeated, and bytes of an anchor.
@@ -432,7 +432,6 @@ def repeated_strings(documents: DataFrame, with_text: bool = False, chunk_bytes:
     bytes stay. An empty table gives an empty result.
     """
     spark = documents.sparkSession
-    small_batches(spark, 2000)
     text = F.coalesce("text", F.lit(""))
     # texts under LENGTH bytes hold no string that counts, so however frequent they are, they stay out of everything below
     every = documents.select("doc_id", text.alias("text"))

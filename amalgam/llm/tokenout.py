@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small_batches, utf8, worker_state
+from .common import scratch, split_batches, utf8, worker_state
 
 #: Ids per word and bits per id of the selectors 1 to 15. Selector 0 is the escape.
 COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -34,7 +34,8 @@ BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 MAGIC = b"AS8B"
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 500_000
-#: Bytes of text that one file part should get.
+#: Bytes of text that one block should get, and those that one file part should get.
+BLOCK_BYTES = 1 << 20
 PART_BYTES = 32 << 20
 
 
@@ -267,7 +268,6 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
     a repeated id may spread over parts.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     shared, cached = spark.sparkContext.broadcast(tokenizer_json), separable(tokenizer_json)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if parts is None:
@@ -278,16 +278,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
     def encode(batches):
         encoder, part, before = worker_encoder(shared.value, cached, end_id), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 20):
-                each = encoder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                bounds = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in each])])
-                ids = np.frombuffer(b"".join([x + end for x in each]), encoder.kind)
-                body = block(batch.column(0).slice(lo, hi - lo), ids, bounds)
-                n = int(bounds[-1])
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([hi - lo], pa.int64()), "n_ids": pa.array([n], pa.int64()), "body": pa.array([body], pa.binary())})
-                before += n
+        for batch in split_batches(batches, 1, BLOCK_BYTES):
+            each = encoder.encode(*utf8(batch.column(1)))
+            bounds = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in each])])
+            ids = np.frombuffer(b"".join([x + end for x in each]), encoder.kind)
+            body = block(batch.column(0), ids, bounds)
+            n = int(bounds[-1])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([batch.num_rows], pa.int64()), "n_ids": pa.array([n], pa.int64()), "body": pa.array([body], pa.binary())})
+            before += n
 
     blocks = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(encode, "part int, before long, n_docs long, n_ids long, body binary")
     blocks.write.parquet(path)
@@ -309,7 +307,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         at += totals[part]
     base = spark.createDataFrame(first, "part int, first long")
     placed = blocks.join(F.broadcast(base), "part").select("body", (F.col("first") + F.col("before")).alias("start"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def decode(batches):
         for batch in batches:
