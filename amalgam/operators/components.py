@@ -51,8 +51,19 @@ def clear(spark: SparkSession) -> None:
         delete(spark, path)
 
 
+#: With this on, Spark deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _cut(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    """df written to path and read from there. The shuffle files behind it go at once, as the table stands for them; the session's setting stays as it was."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,17 +88,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     # the first round needs no join: each node's label is its smallest neighbour
     at = f"{folder}/0"
     labels = _cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), at)
-    done, turn = labels.isEmpty(), 0
-    while not done:
+    turn = 0
+    while True:
         turn += 1
         near = links.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = _cut(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")), f"{folder}/hooked-{turn}")
+        if hooked.where("label <> old").isEmpty():
+            delete(spark, f"{folder}/hooked-{turn}")
+            break
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = _cut(hooked.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), f"{folder}/{turn}")
+        jumped = _cut(hooked.join(up, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")), f"{folder}/{turn}")
         # nothing reads the tables of the round before any more
         delete(spark, at)
         delete(spark, f"{folder}/hooked-{turn}")
-        at, labels = f"{folder}/{turn}", jumped.select("node", "label")
-        done = jumped.where("label <> old").isEmpty()
+        at, labels = f"{folder}/{turn}", jumped
     delete(spark, f"{folder}/links")
     return labels.select("node", F.col("label").alias("component"))
