@@ -3,7 +3,9 @@
 (?U) gives \\w, \\s, \\d and \\b their Unicode meaning, (?d) makes the line feed the only line end.
 """
 
-EMAIL = r"(?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}"
+# An address starts where a run of its characters does, or where the address before it ends:
+# said outright, so that a long run without @ is read once and not from each of its characters.
+EMAIL = r"(?i)(?:\G|(?<![A-Z0-9._%+\-]))[A-Z0-9._%+\-]++@[A-Z0-9.\-]+\.[A-Z]{2,}"
 PHONE = r"(?U)\+?\d[\d\-.\s()]{7,}\d"
 LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[A-Za-z0-9\-_%]+"
 GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/[A-Za-z0-9\-_]+"

@@ -17,6 +17,16 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(strip(c), f"(?U){SPACE}+", " ")
 
 
+def has_text(c: Column) -> Column:
+    """Whether strip() leaves anything, told by the first character that is no white space."""
+    return c.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used. (The optimiser copies a column's expression to each of its uses.)"""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -46,6 +56,11 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(runs, capitalize), "")
 
 
+def first_line(c: Column) -> Column:
+    """The first line with text, stripped."""
+    return strip(F.regexp_extract(c, rf"(?U)\A{SPACE}*([^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*)", 1))
+
+
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     """The group of the first match, null if there is none or it is empty."""
     return blank_to_null(F.regexp_extract(c, pattern, group))

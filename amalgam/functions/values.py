@@ -1,5 +1,8 @@
 """Value normalisers: each takes a text Column and gives the canonical value, or null where it cannot be sure."""
 
+import importlib.util
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +15,34 @@ def email(c: Column) -> Column:
     return F.when(x.rlike(r"\A[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\z"), x)
 
 
+#: Whether the optional number library is there; phones are then valid numbers and not only of the right form.
+NUMBER_LIBRARY = importlib.util.find_spec("phonenumbers") is not None
+
+
 def phone(c: Column) -> Column:
+    """E.164: by the number library where it is installed, which tells valid numbers of all regions, else by form. Numbers without + are North American."""
+    if not NUMBER_LIBRARY:
+        return phone_by_form(c)
+
+    @F.pandas_udf("string")
+    def valid(texts: pd.Series) -> pd.Series:
+        import phonenumbers as library
+
+        def e164(text: str) -> str | None:
+            try:
+                number = library.parse(text, None if text.startswith("+") else "US")
+                return library.format_number(number, library.PhoneNumberFormat.E164) if library.is_valid_number(number) else None
+            except Exception:  # noqa: BLE001 - no number
+                return None
+
+        # each distinct text is looked at once
+        known = {t: e164(t) for t in set(texts) if t}
+        return pd.Series([known.get(t) for t in texts], dtype=object)
+
+    return valid(strip(c))
+
+
+def phone_by_form(c: Column) -> Column:
     """E.164 by form alone: + with 8 to 15 digits as it is; 10 digits, or 11 that start with 1, as North American."""
     x = F.regexp_replace(strip(c), r"[^0-9+]", "")
     bare = F.regexp_replace(x, r"^\++", "")
@@ -142,5 +172,5 @@ def text_key(c: Column) -> Column:
     return F.coalesce(F.lower(strip(c)), F.lit(""))
 
 
-#: Hooks that a projection may name.
-HOOKS = {"E164": phone, "canonical": lambda c: skill(c)["name"], "lower": F.lower, "upper": F.upper, "title": title}
+#: Hooks that a projection may name. The phones of a profile are E.164 before.
+HOOKS = {"E164": phone_by_form, "canonical": lambda c: skill(c)["name"], "lower": F.lower, "upper": F.upper, "title": title}

@@ -27,12 +27,14 @@ def normalise_claims(records: DataFrame, last_year: Column | None = None) -> Dat
     """
     each = records.select(record_id(F.col("path"), F.col("rec_idx")).alias("record_id"), "path", "source_type", F.posexplode("claims").alias("claim_idx", "c"))
     f, t = F.col("c.field"), F.col("c.text")
+    # a null where there is no phone, so that a library sees phones alone
+    number = V.phone(F.when(f == "phones", t))
     place = V.location(t)
     has_place = place["city"].isNotNull() | place["region"].isNotNull() | place["country"].isNotNull()
     text = (
         F.when(f == "full_name", V.name(t))
         .when(f == "emails", V.email(t))
-        .when(f == "phones", V.phone(t))
+        .when(f == "phones", number)
         .when(f == "headline", clean(t))
         .when(f.startswith("links."), V.url(t))
         .when(f == "skills", V.skill(t)["name"])

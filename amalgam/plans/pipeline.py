@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,10 @@ class Run:
         left = self.files.join(found, "path", "left").where("count IS NULL")
         known = F.col("source_type").isin(*REGISTRY)
         unread = F.col("source_type").isin("recruiter_csv", "ats_json") & ~F.coalesce(F.is_valid_utf8(F.col("raw").cast("string")), F.lit(True))
-        text = (
-            F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("skipped (unrecognized source type): "), "path"))
-            .when(unread, F.concat(F.lit("extractor '"), "source_type", F.lit("' failed on "), "path", F.lit(": UnicodeDecodeError: not UTF-8")))
-            .otherwise(F.concat(F.lit("no candidates extracted from "), "path", F.lit(" ("), "source_type", F.lit(")")))
-        )
-        return left.select("path", text.alias("warning"))
+        told = left.where(unread).select("path", "source_type", "raw").mapInArrow(read_errors, "path string, source_type string, error string")
+        failed = told.select("path", F.concat(F.lit("extractor '"), "source_type", F.lit("' failed on "), "path", F.lit(": "), "error").alias("warning"))
+        text = F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("skipped (unrecognized source type): "), "path")).otherwise(F.concat(F.lit("no candidates extracted from "), "path", F.lit(" ("), "source_type", F.lit(")")))
+        return left.where(~F.coalesce(unread, F.lit(False))).select("path", text.alias("warning")).unionByName(failed)
 
     def source_counts(self) -> DataFrame:
         """(source_type, files, records) of each known type."""
@@ -53,15 +52,39 @@ class Run:
         people = self.results.agg(F.count(F.lit(1)), F.count_if(F.size("validation_errors") > 0)).first()
         return {"input_files": self.files.count(), "records_extracted": sum(by_source.values()), "candidates": people[0], "by_source": by_source, "all_valid": people[1] == 0}
 
+    def rendered(self, emit: str = "output") -> DataFrame:
+        """(candidate_id, component, text): the JSON of each person, as output, canonical or both; people without an output are left out of outputs."""
+        output, canonical = F.col("output_json"), F.col("canonical_json")
+        forms = {"output": output, "canonical": canonical, "both": F.concat(F.lit('{"canonical": '), canonical, F.lit(', "output": '), F.coalesce(output, F.lit("null")), F.lit("}"))}
+        return self.results.select("candidate_id", "component", forms[emit].alias("text")).where("text IS NOT NULL")
+
+    def write_lines(self, folder: str, emit: str = "output") -> None:
+        """The rendered results into a folder, a line of JSON each: executors write, and parts are in order of candidate_id."""
+        self.rendered(emit).repartitionByRange("candidate_id", "component").sortWithinPartitions("candidate_id", "component").select("text").write.mode("overwrite").text(folder)
+
     def ok(self) -> bool:
         return self.results.where(F.size("validation_errors") > 0).isEmpty()
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Records of all files, each by the extractor of its source_type."""
+def read_errors(batches):
+    """(path, source_type, error): class and message of what reading a file as UTF-8 raises."""
+    for batch in batches:
+        errors = []
+        for raw in batch.column(2).to_pylist():
+            try:
+                raw.decode("utf-8-sig")
+                errors.append("")
+            except UnicodeDecodeError as e:
+                errors.append(f"{type(e).__name__}: {e}")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(errors, pa.string())], names=["path", "source_type", "error"])
+
+
+def extract(files: DataFrame, service: str | None = None) -> DataFrame:
+    """Records of all files, each by the extractor of its source_type. Profiles that no cache has come from a service, if one is given."""
     out = None
     for kind, extractor in REGISTRY.items():
-        found = extractor(files.where(F.col("source_type") == kind))
+        of_kind = files.where(F.col("source_type") == kind)
+        found = extractor(of_kind, service=service) if kind == "github" and service else extractor(of_kind)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -84,15 +107,15 @@ def resolve(records: DataFrame) -> DataFrame:
     return profiles(claims.unionByName(everyone, allowMissingColumns=True))
 
 
-def run_files(files: DataFrame, config: dict, forced: dict[str, str] | None = None) -> Run:
+def run_files(files: DataFrame, config: dict, forced: dict[str, str] | None = None, service: str | None = None) -> Run:
     """A run over (path, ext, raw, content), however it was read."""
     typed = with_types(files, forced).persist()
-    records = written(extract(typed))
+    records = written(extract(typed, service))
     canonical = resolve(records).persist()
     results = validate(canonical, config).withColumn("canonical_json", canonical_json(canonical.schema))
     return Run(typed, records, canonical, results)
 
 
-def run(spark: SparkSession, paths: list[str], config: dict | None = None, forced: dict[str, str] | None = None) -> Run:
-    """A run over files by their paths; their order does not matter."""
-    return run_files(read_files(spark, sorted(set(paths))), config or {}, forced)
+def run(spark: SparkSession, paths: list[str], config: dict | None = None, forced: dict[str, str] | None = None, service: str | None = None) -> Run:
+    """A run over files by their paths; their order does not matter. service is where profiles are fetched that no cache has."""
+    return run_files(read_files(spark, sorted(set(paths))), config or {}, forced, service)

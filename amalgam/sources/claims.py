@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import distinct_ignoring_case, strip
+from ..functions.text import distinct_ignoring_case, first_match, let, strip
 
 JOB = "struct<company:string,title:string,start:string,end:string,summary:string>"
 SCHOOL = "struct<institution:string,degree:string,field:string,end_year:string>"
@@ -42,8 +42,8 @@ def records(df: DataFrame, source_type: str, claims: list[Column], emails: Colum
     """
     none = F.lit(None).cast("string")
     given = F.filter(F.concat(*claims), lambda c: (F.coalesce(c["text"], F.lit("")) != "") | c["job"].isNotNull() | c["school"].isNotNull())
-    return df.select(
-        "path",
+    row = F.struct(
+        F.col("path").alias("path"),
         (F.lit(0) if rec_idx is None else rec_idx).cast("int").alias("rec_idx"),
         F.lit(source_type).alias("source_type"),
         given.alias("claims"),
@@ -51,14 +51,22 @@ def records(df: DataFrame, source_type: str, claims: list[Column], emails: Colum
         name.alias("hint_name"),
         (none if github is None else github).alias("hint_github"),
         (none if linkedin is None else linkedin).alias("hint_linkedin"),
-    ).where(F.size("claims") > 0)
+    )
+    # a filter would be pushed below the columns, and compute all of them once more
+    return df.select(F.explode(F.filter(F.array(row), lambda r: F.size(r["claims"]) > 0)).alias("r")).select("r.*")
 
 
 def emails_in(content: Column, pattern: str) -> Column:
-    return distinct_ignoring_case(F.regexp_extract_all(content, F.lit(pattern), 0))
+    found = F.when(content.contains("@"), F.regexp_extract_all(content, F.lit(pattern), 0))
+    return let(F.coalesce(found, F.when(content.isNotNull(), F.array().cast("array<string>"))), distinct_ignoring_case)
 
 
 def phones_in(content: Column, pattern: str) -> Column:
     """Phone-like tokens with 7 to 15 digits."""
     found = F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), strip)
-    return distinct_ignoring_case(F.filter(found, lambda x: F.length(F.regexp_replace(x, r"(?U)\D", "")).between(7, 15)))
+    return let(F.filter(found, lambda x: F.length(F.regexp_replace(x, r"(?U)\D", "")).between(7, 15)), distinct_ignoring_case)
+
+
+def address_in(content: Column, pattern: str, mark: str) -> Column:
+    """The first match of a pattern that holds `mark`, in whatever case; texts without it are not searched."""
+    return F.when(F.lower(content).contains(mark), first_match(content, pattern))

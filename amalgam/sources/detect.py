@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import tables as T
-from ..functions.text import split_lines, strip
+from ..functions.text import has_text, let, split_lines, strip
 
 HEAD_CHARS = 8192
 
@@ -26,12 +26,13 @@ def classify_json(head: Column) -> Column:
 def classify_text(head: Column) -> Column:
     """github if half the lines or more hold a profile address, resume with two header words at line starts, else notes."""
     lines = F.filter(F.transform(split_lines(head), strip), lambda x: x != "")
-    listed = F.size(F.filter(lines, lambda x: x.rlike(P.GITHUB_LINE)))
+    half = let(lines, lambda ls: F.size(F.filter(ls, lambda x: x.rlike(P.GITHUB_LINE))) >= F.greatest(F.lit(1), F.floor(F.size(ls) / 2)))
     low = F.lower(head)
-    headers = sum((low.rlike(rf"(?mdU)^\s*{w}\b").cast("int") for w in T.RESUME_WORDS), F.lit(0))
+    # one pass finds all words; none of them begins another
+    headers = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?mdU)^\s*({'|'.join(T.RESUME_WORDS)})\b"), 1)))
     return (
-        F.when(strip(head) == "", "recruiter_notes")
-        .when((F.size(lines) > 0) & (listed >= F.greatest(F.lit(1), F.floor(F.size(lines) / 2))), "github")
+        F.when(~has_text(head), "recruiter_notes")
+        .when(low.contains("github.com/") & half, "github")
         .when(headers >= 2, "resume")
         .otherwise("recruiter_notes")
     )

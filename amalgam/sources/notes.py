@@ -5,20 +5,19 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import values as V
-from ..functions.text import first_match, pieces, split_lines, strip
+from ..functions.text import first_line, first_match, has_text, pieces, strip
 from . import claims as C
 
 
 def guess_name(content: Column) -> Column:
     """The name after a cue, else two or three capitalised words at the start."""
-    start = strip(F.get(split_lines(strip(content)), F.lit(0)))
-    return F.coalesce(first_match(content, P.NAME_CUE, 1), first_match(start, P.NAME_START, 1))
+    return F.coalesce(first_match(content, P.NAME_CUE, 1), first_match(first_line(content), P.NAME_START, 1))
 
 
 def extract_notes(files: DataFrame) -> DataFrame:
     method = "regex_freetext"
     t = F.col("content")
-    with_name = files.where(strip(t) != "").select("path", "content", guess_name(t).alias("name"), C.emails_in(t, P.EMAIL).alias("emails"), first_match(t, P.GITHUB).alias("github"), first_match(t, P.LINKEDIN).alias("linkedin"))
+    with_name = files.where(has_text(t)).select("path", "content", guess_name(t).alias("name"), C.emails_in(t, P.EMAIL).alias("emails"), C.address_in(t, P.GITHUB, "github.com/").alias("github"), C.address_in(t, P.LINKEDIN, "linkedin.com/in/").alias("linkedin"))
     title, company = strip(first_match(t, P.TITLE_AT, 1)), strip(first_match(t, P.TITLE_AT, 2))
     made = [
         C.texts("emails", "regex_email", F.col("emails")),

@@ -1,7 +1,5 @@
 """Lists of profile addresses, looked up in cached profiles."""
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +7,7 @@ from ..functions import patterns as P
 from ..functions import tables as T
 from ..functions.text import strip
 from . import claims as C
+from .live import fetch
 
 CACHE_FOLDER = "github_cache"
 PROFILE = "struct<login:string,name:string,bio:string,company:string,blog:string,location:string,email:string,_languages:array<string>>"
@@ -33,25 +32,30 @@ def cached_profiles(files: DataFrame) -> DataFrame:
     return files.select(folder(folder(F.col("path"))).alias("folder"), stem.alias("user"), profile.alias("p")).where("p IS NOT NULL AND user <> ''")
 
 
+def fetched(missing: DataFrame, service: str) -> DataFrame:
+    """(folder, user, p) of the users that a service knows. Executors ask, each user once; what fails is left out."""
+    answers = missing.select("user").distinct().mapInArrow(fetch(service), "user string, content string")
+    return missing.join(answers, "user").select("folder", "user", F.from_json("content", PROFILE).alias("p")).where("p IS NOT NULL")
+
+
 def find_cache(files: DataFrame) -> DataFrame:
-    """Cache files of the folders that the lists lie in: (path, content), paths spelled as the lists' are. Only the folders come to the driver."""
-    from .files import read_files
+    """Cache files of the folders that the lists lie in: (path, content), paths spelled as the lists' are. Only the folders come to the driver, which lists them."""
+    from .files import listed, read_files
 
     spark = files.sparkSession
     folders = [r[0] for r in files.select(folder(F.col("path"))).distinct().collect()]
-    paths = []
-    for f in sorted(folders):
-        inside = os.path.join(f, CACHE_FOLDER)
-        if os.path.isdir(inside):
-            paths += [f"{f}/{CACHE_FOLDER}/{x}" for x in sorted(os.listdir(inside)) if x.endswith(".json")]
-    return read_files(spark, paths).select("path", "content")
+    return read_files(spark, sorted(x for f in folders for x in listed(spark, f"{f}/{CACHE_FOLDER}")[1] if x.endswith(".json"))).select("path", "content")
 
 
-def extract_profiles(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """A record for each listed user with a cached profile. Users without one are left out; nothing is fetched."""
+def extract_profiles(files: DataFrame, cache: DataFrame | None = None, service: str | None = None) -> DataFrame:
+    """A record for each listed user with a cached profile. Users without one are left out, or asked for at a service if one is given."""
     known = cached_profiles(find_cache(files) if cache is None else cache)
+    users = listed_users(files)
+    if service:
+        missing = users.join(known.select("folder", "user"), ["folder", "user"], "left_anti").select("folder", "user").distinct()
+        known = known.unionByName(fetched(missing, service))
     p = F.col("p")
-    joined = listed_users(files).join(known, ["folder", "user"])
+    joined = users.join(known, ["folder", "user"])
     method = "github_api"
     blog, company = strip(p["blog"]), strip(F.regexp_replace(p["company"], "^@+", ""))
     login = F.when(p["login"] != "", p["login"])

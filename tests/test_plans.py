@@ -64,7 +64,7 @@ def test_warnings_and_stats(done, folder):
     assert [w.replace(str(folder), "") for w in done.warnings()] == [
         "no candidates extracted from /a b+c%20[1].txt (recruiter_notes)",
         "no candidates extracted from /broken.json (ats_json)",
-        "extractor 'recruiter_csv' failed on /latin.csv: UnicodeDecodeError: not UTF-8",
+        "extractor 'recruiter_csv' failed on /latin.csv: UnicodeDecodeError: 'utf-8' codec can't decode byte 0xe9 in position 14: invalid continuation byte",
     ]
     s = done.stats()
     assert (s["input_files"], s["records_extracted"], s["candidates"], s["all_valid"]) == (8, 6, 4, True)
@@ -138,3 +138,82 @@ def test_command_line(spark, folder, tmp_path, capsys):
     config.write_text(json.dumps({"fields": [{"path": "phones", "required": True}]}))
     assert cli.main(["-i", str(folder / "export.csv"), "-c", str(config), "-q", "--emit", "both"], spark) == 1
     assert [set(x) for x in json.loads(capsys.readouterr().out)] == [{"canonical", "output"}] * 2
+
+
+def test_lines_are_written_by_executors(spark, folder, tmp_path):
+    out = tmp_path / "lines"
+    assert cli.main(["-i", str(folder), "--lines", str(out), "--emit", "canonical", "-q"], spark) == 0
+    parts = [json.loads(line) for p in sorted(out.glob("part-*")) for line in p.read_text().splitlines()]
+    assert [p["candidate_id"] for p in parts] == sorted(p["candidate_id"] for p in parts) and len(parts) == 4
+    assert {p["full_name"] for p in parts} == {"Grace Hopper", "Katherine Johnson", "Ada Lovelace", "Alan Turing"}
+
+
+def test_summary_and_array_file(spark, folder, tmp_path, capsys):
+    config, out = tmp_path / "c.json", tmp_path / "o.json"
+    config.write_text(json.dumps({"fields": [{"path": "phones", "required": True}]}))
+    assert cli.main(["-i", str(folder / "export.csv"), str(folder / "latin.csv"), "-c", str(config), "-o", str(out), "--as", f"{folder}/x=y"], spark) == 1
+    assert json.loads(out.read_text()) == [{"phones": None}] * 2 and out.read_text() == json.dumps([{"phones": None}] * 2, indent=2) + "\n"
+    assert not list(tmp_path.glob(".*"))
+    err = capsys.readouterr().err.splitlines()
+    assert err[0] == "files 2, records 2 {'recruiter_csv': 2}, candidates 2, all valid False" and "  ! extractor 'recruiter_csv' failed on" in err[1]
+    assert [line.split(": ", 1)[1] for line in err[2:]] == ["required field 'phones' is null"] * 2
+    config.write_text(json.dumps({"on_missing": "error", "fields": [{"path": "phones"}]}))
+    assert cli.main(["-i", str(folder / "export.csv"), "-c", str(config), "-q"], spark) == 1
+    assert capsys.readouterr().out == "[]\n"
+
+
+def test_patterns_and_folders(spark, tmp_path, monkeypatch):
+    for name in ("a1.csv", "a2.csv", "b{x}.csv", ".hidden.csv", "sub/a3.csv", "sub/__pycache__/a4.csv", "sub/github_cache/a5.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    monkeypatch.chdir(tmp_path)
+    assert expand(["*.csv"]) == ["a1.csv", "a2.csv", "b{x}.csv"]
+    assert expand(["./a?.csv", "*/a*.csv", "a1.csv"]) == ["a1.csv", "a2.csv", "sub/a3.csv"]
+    assert expand(["sub"]) == ["sub/a3.csv"] and expand(["b{x}.csv"]) == ["b{x}.csv"] and expand(["none", "n*"]) == []
+    assert expand([f"file://{tmp_path}/sub"]) == [f"file://{tmp_path}/sub/a3.csv"]
+    assert overrides(["a=b", "./c/../a=d", "x", "p=q=r"]) == {"a": "d", "p": "q=r"}
+
+
+def test_nested_paragraphs():
+    from amalgam.sources.resumes import docx_text
+
+    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "<w:p><w:t>a</w:t><w:p><w:t>b</w:t></w:p><w:t>c</w:t></w:p><w:p/><w:p><w:t>d</w:t></w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {word}><w:body>{body}</w:body></w:document>")
+    assert docx_text(out.getvalue()) == "abc\nb\n\nd"
+
+
+def test_live_profiles(spark, tmp_path):
+    """Users without a cached profile are asked for, each once; unknown ones are left out."""
+    import http.server
+    import threading
+
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            user, _, rest = self.path.removeprefix("/users/").partition("/")
+            known = user == "grace-h"
+            body = [{"language": x} for x in ("Go", None, "Rust", "Go")] + [{"language": f"L{i}"} for i in range(40)] if rest else {"login": "Grace-H", "name": "Grace Hopper", "company": "@navy"}
+            self.send_response(200 if known else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(body if known else {"message": "Not Found"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "github_cache").mkdir()
+    (tmp_path / "github_cache" / "ada-l.json").write_text(json.dumps(CACHE))
+    (tmp_path / "urls.txt").write_text("https://github.com/ada-l\nhttps://github.com/grace-h\nhttps://github.com/nobody\n")
+    done = pipeline.run(spark, expand([str(tmp_path)]), {}, service=f"http://127.0.0.1:{server.server_port}")
+    found = people(done)
+    server.shutdown()
+    assert set(found) == {"Ada Lovelace", "Grace Hopper"}
+    skills = [s.name for s in found["Grace Hopper"].skills]
+    assert {"Go", "Rust", "L25"} <= set(skills) and "L26" not in skills and len(skills) == 28
+    assert sorted(asked) == ["/users/grace-h", "/users/grace-h/repos?per_page=100&sort=pushed", "/users/nobody"]

@@ -62,3 +62,17 @@ def test_base_confidence(spark):
     rows = spark.createDataFrame([c[:3] for c in cases], "s string, f string, m string").select(T.base_confidence(F.col("s"), F.col("f"), F.col("m")).alias("bp"), T.priority(F.col("s")).alias("p")).collect()
     assert [r.bp for r in rows] == [c[3] for c in cases] == [T.base_points(*c[:3]) for c in cases]
     assert [r.p for r in rows] == [1, 3, 4, 5, 2]
+
+
+def test_phones_by_the_number_library(spark, tmp_path, monkeypatch):
+    """With the library, which a stand-in plays here, valid numbers alone are kept; texts without + are North American."""
+    (tmp_path / "phonenumbers.py").write_text(
+        "class PhoneNumberFormat:\n    E164 = 0\n\n"
+        "def parse(text, region):\n    if 'x' in text:\n        raise ValueError(text)\n    return ('+1' if region == 'US' else '') + ''.join(c for c in text if c in '+0123456789')\n\n"
+        "def is_valid_number(n):\n    return len(n) == 12\n\ndef format_number(n, form):\n    return n\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "phonenumbers.py"))
+    monkeypatch.setattr(V, "NUMBER_LIBRARY", True)
+    given = [" (415) 555-2671 ", "+14155552671", "+1415", "x", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", V.phone(F.col("t")).alias("p")).collect()
+    assert [r.p for r in sorted(rows)] == ["+14155552671", "+14155552671", None, None, None, None]
