@@ -11,7 +11,8 @@ LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[A-Za-z0-9\-_%]+"
 GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/[A-Za-z0-9\-_]+"
 GITHUB_USER = r"(?i)github\.com/([A-Za-z0-9\-_]+)"
 GITHUB_LINE = r"(?i)https?://(www\.)?github\.com/"
-YEARS = r"(?iU)~?\s*(\d{1,2})\+?\s*(?:years|yrs|yoe)\b"
+# What may stand before the number has no bearing on it.
+YEARS = r"(?iU)(\d{1,2})\+?\s*(?:years|yrs|yoe)\b"
 TITLE_AT = r"(?U)\b([A-Z][A-Za-z+/ ]{2,40}?)\s+(?:at|@)\s+([A-Z][A-Za-z0-9&.\- ]{1,40})"
 SKILLS_CUE = r"(?idU)(?:strong in|skills?(?:\s*[:\-])|experienced in|proficient in|expertise in)\s+(.+?)(?:[.\n]|$)"
 LOCATION_CUE = r"(?iU)(?:based in|located in|lives in|location[:\-]?)\s+([A-Z][A-Za-z\- ]+(?:,\s*[A-Za-z\- ]+){0,2})"

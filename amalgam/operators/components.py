@@ -4,6 +4,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,25 +53,34 @@ def clear(spark: SparkSession) -> None:
         delete(spark, path)
 
 
-#: With this on, Spark deletes an execution's shuffle files when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: With the first, Spark deletes an execution's shuffle files when it ends; the second keeps Arrow batches of long texts small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_ROWS: "1000"}
 
 
-def _cut(df: DataFrame, path: str) -> DataFrame:
-    """df written to path and read from there. The shuffle files behind it go at once, as the table stands for them; the session's setting stays as it was."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what runs inside; after it, all are as they were."""
+    before = {k: spark.conf.get(k) for k in values}
     try:
-        df.write.parquet(path)
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _cut(df: DataFrame, path: str, **more: str) -> DataFrame:
+    """df written to path and read from there; the shuffle files behind it go at once, as the table stands for them."""
+    with settings(df.sparkSession, WRITING | more):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, tag: str = "table") -> DataFrame:
+def written(df: DataFrame, tag: str = "table", batch_rows: int = 1000) -> DataFrame:
     """df as a table in the shared folder. What is built on it plans by itself, nothing below it runs twice, and a lost executor loses nothing."""
-    return _cut(df, scratch(df.sparkSession, tag))
+    return _cut(df, scratch(df.sparkSession, tag), **{BATCH_ROWS: str(batch_rows)})
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -39,12 +39,12 @@ def normalise_claims(records: DataFrame, last_year: Column | None = None) -> Dat
         .when(f.startswith("links."), V.url(t))
         .when(f == "skills", V.skill(t)["name"])
     )
-    out = each.select(
-        "record_id",
-        "claim_idx",
+    row = F.struct(
+        F.col("record_id").alias("record_id"),
+        F.col("claim_idx").alias("claim_idx"),
         f.alias("field"),
         F.concat_ws(":", "source_type", F.regexp_replace("path", r"\\", "/")).alias("source"),
-        "source_type",
+        F.col("source_type").alias("source_type"),
         F.col("c.method").alias("method"),
         T.base_confidence(F.col("source_type"), f, F.col("c.method")).alias("base_bp"),
         text.alias("v_text"),
@@ -54,7 +54,9 @@ def normalise_claims(records: DataFrame, last_year: Column | None = None) -> Dat
         F.when(f == "experience", V.experience(F.col("c.job"), last_year)).alias("v_job"),
         F.when(f == "education", V.education(F.col("c.school"), last_year)).alias("v_school"),
     )
-    return out.where("coalesce(v_text, '') <> '' OR v_number IS NOT NULL OR v_place IS NOT NULL OR v_job IS NOT NULL OR v_school IS NOT NULL")
+    holds = lambda r: (F.coalesce(r["v_text"], F.lit("")) != "") | r["v_number"].isNotNull() | r["v_place"].isNotNull() | r["v_job"].isNotNull() | r["v_school"].isNotNull()
+    # a filter would be pushed below the columns, and compute all of them once more
+    return each.select(F.explode(F.filter(F.array(row), holds)).alias("r")).select("r.*")
 
 
 def normalise_hints(records: DataFrame) -> DataFrame:

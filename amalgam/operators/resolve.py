@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import values as V
+from ..functions.text import let
 
 SCALARS = ("full_name", "headline", "years_experience")
 LISTS = ("emails", "phones")
@@ -162,8 +163,8 @@ def profiles(claims: DataFrame) -> DataFrame:
 
     # stubs go where the same company has an entry with a title or a start
     told = lambda j: F.coalesce(j["title"], j["start"]).isNotNull()
-    detailed = F.transform(F.filter("jobs", told), lambda j: V.company_key(j["company"]))
-    kept_jobs = F.filter("jobs", lambda j: told(j) | ~F.array_contains(detailed, V.company_key(j["company"])))
+    detailed = F.array_distinct(F.transform(F.filter("jobs", told), lambda j: V.company_key(j["company"])))
+    kept_jobs = let(detailed, lambda companies: F.filter("jobs", lambda j: told(j) | ~F.array_contains(companies, V.company_key(j["company"]))))
     job_order = _by(kept_jobs, (lambda j: F.coalesce(j["end"] != "present", F.lit(True)), True), (lambda j: F.coalesce(j["start"], F.lit("")), True), (lambda j: F.coalesce(j["company"], F.lit("")), True))
     school_order = _by(F.col("schools"), (lambda s: F.coalesce(s["end_year"], F.lit(0)), True))
 

@@ -1,7 +1,10 @@
 """One query for each operator over the driver's tables, and the same in DuckDB SQL."""
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,10 @@ from .operators.identity import resolve_identities
 from .operators.normalise import EDUCATION, EXPERIENCE, LOCATION, normalise_claims, normalise_hints
 from .plans import pipeline
 from .plans.projection import canonical_json
-from .plans.validation import validate
+from .plans.validation import validate, validate_or_raise
 from .sources import claims as C
 from .sources import delimited, detect, foreign_json, notes, profiles, resumes
+from .sources.files import extension, overrides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,8 +131,6 @@ def detect_json_kind(spark, sf_dir):
 
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.pdf' WHEN 2 THEN '' WHEN 3 THEN '.md' WHEN 4 THEN '.gz' ELSE '' END AS ext FROM part")
 def file_extension(spark, sf_dir):
-    from .sources.files import extension
-
     names = F.array(*map(F.lit, ["a/b.c/x.CSV", "x.pdf", "a.b/readme", "a/y.md", "z.tar.gz", "a/.hidden"]))
     return table(spark, sf_dir, "part").select("p_partkey", extension(F.get(names, (F.col("p_partkey") % 6).cast("int"))).alias("ext"))
 
@@ -542,6 +544,23 @@ def run_stats(spark, sf_dir):
     return mixed_run(spark, sf_dir).source_counts()
 
 
+@query("""SELECT count(*) AS input_files, count(*) FILTER (c_custkey % 4 < 3 AND c_custkey % 8 NOT IN (0, 2)) AS records_extracted, 0::BIGINT AS candidates, true AS all_valid FROM customer""")
+def run_summary(spark, sf_dir):
+    s = mixed_run(spark, sf_dir).stats()
+    return spark.createDataFrame([tuple(s[k] for k in ("input_files", "records_extracted", "candidates", "all_valid"))], "input_files long, records_extracted long, candidates long, all_valid boolean")
+
+
+@query("SELECT 'f/' || c_custkey AS path, CASE WHEN c_custkey BETWEEN 1 AND 40 THEN 'fax' ELSE 'recruiter_notes' END AS source_type FROM customer")
+def forced_types(spark, sf_dir):
+    files = named(table(spark, sf_dir, "customer"), F.concat(F.lit("f/"), F.col("c_custkey")), F.lit("plain words"), ".txt")
+    return detect.with_types(files, overrides([f"./f/{k}=fax" for k in range(1, 41)])).select("path", "source_type")
+
+
+@query(f"""WITH {PEOPLE_SQL} SELECT component, '{{"full_name":"' || full_name || '"}}' AS output_json FROM q""")
+def validated_profiles(spark, sf_dir):
+    return validate_or_raise(people(spark, sf_dir), {"fields": [{"path": "full_name", "type": "string", "required": True}]}).select("component", "output_json")
+
+
 @query("""SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'emails=m' || c_custkey || '@x.io|phones=415) 555-26' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '|full_name=Ada Lovelace|headline=Staff Engineer at Acme|experience=Acme~Staff Engineer~-~present~-|years_experience=' || (c_custkey % 30)
   || '|skills=Python|skills=Go|location=Paris, FR|links.github=github.com/Ada' || c_custkey AS claims, 'm' || c_custkey || '@x.io' AS hint_emails, 'Ada Lovelace' AS hint_name, 'ada' || c_custkey AS hint_github, NULL::VARCHAR AS hint_linkedin FROM customer""")
 def extract_note_files(spark, sf_dir):
@@ -553,15 +572,41 @@ def extract_note_files(spark, sf_dir):
     return claim_text(notes.extract_notes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".txt")))
 
 
-@query("""SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'full_name=Alan Turing|emails=m' || c_custkey || '@x.io|skills=Python|skills=Logic|skills=Go|experience=Acme Corp~Senior Engineer~2018-03~present~-|education=MIT~Ph.D~Mathematics~' || (1950 + c_custkey % 50) AS claims,
-  'm' || c_custkey || '@x.io' AS hint_emails, 'Alan Turing' AS hint_name, NULL::VARCHAR AS hint_github, NULL::VARCHAR AS hint_linkedin FROM customer""")
-def extract_resume_files(spark, sf_dir):
+RESUMES_SQL = """SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'full_name=Alan Turing|emails=m' || c_custkey || '@x.io|skills=Python|skills=Logic|skills=Go|experience=Acme Corp~Senior Engineer~2018-03~present~-|education=MIT~Ph.D~Mathematics~' || (1950 + c_custkey % 50) AS claims,
+  'm' || c_custkey || '@x.io' AS hint_emails, 'Alan Turing' AS hint_name, NULL::VARCHAR AS hint_github, NULL::VARCHAR AS hint_linkedin FROM customer"""
+
+
+def resume_text() -> Column:
     k = F.col("c_custkey").cast("string")
-    content = F.concat(
+    return F.concat(
         F.lit("\n Alan Turing \nm"), k, F.lit("@x.io\nSKILLS:\nPython with Logic\n\nExperience\n• Acme Corp, Senior Engineer (2018-03 - present) did things\nnothing here\nTechnical Skills\nGo;\nEducation:\n- MIT, Ph.D in Mathematics, "),
         (1950 + F.col("c_custkey") % 50).cast("string"),
     )
-    return claim_text(resumes.extract_resumes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".txt")))
+
+
+@query(RESUMES_SQL)
+def extract_resume_files(spark, sf_dir):
+    return claim_text(resumes.extract_resumes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), F.col("c_custkey")), resume_text(), ".txt")))
+
+
+def as_docx(batches):
+    """The contents of Arrow batches of (path, ext, raw, content) as DOCX files, a paragraph for each line."""
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    for batch in batches:
+        made = []
+        for text in batch.column(3).to_pylist():
+            body = "".join(f"<w:p><w:r><w:t>{line}</w:t></w:r></w:p>" for line in text.split("\n"))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as archive:
+                archive.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{body}</w:body></w:document>')
+            made.append(out.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array([""] * batch.num_rows, pa.string())], names=["path", "ext", "raw", "content"])
+
+
+@query(RESUMES_SQL + " WHERE c_custkey % 10 = 0")
+def extract_docx_files(spark, sf_dir):
+    plain = named(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"), F.concat(F.lit("c/"), F.col("c_custkey")), resume_text(), ".docx")
+    return claim_text(resumes.extract_resumes(plain.mapInArrow(as_docx, plain.schema)))
 
 
 @query("""SELECT 'd' || (c_custkey % 10) || '/list.txt' AS path, CAST(c_custkey // 10 AS INTEGER) AS rec_idx, 'full_name=' || c_name || '|links.github=https://github.com/U' || c_custkey || '|links.portfolio=https://x.io|skills=Go|experience=acme~-~-~present~-' AS claims,

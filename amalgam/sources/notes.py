@@ -17,8 +17,9 @@ def guess_name(content: Column) -> Column:
 def extract_notes(files: DataFrame) -> DataFrame:
     method = "regex_freetext"
     t = F.col("content")
-    with_name = files.where(has_text(t)).select("path", "content", guess_name(t).alias("name"), C.emails_in(t, P.EMAIL).alias("emails"), C.address_in(t, P.GITHUB, "github.com/").alias("github"), C.address_in(t, P.LINKEDIN, "linkedin.com/in/").alias("linkedin"))
-    title, company = strip(first_match(t, P.TITLE_AT, 1)), strip(first_match(t, P.TITLE_AT, 2))
+    with_name = files.where(has_text(t)).select("path", "content", guess_name(t).alias("name"), first_match(t, P.TITLE_AT).alias("role"), C.emails_in(t, P.EMAIL).alias("emails"), C.address_in(t, P.GITHUB, "github.com/").alias("github"), C.address_in(t, P.LINKEDIN, "linkedin.com/in/").alias("linkedin"))
+    # the match gives its own groups, so the text is searched once
+    title, company = strip(first_match(F.col("role"), P.TITLE_AT, 1)), strip(first_match(F.col("role"), P.TITLE_AT, 2))
     made = [
         C.texts("emails", "regex_email", F.col("emails")),
         C.texts("phones", "regex_phone", C.phones_in(t, P.PHONE)),
