@@ -10,9 +10,9 @@ from ..operators.components import written
 from ..operators.identity import resolve_identities
 from ..operators.normalise import normalise_claims, normalise_hints
 from ..operators.resolve import profiles
-from ..sources import REGISTRY
+from ..sources import REGISTRY, delimited
 from ..sources.detect import with_types
-from ..sources.files import read_files
+from ..sources.files import read_files, size
 from .projection import canonical_json
 from .validation import validate
 
@@ -107,10 +107,15 @@ def resolve(records: DataFrame) -> DataFrame:
     return profiles(claims.unionByName(everyone, allowMissingColumns=True))
 
 
-def run_files(files: DataFrame, config: dict, forced: dict[str, str] | None = None, service: str | None = None) -> Run:
-    """A run over (path, ext, raw, content), however it was read."""
-    typed = with_types(files, forced).persist()
-    records = written(extract(typed, service))
+def run_files(files: DataFrame, config: dict, forced: dict[str, str] | None = None, service: str | None = None, large: list[str] = ()) -> Run:
+    """A run over (path, ext, raw, content), however it was read, and over delimited files that are too large to be read whole."""
+    spark, typed = files.sparkSession, with_types(files, forced).persist()
+    records = extract(typed, service)
+    if large:
+        rows = delimited.rows_by_line(spark, list(large))
+        records = records.unionByName(delimited.map_rows(rows))
+        typed = typed.unionByName(spark.createDataFrame([(p, "recruiter_csv") for p in large], "path string, source_type string"), allowMissingColumns=True)
+    records = written(records)
     canonical = resolve(records).persist()
     results = validate(canonical, config).withColumn("canonical_json", canonical_json(canonical.schema))
     return Run(typed, records, canonical, results)
@@ -118,4 +123,7 @@ def run_files(files: DataFrame, config: dict, forced: dict[str, str] | None = No
 
 def run(spark: SparkSession, paths: list[str], config: dict | None = None, forced: dict[str, str] | None = None, service: str | None = None) -> Run:
     """A run over files by their paths; their order does not matter. service is where profiles are fetched that no cache has."""
-    return run_files(read_files(spark, sorted(set(paths))), config or {}, forced, service)
+    names, forced = sorted(set(paths)), forced or {}
+    kind = {p: forced.get(p, "recruiter_csv" if p.lower().endswith(".csv") else "") for p in names}
+    large = [p for p in names if kind[p] == "recruiter_csv" and size(spark, p) >= delimited.LARGE_BYTES]
+    return run_files(read_files(spark, [p for p in names if p not in set(large)]), config or {}, forced, service, large)

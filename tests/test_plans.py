@@ -217,3 +217,30 @@ def test_live_profiles(spark, tmp_path):
     skills = [s.name for s in found["Grace Hopper"].skills]
     assert {"Go", "Rust", "L25"} <= set(skills) and "L26" not in skills and len(skills) == 28
     assert sorted(asked) == ["/users/grace-h", "/users/grace-h/repos?per_page=100&sort=pushed", "/users/nobody"]
+
+
+def test_large_delimited_files_are_read_by_line(spark, tmp_path, monkeypatch):
+    """The same rows in the same order as from the whole file, by any number of tasks; a file with a line break in a cell has none."""
+    from amalgam.sources import delimited
+    from amalgam.sources.files import read_files
+
+    body = '"Grace ""G"" Hopper", g@x.io;h@x.io ,"a, b",,T\r\n\r\nshort\n , ,\nA,a@x.io,+1,Co,Eng,extra,more\n"",,,,\n'
+    (tmp_path / "a b+1.csv").write_text("\ufeffName,E-MAIL , Phone,company,Title,title\n" + body * 40, encoding="utf-8")
+    (tmp_path / "plain.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "none.csv").write_text("")
+    good = [f"{tmp_path}/a b+1.csv", f"{tmp_path}/plain.csv", f"{tmp_path}/none.csv"]
+    monkeypatch.setattr(delimited, "LARGE_BYTES", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        got = delimited.rows_by_line(spark, good).orderBy("path", "rec_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = delimited.rows(read_files(spark, good)).orderBy("path", "rec_idx").collect()
+    drop = lambda rs: [tuple(r)[:1] + tuple(r)[2:] for r in rs]
+    assert drop(got) == drop(want) and len(want) == 5 * 40 + 1
+    (tmp_path / "odd.csv").write_text('name,email\n"a\nb",x@y.io\n')
+    (tmp_path / "latin.csv").write_bytes(b"name,email\nJos\xe9,jose@x.io\n")
+    assert delimited.rows_by_line(spark, [f"{tmp_path}/odd.csv", f"{tmp_path}/latin.csv"]).count() == 0
+    done = pipeline.run(spark, [*good, f"{tmp_path}/odd.csv"])
+    assert set(people(done)) >= {"A"} and done.stats()["input_files"] == 4
+    assert [w.rsplit("/", 1)[1] for w in done.warnings()] == ["none.csv (recruiter_csv)", "odd.csv (recruiter_csv)", "plain.csv (recruiter_csv)"]
