@@ -1,5 +1,6 @@
 """From files to results, projection and validation."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -244,3 +245,20 @@ def test_large_delimited_files_are_read_by_line(spark, tmp_path, monkeypatch):
     done = pipeline.run(spark, [*good, f"{tmp_path}/odd.csv"])
     assert set(people(done)) >= {"A"} and done.stats()["input_files"] == 4
     assert [w.rsplit("/", 1)[1] for w in done.warnings()] == ["none.csv (recruiter_csv)", "odd.csv (recruiter_csv)", "plain.csv (recruiter_csv)"]
+
+
+def test_whole_profile(done, folder):
+    """A profile as it follows by hand from one row: trust times certainty for each value, weighted for the whole."""
+    made = next(r for r in done.results.collect() if "Katherine" in r.canonical_json)
+    source = f"recruiter_csv:{folder}/export.csv"
+    confidence = {"full_name": 0.833, "headline": 0.735, "emails": 0.882, "experience": 0.735}
+    weights = {"full_name": 3.0, "headline": 1.0, "emails": 3.0, "experience": 1.5}
+    assert json.loads(made.canonical_json) == {
+        "candidate_id": "cand_" + hashlib.sha1(b"kj@nasa.gov").hexdigest()[:12],
+        "full_name": "Katherine Johnson", "emails": ["kj@nasa.gov"], "phones": [], "location": {"city": None, "region": None, "country": None},
+        "links": {"linkedin": None, "github": None, "portfolio": None, "other": []}, "headline": "Mathematician", "years_experience": None, "skills": [],
+        "experience": [{"company": "NASA", "title": "Mathematician", "start": None, "end": "present", "summary": None}], "education": [],
+        "provenance": [{"field": f, "source": source, "method": "csv_column"} for f in ("emails", "experience", "full_name", "headline")],
+        "overall_confidence": round(sum(confidence[f] * w for f, w in weights.items()) / sum(weights.values()), 4), "field_confidence": confidence,
+    }
+    assert json.loads(made.output_json)["full_name"] == "Katherine Johnson" and list(made.validation_errors) == []
