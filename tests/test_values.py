@@ -76,3 +76,21 @@ def test_phones_by_the_number_library(spark, tmp_path, monkeypatch):
     given = [" (415) 555-2671 ", "+14155552671", "+1415", "x", "", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", V.phone(F.col("t")).alias("p")).collect()
     assert [r.p for r in sorted(rows)] == ["+14155552671", "+14155552671", None, None, None, None]
+
+
+def test_addresses_in_linear_time(spark):
+    """The address pattern finds what its plain form finds, and long runs without an address cost no more than their length."""
+    import random
+    import time
+
+    from amalgam.functions import patterns as P
+    from amalgam.sources import claims as C
+
+    plain = r"(?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}"
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab.@-_c é") for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a@b.co_x@y.org", "x@y.zz@q.io", "a@b.c@d.ef"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(plain), 0).alias("a"), F.regexp_extract_all("t", F.lit(P.EMAIL), 0).alias("b"))
+    assert df.where("a <> b").count() == 0 and df.where("size(a) > 0").count() > 50
+    took = time.time()
+    long = spark.createDataFrame([("x" * 200_000 + " a@b.io " + "y" * 200_000,)], "t string").select(C.emails_in(F.col("t"), P.EMAIL).alias("e"))
+    assert long.first().e == ["a@b.io"] and time.time() - took < 5
