@@ -44,6 +44,19 @@ def columns(df: DataFrame) -> list:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def sheltered(df: DataFrame, needed: tuple[str, ...], apply) -> DataFrame:
+    """apply(df) with df's own columns alone and as they were: those that are not needed have other names while it is applied, so that it replaces none."""
+    safe = [c if c in needed else f"column {i}" for i, c in enumerate(df.columns)]
+    out = apply(df.toDF(*safe))
+    return out.select(*[F.col(f"`{s}`") for s in safe]).toDF(*df.columns)
+
+
+def map_rows(df: DataFrame, fn, added: dict[str, str] | None = None) -> DataFrame:
+    """fn over Arrow batches of df, with the fields `added` after its own. In the batches df's columns are c0, c1 and so on, as Spark cannot pass every name to Python."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(fn, extended(plain.schema, added or {})).toDF(*df.columns, *(added or {}))
+
+
 def smallest(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """The `rows` rows with the smallest hashes of key, which are a sample that does not depend on order.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batches, worker_state
+from .common import map_rows, split_batches, worker_state
 
 #: Edits allowed for each character of an item.
 RATIO = 0.1
@@ -149,15 +149,24 @@ class Matcher:
         if m < self.short:
             start = next((g for g in hits[0][2] if on_borders(text, g, g + m)), None)
             return None if start is None else (0, start, start + m)
-        start = text.find(item)
-        if start >= 0:
-            return 0, start, start + m
+        # an exact passage has all pieces
+        if len(hits) > k:
+            start = text.find(item)
+            if start >= 0:
+                return 0, start, start + m
         if not k:
             return None
-        low, high = max(0, min(at[0] - offset for _, offset, at in hits) - k), max(at[-1] - offset for _, offset, at in hits) + m + k
-        if sum(len(at) for _, _, at in hits) * DENSE > high - low:
-            distance, end = self.distance(n, 0, m, text[low:high])
-            return (distance, max(0, low + end - m - k), low + end) if distance <= k else None
+        total = sum([len(at) for _, _, at in hits])
+        if total * DENSE > m:
+            low, high = max(0, min(at[0] - offset for _, offset, at in hits) - k), max(at[-1] - offset for _, offset, at in hits) + m + k
+            if total * DENSE > high - low:
+                distance, end = self.distance(n, 0, m, text[low:high])
+                return (distance, max(0, low + end - m - k), low + end) if distance <= k else None
+        elif total == 1:
+            # most are chance hits that go no further
+            i, offset, at = hits[0]
+            if not self.holds(n, i, at[0] - offset, text, {}):
+                return None
         order, found, lo = sorted({(a - offset, i) for i, offset, at in hits for a in at}), None, 0
         while lo < len(order):
             hi = lo + 1
@@ -252,15 +261,14 @@ def clean(documents: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> D
     Each row is judged by its own text: a null or empty text stays. Rows are neither
     shuffled nor joined. Without documents the result is empty, without items nothing goes.
     """
-    spark = documents.sparkSession
+    spark, at = documents.sparkSession, documents.columns.index("text")
     for block in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block, ratio))
 
         def keep(batches, shared=shared):
             matcher = worker_matcher(*shared.value)
-            for batch in split_batches(batches, "text"):
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not matcher.find(normalise(t)) for t in texts], pa.bool_()))
+            for batch in split_batches(batches, at):
+                yield batch.filter(pa.array([not matcher.find(normalise(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        documents = documents.mapInArrow(keep, documents.schema)
+        documents = map_rows(documents, keep)
     return documents
