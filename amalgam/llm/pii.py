@@ -132,7 +132,7 @@ def scan(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + n), pa.int64()), pa.array(spans, kinds), pa.array(named, pa.list_(pa.int64())), terms], names=["doc_id", "row", "spans", "entities", "words"])
             row += n
 
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id long, row long, spans {span}, entities array<long>, words {word}")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(look, f"doc_id long, row long, spans {span}, entities array<long>, words {word}")
 
 
 def term_frequencies(documents: DataFrame) -> DataFrame:
@@ -196,7 +196,10 @@ def find(documents: DataFrame) -> DataFrame:
     Base spans are masked; terms are generalised or removed, wherever they stand in a
     document of the entity that they disclose. Positions are code points,
     ends exclusive. A null text counts as empty and has no spans; a null doc_id stays
-    null; repeated rows each get a row. An empty table gives an empty result.
+    null; repeated rows each get a row. Spans that start together come by kind, equal
+    ones by their end; a term that discloses several entities has one span, with the
+    stronger action. Columns other than doc_id and text are not read, so their names
+    matter nothing. An empty table gives an empty result.
     """
     found = stored(scan(documents), "pii")
     held = found.where("size(entities) > 0").select("row", F.explode("words").alias("w")).select("row", "w.*")

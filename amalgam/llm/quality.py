@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, extended, slices, split_batches, utf8, word_hashes, words, worker_state
+from .common import IS_SPACE, map_rows, slices, smallest, split_batches, utf8, word_hashes, words, worker_state
 
 #: Size of the hashed feature space, as a power of two.
 FEATURE_BITS = 20
@@ -24,8 +24,8 @@ CHAR_N = 5
 LEAST_Z = 5.0
 #: Text bytes that are scored at a time.
 STEP_BYTES = 1 << 19
-#: Most labelled rows that a fit uses; those with the smallest hash of their id.
-TRAIN_ROWS = 4000
+#: Most labelled rows that a fit uses, those with the smallest hash of their id, and most bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 #: A document goes if its low-quality or toxic probability reaches these.
 LOW_QUALITY_AT, TOXIC_AT = 0.5, 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -198,17 +198,17 @@ class QualityModel:
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    """Fit both heads on at most `rows` labelled documents, those with the smallest hash of doc_id.
+    """Fit both heads on at most `rows` labelled documents, those with the smallest hash of doc_id, as far as their texts are within TRAIN_BYTES.
 
     Labels or ids that are null are left out; a document or label that is repeated counts once.
     """
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
+    known = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = smallest(known, rows, "doc_id")
     found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    table = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).toArrow().sort_by("doc_id")
+    table = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    # a window over `rows` rows at most
+    reach = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    table = table.withColumn("reach", F.sum(F.octet_length("text").cast("long")).over(reach)).where(F.col("reach") <= TRAIN_BYTES).drop("reach").toArrow().sort_by("doc_id")
     if not table.num_rows:
         return QualityModel(None, None)
     parts, at = [], 0
@@ -231,20 +231,21 @@ def judge(documents: DataFrame, model: QualityModel) -> DataFrame:
     """documents with the measures, base_failed, p_low_quality, p_toxic and kept.
 
     A null text counts as empty: no words, so base_failed. A head that could not be
-    fitted gives a null probability and rejects nothing. Columns of documents named
-    like the results are replaced; others stay.
+    fitted gives a null probability and rejects nothing. Repeated rows each get a row.
+    Columns of documents named like the results are replaced; others stay, whatever
+    their names. An empty table gives an empty result.
     """
     kinds = {k: "long" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": "boolean", "p_low_quality": "double", "p_toxic": "double", "kept": "boolean"}
     added = list(kinds)
     documents = documents.drop(*added)
+    at = documents.columns.index("text")
 
     def score(batches):
         # Spark itself broadcasts a function of this size; pickled with it, the model needs no installed package
         m = model
         worker_state().clear()
-        for batch in split_batches(batches, "text"):
-            text = batch.column(batch.schema.get_field_index("text"))
-            raw, offsets = utf8(text.fill_null(""))
+        for batch in split_batches(batches, at):
+            raw, offsets = utf8(batch.column(at).fill_null(""))
             n = batch.num_rows
             pieces = []
             for lo, hi in slices(offsets, STEP_BYTES):
@@ -265,4 +266,4 @@ def judge(documents: DataFrame, model: QualityModel) -> DataFrame:
                 names=[*batch.schema.names, *added],
             )
 
-    return documents.mapInArrow(score, extended(documents.schema, kinds))
+    return map_rows(documents, score, kinds)

@@ -1,6 +1,7 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the rest."""
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -9,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import map_rows, smallest, split_batches
 
 #: Most labelled URLs that a fit uses; those with the smallest hash.
 TRAIN_ROWS = 20_000
+#: Parts of the labelled URLs for out-of-fold rates; a URL's own part does not tell its rates.
+FOLDS = 5
 #: A host suffix or first path segment has a statistic of its own from so many labelled URLs on.
 LEAST_ROWS = 5
 BLOCK_AT = 0.5
@@ -21,7 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path): the host follows the first :// up to /, ? or #, with A-Z lower-cased; the path goes on up to ? or #. Both are empty for null or without ://."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
@@ -47,8 +50,8 @@ def apply_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     Rules are few and become one expression, so pages are neither shuffled nor joined.
     """
     pages = pages.drop("host", "path", "rule", "rule_verdict")
-    host, path = split_url(F.col("__url"))
-    split = pages.withColumn("__url", F.col("url")).withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))}).drop("__url")
+    host, path = split_url(F.col("url"))
+    split = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     rule = verdict = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
         fits = ((F.col("host") == r.host) | F.endswith("host", F.lit(f".{r.host}"))) & F.startswith("path", F.lit(r.path))
@@ -78,10 +81,10 @@ def keys(host: str, path: str) -> list[str]:
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "host_digits", "entropy", "host_entropy", "parameters", "hyphens", "odd_characters", "longest_run", "tld_rate", "site_rate", "segment_rate")
 
 
-def lexical(urls: list[str | None], rates: dict[str, float], prior: float) -> np.ndarray:
-    """The FEATURES of each URL; unseen suffixes get the prior rate."""
+def lexical(urls: list[str | None], rates: list[dict[str, float]], prior: float) -> np.ndarray:
+    """The FEATURES of each URL, with rates of its own; unseen suffixes get the prior rate."""
     out = np.zeros((len(urls), len(FEATURES)))
-    for i, url in enumerate(urls):
+    for i, (url, known) in enumerate(zip(urls, rates, strict=True)):
         url = url or ""
         host, path, query = parts(url)
         digits = sum(c.isdigit() for c in url)
@@ -92,7 +95,7 @@ def lexical(urls: list[str | None], rates: dict[str, float], prior: float) -> np
         out[i] = (
             len(url), len(host), len(path), host.count(".") + 1, path.count("/"), digits / max(1, len(url)), sum(c.isdigit() for c in host),
             _entropy(url), _entropy(host), query.count("=") + query.count("&"), host.count("-"), sum(not (c.isalnum() or c in "/:.-?#=&_") for c in url), longest,
-            *(rates.get(k, prior) for k in keys(host, path)),
+            *(known.get(k, prior) for k in keys(host, path)),
         )
     return out
 
@@ -124,7 +127,7 @@ class Boosted:
     base_rate: float = 0.5
 
     def probability(self, urls: list[str | None]) -> np.ndarray:
-        x = lexical(urls, self.rates, self.base_rate)
+        x = lexical(urls, [self.rates] * len(urls), self.base_rate)
         z = np.full(len(x), self.prior)
         for tree in self.trees:
             z += self.rate * tree(x)
@@ -163,21 +166,36 @@ def grow(x_bin: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.
     return Tree(depth, feature, cut, -g / (h + l2))
 
 
-def train(urls: list[str | None], blocked: np.ndarray, rounds: int = 60, depth: int = 3, l2: float = 1.0) -> Boosted:
-    """Boosted trees from URLs with 0/1 labels. With one class only, its share is the prediction; without rows it is a half, less a bit: nothing is blocked."""
-    n = len(urls)
-    if not n:
-        return Boosted(prior=-1.0)
-    rate = (blocked.sum() + 0.5) / (n + 1)
-    model = Boosted(prior=float(np.log(rate / (1 - rate))), base_rate=float(rate))
+def fold(url: str | None) -> int:
+    return zlib.crc32((url or "").encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def suffix_rates(urls: list[str | None], blocked: np.ndarray, rate: float) -> dict[str, float]:
+    """The blocked share of each key that LEAST_ROWS URLs have, drawn towards `rate` by two more of them."""
     seen, hit = Counter(), Counter()
     for url, y in zip(urls, blocked, strict=True):
         host, path, _ = parts(url or "")
         for k in keys(host, path):
             seen[k] += 1
             hit[k] += int(y)
-    model.rates = {k: (hit[k] + 2 * rate) / (c + 2) for k, c in seen.items() if c >= LEAST_ROWS}
-    x = lexical(urls, model.rates, model.base_rate)
+    return {k: (hit[k] + 2 * rate) / (c + 2) for k, c in seen.items() if c >= LEAST_ROWS}
+
+
+def train(urls: list[str | None], blocked: np.ndarray, rounds: int = 60, depth: int = 3, l2: float = 1.0) -> Boosted:
+    """Boosted trees from URLs with 0/1 labels. With one class only, its share is the prediction; without rows it is a half, less a bit: nothing is blocked.
+
+    A URL learns with the suffix rates of the other folds, as its own label would give
+    itself away; the model keeps those of all.
+    """
+    n = len(urls)
+    if not n:
+        return Boosted(prior=-1.0)
+    rate = (blocked.sum() + 0.5) / (n + 1)
+    model = Boosted(prior=float(np.log(rate / (1 - rate))), base_rate=float(rate))
+    model.rates = suffix_rates(urls, blocked, rate)
+    folds = np.array([fold(u) for u in urls])
+    others = [suffix_rates([u for u, g in zip(urls, folds, strict=True) if g != f], blocked[folds != f], rate) for f in range(FOLDS)]
+    x = lexical(urls, [others[f] for f in folds], model.base_rate)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1], method="lower")) for c in x.T]
     edges = [e[e < c.max()] for e, c in zip(edges, x.T, strict=True)]
     x_bin = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)])
@@ -190,24 +208,46 @@ def train(urls: list[str | None], blocked: np.ndarray, rounds: int = 60, depth:
     return model
 
 
+def sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """(urls, 1 for block) of at most `rows` distinct URLs of labelled (url, verdict), those with the smallest hash; nulls are left out, and block wins over allow."""
+    known = labelled.where("url IS NOT NULL AND verdict IN ('allow', 'block')").groupBy("url").agg(F.max("verdict").alias("verdict"))
+    chosen = smallest(known, rows, "url").toArrow()
+    return chosen["url"].to_pylist(), np.array([v == "block" for v in chosen["verdict"].to_pylist()], float)
+
+
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
-    """Fit on at most `rows` distinct URLs of labelled (url, verdict), those with the smallest hash; nulls are left out."""
-    chosen = labelled.where("url IS NOT NULL AND verdict IN ('allow', 'block')").groupBy("url").agg(F.max("verdict").alias("verdict")).orderBy(F.xxhash64("url"), "url").limit(rows).toArrow()
-    return train(chosen["url"].to_pylist(), np.array([v == "block" for v in chosen["verdict"].to_pylist()], float))
+    """Fit on sample() of labelled."""
+    return train(*sample(labelled, rows))
+
+
+def held_out(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, float]:
+    """How a model of four fifths of sample() judges the other fifth: rows, blocked share, accuracy, and the area under its ROC curve."""
+    urls, blocked = sample(labelled, rows)
+    # another cut than the folds
+    test = np.array([zlib.crc32(u[::-1].encode("utf-8", "surrogatepass")) % 5 == 0 for u in urls], bool)
+    p = train([u for u, t in zip(urls, test, strict=True) if not t], blocked[~test]).probability([u for u, t in zip(urls, test, strict=True) if t])
+    y = blocked[test]
+    _, place, count = np.unique(p, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(count) - (count - 1) / 2)[place]
+    n1, n0 = y.sum(), (1 - y).sum()
+    area = (ranks[y > 0].sum() - n1 * (n1 + 1) / 2) / max(1, n1 * n0)
+    return {"rows": len(y), "blocked": float(y.mean()) if len(y) else 0.0, "accuracy": float(((p >= BLOCK_AT) == (y > 0)).mean()) if len(y) else 0.0, "area": float(area)}
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: Boosted) -> DataFrame:
     """pages with host, path, rule, p_block and verdict: the rule's where one fits, else block where p_block reaches BLOCK_AT.
 
     A null url has an empty host and path, fits no rule and is judged like an empty
-    one. Other columns stay; those named like the results are replaced.
+    one; repeated rows each get a row. Other columns stay, whatever their names; those
+    named like the results (and rule_verdict) are replaced. An empty table gives an
+    empty result.
     """
     ruled = apply_rules(pages.drop("p_block", "verdict"), rules)
+    at = ruled.columns.index("url")
 
     def score(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("url"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(column.to_pylist()))], names=[*batch.schema.names, "p_block"])
+        for batch in split_batches(batches, at):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.probability(batch.column(at).to_pylist()))], names=[*batch.schema.names, "p_block"])
 
-    scored = ruled.mapInArrow(score, extended(ruled.schema, {"p_block": "double"}))
+    scored = map_rows(ruled, score, {"p_block": "double"})
     return scored.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("p_block") >= BLOCK_AT, "block").otherwise("allow"))).drop("rule_verdict")

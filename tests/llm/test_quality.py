@@ -1,11 +1,13 @@
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from amalgam.llm import quality
-from amalgam.llm.common import utf8
+from amalgam.llm import quality, queries
+from amalgam.llm.common import utf8, word_hashes, words
 
 from .helpers import SPACE, awkward, frame
 
@@ -72,3 +74,48 @@ def test_without_labels(spark):
     assert quality.judge(frame(spark, []), quality.fit(docs, none)).count() == 0
     one_class = frame(spark, [(1, 1, 0), (2, 1, 0)], none.schema)
     assert quality.fit(docs, one_class).toxic is None
+
+
+def plain_probability(head, text):
+    """A head's probability of one text, feature by feature."""
+    raw = (text or "").encode()
+    start, end, doc = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    h = [int(x) for x in word_hashes(np.frombuffer(raw, np.uint8), start, end)]
+    full, shift = (1 << 64) - 1, 64 - quality.FEATURE_BITS
+    found = {x >> shift for x in h}
+    found |= {((a * 3 + b) * 0xD6E8FEB86659FD93 & full) >> shift for a, b in zip(h, h[1:], strict=False)}
+    low = raw.lower()
+    found |= {(int.from_bytes(low[i : i + 5], "little") * 0x9E3779B97F4A7C15 & full) >> shift for i in range(len(low) - 4)}
+    z = head.bias + sum(float(head.weights[f]) for f in found)
+    return 1 / (1 + math.exp(-max(-30, min(30, head.slope * z + head.intercept))))
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    docs, labels, truth = labelled(spark)
+    more = [(1000 + i, t) for i, t in enumerate(TEXTS)]
+    every = docs.union(frame(spark, more))
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.where("doc_id < 250").write.parquet(str(tmp_path / "labels.parquet"))
+    model = quality.fit(every, labels.where("doc_id < 250"))
+    got = {r.doc_id: r for r in queries.op9_quality(spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: r.text for r in every.collect()}
+    assert set(got) == set(rows)
+    for i, text in rows.items():
+        p, r = plain(text), got[i]
+        assert {k: r[k] for k in p} == p
+        low, toxic = plain_probability(model.low_quality, text), plain_probability(model.toxic, text)
+        assert abs(r.p_low_quality - low) < 1e-6 and abs(r.p_toxic - toxic) < 1e-6
+        failed = p["n_words"] < 10 or 100 * p["n_repeat_words"] > 20 * p["n_words"]
+        assert r.base_failed == failed and r.kept == (not failed and low < quality.LOW_QUALITY_AT and toxic < quality.TOXIC_AT)
+    held = [(got[i].kept, q == 1 and t == 0) for i, q, t in truth[250:]]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+
+
+def test_fit_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels, _ = labelled(spark, 60)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 500)
+    seen = []
+    real = quality.features
+    monkeypatch.setattr(quality, "features", lambda raw, offsets: seen.append(len(raw)) or real(raw, offsets))
+    quality.fit(docs, labels)
+    assert 0 < sum(seen) <= 500
