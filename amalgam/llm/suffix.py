@@ -6,27 +6,28 @@
    documents ask key ranges which of their anchors another document has. Bytes outside
    windows with such an anchor cannot be in any match. (Anchor keys are short hashes;
    a chance collision only leaves more for the next step.)
-3. The documents with such windows go into shards by ranges of doc_id. Each shard's
-   candidate pieces get a suffix array by Larsson-Sadakane refinement and common
-   prefixes by Kasai's rule, and so runs of suffixes that share LENGTH bytes; within a
-   run the smallest doc_id keeps its bytes.
-4. Across shards, each run's first LENGTH bytes stand as a 64-bit hash. Key ranges merge
-   the shards' sorted lists and find by binary search which strings an earlier shard
-   has; an earlier shard is one with smaller ids.
-
-Nothing is compared pair by pair, and hashes spread hot strings evenly over ranges.
+3. The documents with such windows are dealt into shards. Each shard's candidate pieces,
+   cut into blocks that overlap by a window, get a suffix array by Larsson-Sadakane
+   refinement and common prefixes by Kasai's rule, and so runs of suffixes that share
+   LENGTH bytes; within a run the smallest doc_id keeps its bytes.
+4. Across shards, each run's first LENGTH bytes stand as a hash of over 64 bits, with the
+   smallest doc_id of the run. Key ranges merge the shards' sorted lists and find by
+   binary search which strings a smaller doc_id has elsewhere.
+
+Nothing is compared pair by pair, and hashes spread hot strings evenly over ranges. A
+chunk or shard sends a row to each range that it has keys for, so rows grow with chunks
+times ranges at first and never over one for each key; a range takes RANGE_KEYS keys.
 """
 
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, utf8
-from .lm import squeeze, stretch
+from .common import mix64, slices, stored
+from .lm import cut, squeeze, squeeze_counts, stretch, stretch_counts
 
 #: Bytes of a string that counts as repeated, and bytes of an anchor.
 LENGTH, ANCHOR = 50, 24
@@ -34,22 +35,28 @@ LENGTH, ANCHOR = 50, 24
 CHUNK_BYTES, SHARD_BYTES = 6 << 20, 3 << 19
 #: Bytes that are hashed at a time.
 STEP_BYTES = 1 << 19
+#: Keys that a range should answer, and ranges that small inputs have for the sake of parallel work, one for each chunk or shard.
+RANGE_KEYS, FEW_RANGES = 2 << 20, 128
+#: Windows of a block: repeats over that are not sorted any further.
+BLOCK_WINDOWS = 256
 
 
 def lanes(raw: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as uint64; zeros follow the end."""
-    out = np.zeros(len(raw), np.uint64)
-    for k in range(min(8, len(raw))):
-        out[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
+    n = len(raw)
+    padded, out = np.concatenate([raw, np.zeros(16, np.uint8)]), np.empty(n, np.uint64)
+    for k in range(8):
+        every = out[k::8]
+        every[:] = padded[k : k + 8 * len(every)].view("<u8")
     return out
 
 
-def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
+def string_hashes(raw: np.ndarray, length: int, eight: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of the `length` bytes from each position on; the last ones, which lack bytes, mean nothing."""
-    eight = lanes(raw)
+    eight = lanes(raw) if eight is None else eight
     h = np.full(len(raw), np.uint64(0x243F6A8885A308D3 ^ length))
     spare = np.empty(len(raw), np.uint64)
-    for at in sorted({*range(0, length - 7, 8), length - 8}):
+    for at in lane_places(length):
         h[: max(0, len(raw) - at)] ^= eight[at:]
         h *= np.uint64(0x9E3779B97F4A7C15)
         np.right_shift(h, np.uint64(29), out=spare)
@@ -57,6 +64,24 @@ def string_hashes(raw: np.ndarray, length: int) -> np.ndarray:
     return mix64(h)
 
 
+def second_hashes(eight: np.ndarray, length: int, bits: int) -> np.ndarray:
+    """`bits` more, from a polynomial over the same lanes."""
+    h = np.full(len(eight), np.uint64(0x13198A2E03707344))
+    for at in lane_places(length):
+        h *= np.uint64(0xD1342543DE82EF95)
+        h[: max(0, len(eight) - at)] += eight[at:]
+    return mix64(h) >> np.uint64(64 - bits)
+
+
+def more_bits(size: int) -> int:
+    """Bits beyond 64 that tell so many strings apart, but for a chance of one in a million."""
+    return min(62, max(8, 2 * int(size).bit_length() + 20 - 64))
+
+
+def lane_places(length: int) -> list[int]:
+    return sorted({*range(0, length - 7, 8), length - 8})
+
+
 def slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over x[i : i + width]; shorter at the end."""
     out, span = x.copy(), 1
@@ -78,14 +103,6 @@ def anchors(raw: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start[full], end[full], least[start[full]]
 
 
-def groups(offsets: np.ndarray, most: int = STEP_BYTES):
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
 def windows_inside(offsets: np.ndarray) -> np.ndarray:
     """Whether a window of LENGTH bytes from each position stays within its document."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
@@ -114,7 +131,7 @@ class Chunk:
         """(document, start, end, key) of the runs of windows with one anchor; positions count from the document's start."""
         out = []
         offsets = np.concatenate([[0], np.cumsum([len(self.texts[k]) for k in self.rest], dtype=np.int64)])
-        for lo, hi in groups(offsets):
+        for lo, hi in slices(offsets, STEP_BYTES):
             raw, bounds = np.frombuffer(b"".join(self.texts[k] for k in self.rest[lo:hi]), np.uint8), offsets[lo : hi + 1] - offsets[lo]
             start, end, h = anchors(raw, windows_inside(bounds))
             # equal neighbours may make a run go on into the next document
@@ -135,12 +152,6 @@ class Chunk:
         return distinct, place, high > low
 
 
-def cut(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Bounds of `ranges` equal parts of the key space in a sorted key array."""
-    inner = np.array([(1 << bits) * r // ranges for r in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]]).astype(np.int64)
-
-
 def key_bits(text_bytes: int) -> int:
     """Bits of an anchor key: 16 more than count the anchors, so that one in some 65,000 collides."""
     return min(63, max(32, int(text_bytes // 8).bit_length() + 16))
@@ -223,12 +234,11 @@ def suffix_array(symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.
     of the suffix twice as far on, and leaves sorted ones alone.
     """
     n = len(symbols)
-    key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
-    padded = np.concatenate([symbols, np.zeros(7, symbols.dtype)]).astype(np.uint64)
-    for j in range(7):
-        sym = padded[j : j + n]
-        key |= np.where(alive, sym, np.uint64(0)) << np.uint64(9 * (6 - j))
-        alive &= sym > 0
+    # seven bytes, first ones highest, none from beyond the piece; then how many there are, so that an end sorts before a zero byte
+    left = np.minimum(stop - np.arange(n), 7).astype(np.uint64)
+    key = lanes(np.where(symbols > 0, symbols - 1, 0).astype(np.uint8)).byteswap()
+    key &= ~(~np.uint64(0) >> (left * np.uint64(8)))
+    key |= left
     sa = np.argsort(key)
     # ends of pieces sort first and are told apart by their place at once
     ends = int((symbols == 0).sum())
@@ -273,96 +283,150 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray) -> np.ndarray:
     i = place[inner]
     carried[inner] = (symbols[i - 1] == symbols[before[i] - 1]) & (symbols[i - 1] > 0)
     shared = np.zeros(n, np.int64)
+    eight = lanes(np.where(symbols > 0, symbols - 1, 0).astype(np.uint8))
+    stop = np.minimum.accumulate(np.where(symbols == 0, place, n)[::-1])[::-1]
     live = np.flatnonzero(~carried & (before >= 0))
-    padded = np.concatenate([symbols, np.zeros(8, symbols.dtype)])
+    room = np.minimum(stop[live] - live, stop[before[live]] - before[live])
     while len(live):
-        at, other = live + shared[live], before[live] + shared[live]
-        more = np.zeros(len(live), np.int64)
-        going = np.ones(len(live), bool)
-        for j in range(8):
-            x = padded[np.minimum(at + j, n)]
-            going &= (x == padded[np.minimum(other + j, n)]) & (x > 0)
-            more += going
-        shared[live] += more
-        live = live[going]
+        have = shared[live]
+        apart = eight[np.minimum(live + have, n - 1)] ^ eight[np.minimum(before[live] + have, n - 1)]
+        # bytes below the lowest bit that differs; eight if none does
+        same = (np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+        reach = np.minimum(have + same, room)
+        shared[live] = reach
+        going = (same == 8) & (reach < room)
+        live, room = live[going], room[going]
     compared = np.maximum.accumulate(np.where(carried, 0, place))
     permuted = shared[compared] - (place - compared)
     return np.maximum(permuted, 0)[sa]
 
 
 class Shard:
-    """The candidate pieces of a shard, one after another, each followed by an end mark."""
+    """The candidate pieces of a shard in blocks, one after another, each followed by an end mark.
+
+    A block starts BLOCK_WINDOWS windows, and goes on for the rest of the last of them;
+    so each window is in one block, and no common prefix is much longer than a block.
+    """
 
     def __init__(self, table: pa.Table):
         columns = [table[c].to_pylist() for c in ("doc_id", "chunk", "k", "starts", "lengths", "data")]
         self.rows = sorted(zip(*columns, strict=True))
-        self.pieces = [(r, a) for r, row in enumerate(self.rows) for a in row[3]]
-        lengths = np.array([n for row in self.rows for n in row[4]], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        # an end mark after each piece
-        self.raw = np.insert(np.frombuffer(b"".join(row[5] for row in self.rows), np.uint8), np.cumsum(lengths), 0)
-        self.stop = np.repeat(self.first[1:] - 1, lengths + 1)
+        row = np.repeat(np.arange(len(self.rows)), [len(r[3]) for r in self.rows])
+        start = np.array([a for r in self.rows for a in r[3]], np.int64)
+        length = np.array([n for r in self.rows for n in r[4]], np.int64)
+        before = np.cumsum(length) - length
+        blocks = np.maximum(1, -(-(length - LENGTH + 1) // BLOCK_WINDOWS))
+        piece = np.repeat(np.arange(len(length)), blocks)
+        offset = (np.arange(len(piece)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK_WINDOWS
+        size = np.minimum(length[piece] - offset, BLOCK_WINDOWS + LENGTH - 1)
+        self.first = np.concatenate([[0], np.cumsum(size + 1)])
+        #: Row of each block, and where in the row's text it starts.
+        self.row, self.start = row[piece], start[piece] + offset
+        stop = self.first[1:] - 1
+        self.stop = np.repeat(stop, size + 1)
+        inside = np.arange(self.first[-1]) - np.repeat(self.first[:-1], size + 1)
+        data = np.frombuffer(b"".join(r[5] for r in self.rows), np.uint8)
+        source = np.minimum(np.repeat(before[piece] + offset, size + 1) + inside, max(0, len(data) - 1))
+        self.raw = data[source] if len(data) else np.zeros(len(inside), np.uint8)
+        self.raw[stop] = 0
         self.symbols = self.raw.astype(np.uint16) + 1
-        self.symbols[self.first[1:] - 1] = 0
-        row = np.repeat(np.array([r for r, _ in self.pieces], np.int64), lengths + 1)
-        self.doc = np.array([row[0] for row in self.rows], np.int64)[row]
+        self.symbols[stop] = 0
+        self.doc = np.repeat(np.array([r[0] for r in self.rows], np.int64)[self.row], size + 1)
         self.room = np.arange(len(self.raw)) + LENGTH <= self.stop
 
-    def hashes(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(string_hashes(self.raw[a : a + STEP_BYTES + LENGTH], LENGTH)[:STEP_BYTES] for a in range(0, len(self.raw), STEP_BYTES))])
-
-    def local(self) -> tuple[np.ndarray, np.ndarray]:
-        """(positions whose LENGTH bytes an earlier document of the shard has, one position of each run)."""
+    def hashes(self, at: np.ndarray, more: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, `more` bits of second ones) of the windows at the positions `at`."""
+        first, second = np.empty(len(self.raw), np.uint64), np.empty(len(self.raw), np.uint64)
+        for a in range(0, len(self.raw), STEP_BYTES):
+            part = self.raw[a : a + STEP_BYTES + LENGTH]
+            eight, n = lanes(part), min(STEP_BYTES, len(self.raw) - a)
+            first[a : a + n] = string_hashes(part, LENGTH, eight)[:n]
+            second[a : a + n] = second_hashes(eight, LENGTH, more)[:n]
+        return first[at], second[at]
+
+    def local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions whose LENGTH bytes an earlier document of the shard has, one position of each run, its smallest doc_id)."""
         sa, _ = suffix_array(self.symbols, self.stop)
         shared = common_prefixes(self.symbols, sa)
-        run = np.cumsum(shared < LENGTH) - 1
-        least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, run, self.doc[sa])
+        begins = np.flatnonzero(shared < LENGTH)
+        least = np.minimum.reduceat(self.doc[sa], begins)
         covered = np.zeros(len(sa), bool)
-        covered[sa] = self.doc[sa] > least[run]
-        heads = sa[np.flatnonzero(shared < LENGTH)]
-        return covered & self.room, heads[self.room[heads]]
+        covered[sa] = self.doc[sa] > np.repeat(least, np.diff(np.append(begins, len(sa))))
+        heads = sa[begins]
+        full = self.room[heads]
+        return covered & self.room, heads[full], least[full]
+
+
+def by_hashes(h: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The order of strings by both hashes."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    # strings of one first hash are rare, unless they are the same
+    return np.lexsort((h2, h)) if (same & (h2[order][1:] != h2[order][:-1])).any() else order
 
 
-def in_shards(found: DataFrame, ranges: int) -> DataFrame:
-    """(place, shard, blob): in places from 0 on, the key ranges, sorted hashes of each shard's distinct strings; below 0, at a place of its own, the positions that the shard itself covers."""
-    schema = pa.schema([("place", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())])
+def distinct(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, h2 of the distinct strings in order, order of all strings, where each distinct one begins in it)."""
+    order = by_hashes(h, h2)
+    a, b = h[order], h2[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    begins = np.flatnonzero(new)
+    return a[begins], b[begins], order, begins
+
+
+def look_up(h: np.ndarray, h2: np.ndarray, key: np.ndarray, key2: np.ndarray) -> np.ndarray:
+    """Places of strings in a sorted list of distinct strings that holds them all, by binary search."""
+    at = np.searchsorted(h, key)
+    while len(wrong := np.flatnonzero(h2[at] != key2)):
+        at[wrong] += 1
+    return at
+
+
+def in_shards(found: DataFrame, ranges: int, more: int) -> DataFrame:
+    """(place, shard, keys, second, docs, who): in places from 0 on, the key ranges, sorted hashes of each shard's distinct strings, doc_ids, and which of these is the smallest of each string; below 0, at a place of its own, the positions that the shard itself covers."""
+    schema = pa.schema([("place", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("keys", "second", "docs", "who"))])
 
     def sort(table: pa.Table) -> pa.Table:
         shard = Shard(table)
-        covered, heads = shard.local()
-        keys = np.unique(shard.hashes()[heads])
-        number, bounds = table["shard"][0].as_py(), cut(keys, ranges, 64)
-        rows = [(-1 - number, number, squeeze(np.packbits(covered)))]
-        rows += [(r, number, squeeze(np.diff(keys[a:b], prepend=np.uint64(0)))) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+        covered, heads, least = shard.local()
+        h, h2 = shard.hashes(heads, more)
+        order = by_hashes(h, h2)
+        h, h2, least = h[order], h2[order], least[order]
+        number, bounds = table["shard"][0].as_py(), cut(h, ranges, 64)
+        rows = [(-1 - number, number, squeeze(np.packbits(covered)), b"", b"", b"")]
+        for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if a < b:
+                docs, who = np.unique(least[a:b], return_inverse=True)
+                rows.append((r, number, squeeze(np.diff(h[a:b], prepend=np.uint64(0))), squeeze_counts(h2[a:b]), squeeze(np.diff(docs, prepend=0)), squeeze_counts(who)))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return found.groupBy("shard").applyInArrow(sort, "place int, shard int, blob binary")
+    return found.groupBy("shard").applyInArrow(sort, "place int, shard int, keys binary, second binary, docs binary, who binary")
 
 
 def merge_shards(sorted_: DataFrame) -> DataFrame:
-    """(shard, range, bits): for each string of a shard, whether a shard before it has it; in range -1, the shard's own positions.
+    """(shard, range, bits): for each string of a shard, whether a smaller doc_id has it elsewhere; in range -1, the shard's own positions.
 
-    The lists of a range become one sorted list of strings with the first shard of
+    The lists of a range become one sorted list of strings with the smallest doc_id of
     each, in which every shard looks its own up by binary search.
     """
 
     def merge(table: pa.Table) -> pa.Table:
         place = table["place"][0].as_py()
         if place < 0:
-            return pa.table([table["shard"], pa.array([-1] * table.num_rows, pa.int32()), table["blob"]], names=["shard", "range", "bits"])
-        table = table.sort_by("shard")
-        shards = table["shard"].to_numpy()
-        lists = [np.cumsum(stretch(b.as_py(), "<u8"), dtype=np.uint64) for b in table["blob"]]
-        merged, at = np.unique(np.concatenate(lists), return_index=True)
-        first = np.repeat(shards, [len(x) for x in lists])[at]
-        bits = [squeeze(np.packbits(first[np.searchsorted(merged, keys)] < shard)) for shard, keys in zip(shards, lists, strict=True)]
+            return pa.table([table["shard"], pa.array([-1] * table.num_rows, pa.int32()), table["keys"]], names=["shard", "range", "bits"])
+        lists = []
+        for keys, second, docs, who in zip(*(table[c] for c in ("keys", "second", "docs", "who")), strict=True):
+            lists.append((np.cumsum(stretch(keys.as_py(), "<u8"), dtype=np.uint64), stretch_counts(second.as_py()).astype(np.uint64), np.cumsum(stretch(docs.as_py(), "<i8"))[stretch_counts(who.as_py())]))
+        h, h2, order, begins = distinct(*(np.concatenate([x[c] for x in lists]) for c in (0, 1)))
+        first = np.minimum.reduceat(np.concatenate([x[2] for x in lists])[order], begins)
+        bits = [squeeze(np.packbits(first[look_up(h, h2, key, key2)] < doc)) for key, key2, doc in lists]
         return pa.table([table["shard"], pa.array([place] * len(bits), pa.int32()), pa.array(bits, pa.binary())], names=["shard", "range", "bits"])
 
     return sorted_.groupBy("place").applyInArrow(merge, "shard int, range int, bits binary")
 
 
-def removed_runs(found: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
+def removed_runs(found: DataFrame, merged: DataFrame, ranges: int, more: int) -> DataFrame:
     """(chunk, k, starts, ends): the byte runs that a chunk's k-th document loses; documents that lose nothing are left out."""
     schema = pa.schema([("chunk", pa.int32()), ("k", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
@@ -372,24 +436,22 @@ def removed_runs(found: DataFrame, merged: DataFrame, ranges: int) -> DataFrame:
         shard = Shard(table)
         place = answer["range"].to_pylist()
         covered = np.unpackbits(stretch(answer["bits"][place.index(-1)].as_py(), "u1"), count=len(shard.raw)).astype(bool)
-        keys, at = np.unique(shard.hashes()[shard.room], return_inverse=True)
-        earlier = read_bits(answer.filter(pa.array([r != -1 for r in place])), keys, ranges, 64)
-        covered[shard.room] |= earlier[at]
-        change = np.zeros(len(covered) + LENGTH + 1, np.int32)
+        at = np.flatnonzero(shard.room)
+        h, _, order, begins = distinct(*shard.hashes(at, more))
+        earlier = read_bits(answer.filter(pa.array([r != -1 for r in place])), h, ranges, 64)
+        covered[at[order]] |= np.repeat(earlier, np.diff(np.append(begins, len(order))))
+        # windows that begin where the row's text is covered; blocks of a piece follow one another
         at = np.flatnonzero(covered)
-        change[at] += 1
-        change[at + LENGTH] -= 1
-        edge = np.diff((np.cumsum(change)[: len(covered)] > 0).astype(np.int8), prepend=0, append=0)
-        begin, finish = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        piece = np.searchsorted(shard.first, begin, side="right") - 1
-        spans: dict[int, tuple[list, list]] = {}
-        for p, a, b in zip(piece.tolist(), begin.tolist(), finish.tolist(), strict=True):
-            row, offset = shard.pieces[p]
-            shift = offset - int(shard.first[p])
-            mine = spans.setdefault(row, ([], []))
-            mine[0].append(a + shift)
-            mine[1].append(b + shift)
-        rows = [(shard.rows[r][1], shard.rows[r][2], *x) for r, x in spans.items()]
+        block = np.searchsorted(shard.first, at, side="right") - 1
+        row, start = shard.row[block], shard.start[block] + at - shard.first[block]
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + LENGTH)
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(at)) - 1
+        lost = row[begin]
+        bounds = np.flatnonzero(np.diff(lost, prepend=-1, append=-1)).tolist()
+        starts, ends = start[begin].tolist(), (start[last] + LENGTH).tolist() if len(at) else []
+        rows = [(shard.rows[lost[a]][1], shard.rows[lost[a]][2], starts[a:b], ends[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
     return found.groupBy("shard").cogroup(merged.groupBy("shard")).applyInArrow(apply, "chunk int, k int, starts array<int>, ends array<int>")
@@ -414,57 +476,45 @@ def cut_texts(dealt: DataFrame, removed: DataFrame, with_text: bool) -> DataFram
     return dealt.groupBy("chunk").cogroup(removed.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_bytes long, starts array<int>, ends array<int>, sha string, kept binary")
 
 
-def release(spark) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
-    import gc
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def parts(keys: float, least: int) -> int:
+    """Key ranges for so many keys."""
+    return max(1, min(least, FEW_RANGES), -(-int(keys) // RANGE_KEYS))
 
 
 def repeated_strings(documents: DataFrame, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, starts, ends, sha (and kept): for every document the byte runs that strings of LENGTH bytes from documents with smaller ids cover.
 
     Null texts are empty. A document with a null id loses nothing and takes nothing.
-    Rows with equal ids do not count as earlier than each other. Texts under LENGTH
-    bytes stay. An empty table gives an empty result.
+    Rows with equal ids do not count as earlier than each other; each gets a row. Texts
+    under LENGTH bytes stay. Columns other than doc_id and text are not read, so their
+    names matter nothing. An empty table gives an empty result.
     """
-    spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
     # texts under LENGTH bytes hold no string that counts, so however frequent they are, they stay out of everything below
-    every = documents.select("doc_id", text.alias("text"))
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     short = every.where(F.octet_length("text") < LENGTH)
     hashed = every.where(F.octet_length("text") >= LENGTH).withColumn("h", F.xxhash64("text"))
-    sizes = hashed.select("h", F.octet_length("text").cast("long").alias("n"), F.crc32("text").alias("c"), "doc_id").groupBy("h", "c", "n").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
+    sizes = hashed.select("h", F.octet_length("text").cast("long").alias("n"), F.xxhash64(F.lit(1), "text").alias("c"), "doc_id").groupBy("h", "c", "n").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
     sizes = stored(sizes, "texts")
     total = sizes.agg(F.sum(F.col("rows") * F.col("n"))).first()[0] or 0
-    # texts whose copies would fill half a chunk: at most two for each chunk
-    hot = sizes.where(F.col("rows") * F.col("n") > chunk_bytes // 2).where("rows > 1").select("h", F.col("c").alias("_c"), F.col("n").alias("_n"), "first")
+    # texts whose copies would fill half a chunk: at most two for each chunk. The copies go as a whole, as any chunk that held them would find
+    hot = sizes.where(F.col("rows") * F.col("n") > chunk_bytes // 2).where("rows > 1").select("h", F.col("c").alias("other"), F.col("n").alias("size"), "first")
     hot = stored(hot, "hot")
     # Spark broadcasts the stored table if it is small, and else splits what is hot
     marked = hashed.join(hot, "h", "left")
-    is_copy = F.coalesce((F.crc32("text") == F.col("_c")) & (F.octet_length("text") == F.col("_n")) & (F.col("doc_id") > F.col("first")), F.lit(False))
+    is_copy = F.coalesce((F.xxhash64(F.lit(1), "text") == F.col("other")) & (F.octet_length("text") == F.col("size")) & (F.col("doc_id") > F.col("first")), F.lit(False))
     chunks = max(1, -(-total // chunk_bytes))
     dealt = marked.where(~is_copy).select("doc_id", F.col("text").cast("binary").alias("text"), F.pmod("h", F.lit(chunks)).cast("int").alias("chunk"))
-    whole = marked.where(is_copy).select("doc_id", F.col("_n").alias("n_bytes"))
-    bits = key_bits(total)
-    answers = stored(answer_anchors(ask_anchors(dealt, chunks, bits)), "anchors")
-    release(spark)
-    found = stored(candidates(dealt, answers, chunks, bits), "candidates")
-    release(spark)
-    size, rows = found.agg(F.sum(F.length("data").cast("long")), F.count(F.lit(1))).first()
-    shards = max(1, -(-(size or 0) // shard_bytes))
-    bounds = []
-    if rows and shards > 1:
-        shares = ", ".join(str(k / shards) for k in range(1, shards))
-        bounds = sorted(set(found.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {100 * shards})")).first()[0]))
-    sharded = found.withColumn("shard", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0))
-    merged = stored(merge_shards(in_shards(sharded, shards)), "shards")
-    release(spark)
-    removed = stored(removed_runs(sharded, merged, shards), "removed")
-    release(spark)
+    whole = marked.where(is_copy).select("doc_id", F.col("size").cast("long").alias("n_bytes"))
+    bits, ranges = key_bits(total), parts(total / ((LENGTH - ANCHOR + 2) / 2), chunks)
+    answers = stored(answer_anchors(ask_anchors(dealt, ranges, bits)), "anchors")
+    found = stored(candidates(dealt, answers, ranges, bits), "candidates")
+    size = found.agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    ranges, more = parts(size, shards), more_bits(size)
+    sharded = found.withColumn("shard", F.pmod(F.xxhash64("chunk", "k"), F.lit(shards)).cast("int"))
+    merged = stored(merge_shards(in_shards(sharded, ranges, more)), "shards")
+    removed = stored(removed_runs(sharded, merged, ranges, more), "removed")
     done = cut_texts(dealt, removed, with_text)
     empty = hashlib.sha256(b"").hexdigest()
     copies = whole.select("doc_id", "n_bytes", F.array(F.lit(0)).alias("starts"), F.array(F.col("n_bytes").cast("int")).alias("ends"), F.lit(empty).alias("sha"), F.lit(None).cast("binary").alias("kept"))

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from amalgam.llm import suffix
+from amalgam.llm import queries, suffix
 
 from .helpers import awkward, frame
 
@@ -81,3 +82,23 @@ def test_frequent_short_texts_stay(spark):
     rows = [(i, "x" * n) for i in range(60) for n in (0, 20, 49, 50)]
     got = suffix.digest(suffix.repeated_strings(frame(spark, rows), False, 800, 300)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
+def test_query_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 900)
+    monkeypatch.setattr(suffix, "RANGE_KEYS", 200)
+    monkeypatch.setattr(suffix, "FEW_RANGES", 3)
+    rows = [(i, t if t is None or len(t) < 5000 else t[:3000]) for i, t in documents()] + [(700 + i, "y" * 20) for i in range(60)] + [(800 + i, "z" * 49) for i in range(60)] + [(900, "y" * 70), (901, "y" * 70 + "z")]
+    rows += [(1000, "q" * 2000), (1001, "q" * 333), (1002, "ab" * 400), (1003, "ba" * 300)]
+    frame(spark, rows).withColumn("h", F.lit("mine")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_suffix(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+
+
+def test_equal_hashes_are_told_apart():
+    """Strings with one first hash are sorted, made distinct and looked up by the second one."""
+    h, h2 = np.array([5, 5, 2, 5, 9, 5], np.uint64), np.array([7, 3, 1, 7, 0, 4], np.uint64)
+    a, b, order, begins = suffix.distinct(h, h2)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 1), (5, 3), (5, 4), (5, 7), (9, 0)] and begins.tolist() == [0, 1, 2, 3, 5]
+    assert suffix.look_up(a, b, np.array([5, 5, 9, 5], np.uint64), np.array([7, 3, 0, 4], np.uint64)).tolist() == [3, 1, 4, 2]
