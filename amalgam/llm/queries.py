@@ -67,8 +67,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to weights that are square roots of the sources' shares, over as many rows as there are documents."""
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), temperature=0.5, seed=7).withColumn("rate", F.round("rate", 9))
+    """All documents, with their texts, mixed to weights that are square roots of the sources' shares, over as many rows as there are documents."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), temperature=0.5, seed=7)
+    return mixed.select("doc_id", "source", F.round("rate", 9).alias("rate"), "copy", "shuffle_key", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +99,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op6_suffix": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT doc_id, i, CASE WHEN i > lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM c)),
+r AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans
+      FROM (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op8_mixing": """
 WITH s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS raw FROM documents GROUP BY source),
 r AS (SELECT source, raw / sum(raw) OVER () * sum(n) OVER () / n AS rate FROM s),
-u AS (SELECT d.doc_id, d.source, r.rate, ('0x' || substr(md5('7:' || d.doc_id || ':1'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+u AS (SELECT d.doc_id, d.source, strlen(d.text) AS n_bytes, md5(d.text) AS text_md5, r.rate, ('0x' || substr(md5('7:' || d.doc_id || ':1'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
       FROM documents d JOIN r ON d.source = r.source),
 c AS (SELECT *, len(list_filter(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 30) AS BIGINT) + 1),
         lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate + j * ln(rate) - lgamma(j + 1)))) <= u)) AS copies FROM u),
-e AS (SELECT doc_id, source, rate, unnest(range(1, copies + 1)) AS copy FROM c)
-SELECT doc_id, source, round(rate, 9) AS rate, CAST(copy AS INTEGER) AS copy, ('0x' || substr(md5('shuffle:7:' || doc_id || ':' || copy), 1, 12))::BIGINT AS shuffle_key FROM e""",
+e AS (SELECT doc_id, source, rate, n_bytes, text_md5, unnest(range(1, copies + 1)) AS copy FROM c)
+SELECT doc_id, source, round(rate, 9) AS rate, CAST(copy AS INTEGER) AS copy, ('0x' || substr(md5('shuffle:7:' || doc_id || ':' || copy), 1, 12))::BIGINT AS shuffle_key, n_bytes, text_md5 FROM e""",
 }
