@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, split_batches, utf8, worker_state
+from ..operators.components import BATCH_ROWS, WRITING, settings
+from .common import scratch, split_batches, stored, utf8, worker_state
 
 #: Ids per word and bits per id of the selectors 1 to 15. Selector 0 is the escape.
 COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -174,14 +175,14 @@ class WordEncoder:
     token could make a difference.
     """
 
-    def __init__(self, tokenizer_json: str, cached: bool, end_id: int = 0):
+    def __init__(self, tokenizer_json: str, cached: bool, end_id: int = 0, limit: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cached = cached
+        self.cached, self.limit = cached, limit
         #: How ids are held: two bytes are enough for most vocabularies.
         self.kind = "<u2" if max(end_id, *self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
@@ -196,8 +197,8 @@ class WordEncoder:
         for piece in set(pieces).difference(joint) if len(joint) < len(pieces) else ():
             self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         size = np.dtype(self.kind).itemsize
-        for lo in range(0, len(joint), 4000):
-            part = joint[lo : lo + 4000]
+        for lo in range(0, len(joint), 250):
+            part = joint[lo : lo + 250]
             ids = np.array(self.tokenizer.encode_batch_fast([(b" \x01 ".join(part) + b" \x01").decode()], add_special_tokens=False)[0].ids, self.kind)
             data, start = ids.tobytes(), 0
             for piece, end in zip(part, (np.flatnonzero(ids == self.mark_id) * size).tolist(), strict=True):
@@ -225,19 +226,20 @@ class WordEncoder:
         if not len(raw):
             return [b""] * (len(offsets) - 1)
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.limit:
             known.clear()
         cut = self.pieces(raw, offsets)
         self.learn(list(set().union(*cut).difference(known)))
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
-def worker_encoder(tokenizer_json: str, cached: bool, end_id: int) -> WordEncoder:
+def worker_encoder(tokenizer_json: str, cached: bool, end_id: int, limit: int) -> WordEncoder:
     """One encoder for a Python worker, kept between its tasks."""
     kept = worker_state()
-    key = hash((tokenizer_json, end_id))
+    key = hash((tokenizer_json, end_id, limit))
     if kept.get("encoder", (None, None))[0] != key:
-        kept["encoder"] = (key, WordEncoder(tokenizer_json, cached, end_id))
+        kept.clear()
+        kept["encoder"] = (key, WordEncoder(tokenizer_json, cached, end_id, limit))
     return kept["encoder"][1]
 
 
@@ -259,24 +261,26 @@ def separable(tokenizer_json: str) -> bool:
     return bool(plain and drops and byte and tokens and not spec["post_processor"] and not spec["truncation"] and not spec["padding"])
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: int, parts: int | None = None) -> str:
-    """Encode doc_id and text of all documents into Simple-8b files below path, in ascending doc_id order.
+def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: int, parts: int | None = None, by_id: bool = True, cache_words: int = CACHE_WORDS) -> str:
+    """Encode doc_id and text of all documents into Simple-8b files below path, in ascending doc_id order or, without by_id, in the order they come in.
 
     Each document gets end_id after its own ids. Null texts are empty, null ids come
-    first, equal ids follow in order of their texts' hashes. Part numbers follow the
-    order of the documents. The text is shuffled once, by ranges of (doc_id, hash), so
-    a repeated id may spread over parts.
+    first, equal ids follow in order of their texts' hashes; repeated rows are all
+    written. Part numbers follow the order of the documents. By id, the text is shuffled
+    once, by ranges of (doc_id, hash), so a repeated id may spread over parts; else a
+    part is one that Spark reads, and nothing is shuffled. Columns other than doc_id and
+    text are not read, so their names matter nothing. An empty table gives no blocks.
     """
     spark = documents.sparkSession
     shared, cached = spark.sparkContext.broadcast(tokenizer_json), separable(tokenizer_json)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if parts is None:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if parts is None and by_id:
         size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def encode(batches):
-        encoder, part, before = worker_encoder(shared.value, cached, end_id), TaskContext.get().partitionId(), 0
+        encoder, part, before = worker_encoder(shared.value, cached, end_id, cache_words), TaskContext.get().partitionId(), 0
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in split_batches(batches, 1, BLOCK_BYTES):
             each = encoder.encode(*utf8(batch.column(1)))
@@ -287,8 +291,10 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([batch.num_rows], pa.int64()), "n_ids": pa.array([n], pa.int64()), "body": pa.array([body], pa.binary())})
             before += n
 
-    blocks = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(encode, "part int, before long, n_docs long, n_ids long, body binary")
-    blocks.write.parquet(path)
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order) if by_id else rows
+    blocks = dealt.mapInArrow(encode, "part int, before long, n_docs long, n_ids long, body binary")
+    with settings(spark, WRITING | {BATCH_ROWS: "256"}):
+        blocks.write.parquet(path)
     return path
 
 
@@ -321,9 +327,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Write documents' ids to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
+def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = 1, by_id: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Write documents' ids to the shared folder, in order of their ids or as they come, and read them back: doc_id, start, n_tokens, ids_crc32. An empty table gives an empty result."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     spark = documents.sparkSession
-    return read_tokens(spark, write_tokens(documents, scratch(spark, "tokens"), spec, end_id), with_ids=False)
+    # few rows of a block of ids each fill a worker, so what is read is written once more; it is 32 bytes a document
+    return stored(read_tokens(spark, write_tokens(documents, scratch(spark, "tokens"), spec, end_id, by_id=by_id, cache_words=cache_words), with_ids=False), "ids", batch_rows=16)
