@@ -285,16 +285,16 @@ def keep_rows(documents: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFr
 #: Words in a shingle, and similarity from which two texts are copies of each other.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Bins of a similarity signature.
-BINS = 256
-#: Bins of a band. Of texts of similarity 0.8, all but 3 pairs in a million agree in a whole band: (1 - 0.8 ** 6) ** 42.
-BAND = 6
-#: Estimates nearer to the threshold are verified on the shingles themselves: five times the deviation of an estimate from 256 bins, 0.025 at most.
-MARGIN = 0.125
+BINS = 512
+#: Bins of a band. Of texts of similarity 0.8, all but 8 pairs in a million agree in a whole band: (1 - 0.8 ** 8) ** 64.
+BAND = 8
+#: Estimates nearer to the threshold than this many deviations, and two shingles more, are verified on the shingles themselves.
+DEVIATIONS = 5
 #: Texts that are compared with each other in one place; larger buckets are split into blocks.
 BLOCK = 2048
-#: One in so many buckets takes part in the first turn.
-FIRST_BUCKETS = 5
-#: Pairs to verify that a text names in the first turn of a place, and how much more in each next one.
+#: If a bucket has over LARGE texts, one bucket in FIRST_BUCKETS takes part in the first turn.
+LARGE, FIRST_BUCKETS = 256, 5
+#: Pairs to verify that a text names in the first turns, and how many times more in each next one.
 NAMED, MORE = 4, 16
 #: Most texts whose ids are broadcast to the documents; beyond that the join is left to Spark.
 BROADCAST_TEXTS = 500_000
@@ -339,16 +339,31 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, live, signs
 
 
-def estimates(some: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """The estimated similarity of every signature of `some` to every one of `signs`; texts without words are alike."""
-    any_ = BINS - ((some == 0).astype(np.float32) @ (signs == 0).astype(np.float32).T)
+def estimates(some: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated similarity of every signature of `some` to every one of `signs`, what the estimate may be off); texts without words are alike."""
+    both = BINS - ((some == 0).astype(np.float32) @ (signs == 0).astype(np.float32).T)
     equal = np.empty((len(some), len(signs)), np.float32)
     low = np.uint64(0x00FF00FF00FF00FF)
     for k in range(len(some)):
-        # eight flags are a word; the words' bytes count up to 32 each
+        # eight flags are a word; the words' bytes count up to 64 each
         lanes = (signs == some[k]).view(np.uint64).sum(axis=1)
         equal[k] = (((lanes & low) + (lanes >> np.uint64(8) & low)) * np.uint64(0x0001000100010001)) >> np.uint64(48)
-    return np.where(any_ > 0, (equal - (BINS - any_)) / np.maximum(any_, 1), 1)
+    return np.where(both > 0, (equal - (BINS - both)) / np.maximum(both, 1), 1), _OFF[both.astype(np.int64)]
+
+
+def _margins() -> np.ndarray:
+    """How far an estimate from so many bins may be off near the threshold.
+
+    So many bins hold about -BINS ln(1 - bins / BINS) shingles; those that share a bin
+    with a smaller one are missing, and few are if the bins are many.
+    """
+    bins = np.arange(BINS + 1)
+    shingles = -BINS * np.log1p(-np.minimum(bins, BINS - 1) / BINS)
+    missing = 1 - bins / np.maximum(shingles, 1e-9)
+    return np.where(bins > 0, DEVIATIONS * np.sqrt(COPY_SIMILARITY * (1 - COPY_SIMILARITY) / np.maximum(bins, 1) * missing.clip(0, 1)) + 2 / np.maximum(bins, 1), 0).astype(np.float32)
+
+
+_OFF = _margins()
 
 
 def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -364,39 +379,34 @@ def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def place_links(ids: np.ndarray, signs: np.ndarray, label: np.ndarray, asks: np.ndarray, threshold: float, named: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(src, dst, sure, whether pairs to verify were left out) of the texts of a place.
+def place_links(ids: np.ndarray, signs: np.ndarray, label: np.ndarray, asks: np.ndarray, threshold: float, named: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, bool]]]:
+    """(src, dst, named pairs) of the texts of a place.
 
     The texts that ask are compared with all of other labels. Of surely similar labels
-    each set comes as a star around its smallest one; of the uncertain pairs that remain
-    between sets, each asking text names the `named` most similar.
+    each set comes as a star around its smallest one. Of the uncertain pairs that remain
+    between sets, each asking text names the `named` most similar: (text, others,
+    estimates, whether it left some out).
     """
     labels, at = np.unique(label, return_inverse=True)
     root = np.arange(len(labels))
     ask = np.flatnonzero(asks)
     parts = [ask[lo : lo + 256] for lo in range(0, len(ask), 256)]
-    near = None
+    near = off = None
     for who in parts:
-        near = estimates(signs[who], signs)
-        i, j = np.nonzero((near >= threshold + MARGIN) & (root[at[who]][:, None] != root[at][None, :]))
+        near, off = estimates(signs[who], signs)
+        i, j = np.nonzero((near >= threshold + off) & (root[at[who]][:, None] != root[at][None, :]))
         merge(root, at[who[i]], at[j])
-    src, dst, more = [], [], False
+    out = []
     for who in parts:
         if len(parts) > 1:
-            near = estimates(signs[who], signs)
-        open_ = (near >= threshold - MARGIN) & (root[at[who]][:, None] != root[at][None, :])
-        rows = np.flatnonzero(open_.any(axis=1))
-        for k in rows.tolist():
+            near, off = estimates(signs[who], signs)
+        open_ = (near >= threshold - off) & (root[at[who]][:, None] != root[at][None, :])
+        for k in np.flatnonzero(open_.any(axis=1)).tolist():
             found = np.flatnonzero(open_[k])
-            if len(found) > named:
-                more = True
-                found = found[np.lexsort((ids[found], -near[k, found]))[:named]]
-            src.append(np.full(len(found), ids[who[k]]))
-            dst.append(ids[found])
+            found = found[np.lexsort((ids[found], -near[k, found]))]
+            out.append((int(ids[who[k]]), ids[found[:named]], near[k, found[:named]], len(found) > named))
     apart = np.flatnonzero(root != np.arange(len(root)))
-    u = np.concatenate([labels[root[apart]], *src]).astype(np.int64)
-    v = np.concatenate([labels[apart], *dst]).astype(np.int64)
-    return np.minimum(u, v), np.maximum(u, v), np.arange(len(u)) < len(apart), more
+    return labels[root[apart]], labels[apart], out
 
 
 def placed_texts(keyed: DataFrame) -> DataFrame:
@@ -405,50 +415,73 @@ def placed_texts(keyed: DataFrame) -> DataFrame:
     return keyed.join(members.groupBy("n", "a", "b").agg(F.min("band").alias("band")).select("band", "n"), "band")
 
 
-def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, threshold: float, named: int) -> DataFrame:
-    """(src, dst, sure, band): links of the buckets' texts as place_links() finds them, and with null ends the buckets that left pairs out.
+def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, open_: DataFrame | None, threshold: float, named: int) -> DataFrame:
+    """(src, dst, others, near, more): sure links (src, dst) of the buckets' texts as place_links() finds them, and, where dst is null, what the text src names.
 
-    Without labels, a bucket over BLOCK texts is compared with one block of its own: work
-    that grows with its texts. With labels, which name the component of each text so
-    far, the texts outside a bucket's largest component ask, and all of the bucket
-    answer; a bucket of one component has no work left. Askers and answerers meet in
-    blocks, so no task holds a bucket.
+    Without labels, the texts of a bucket up to BLOCK meet in one place, and a larger one
+    is compared with one block of its own: work that grows with its texts. With labels,
+    which name the component of each text so far, the texts outside a bucket's largest
+    component ask, or those of them in open_, and all of the bucket answer; a bucket of
+    one component has no work left. Askers and answerers meet in blocks, so no task holds
+    a bucket.
     """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     if labels is None:
-        some = placed.withColumn("label", F.col("id")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        asking = some.withColumn("asks", F.pmod(F.xxhash64("id"), "blocks") == 0).withColumn("ablocks", F.lit(1))
+        asking = placed.select("band", "id", F.col("id").alias("label"), blocks).withColumns({"asks": F.pmod(F.xxhash64("id"), "blocks") == 0, "ablocks": F.lit(1)})
     else:
-        some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
-        parts = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        some = some.join(parts.select("band", "most"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        asking = some.withColumn("asks", F.col("label") != F.col("most.label")).withColumn("ablocks", F.ceil((F.col("n") - F.col("most.size")) / BLOCK).cast("int"))
+        some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+        some = some.withColumn("may", F.lit(True)) if open_ is None else some.join(open_.select(F.col("src").alias("id"), F.lit(True).alias("may")), "id", "left")
+        some = some.select("band", "id", "n", F.coalesce("component", "id").alias("label"), F.coalesce("may", F.lit(False)).alias("may"))
+        per = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if("may").alias("asking"))
+        parts = per.groupBy("band").agg(F.max(F.struct("size", "label", "asking")).alias("most"), F.sum("asking").alias("asking")).select("band", F.col("most.label").alias("most"), (F.col("asking") - F.col("most.asking")).alias("asking")).where("asking > 0")
+        asking = some.join(parts, "band").select("band", "id", "label", blocks, (F.col("may") & (F.col("label") != F.col("most"))).alias("asks"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("ablocks"))
     dealt = asking.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("seat", F.when(F.col("ablocks") > 1, F.pmod(F.xxhash64("id", F.lit(1)), "ablocks").cast("int")).otherwise(0))
     answers = F.transform(F.sequence(F.lit(0), F.col("ablocks") - 1), lambda a: F.struct(a.alias("a"), F.col("mine").alias("b")))
     asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("seat").alias("a"), b.alias("b")))
     places = dealt.withColumn("place", F.explode(F.when(F.col("asks"), F.array_union(answers, asked)).otherwise(answers)))
     rows = places.select("band", "place", "id", "label", (F.col("asks") & (F.col("place.a") == F.col("seat"))).alias("asks")).join(texts.select("id", "sign"), "id")
-    met = rows.groupBy("band", "place").agg(F.collect_list(F.struct("id", "sign", "label", "asks")).alias("texts")).where("size(texts) > 1").select("band", "texts")
+    met = rows.groupBy("band", "place").agg(F.collect_list(F.struct("id", "sign", "label", "asks")).alias("texts")).where("size(texts) > 1").select("texts")
 
     def compare(batches):
         for batch in batches:
-            column = batch.column(1)
-            bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            column = batch.column(0)
+            bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).tolist()
             flat = column.flatten()
             ids, label, asks = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False)
-            signs = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint8).reshape(-1, BINS)
-            for band, lo, hi in zip(batch.column(0), bounds[:-1], bounds[1:], strict=True):
-                src, dst, sure, more = place_links(ids[lo:hi], signs[lo:hi], label[lo:hi], asks[lo:hi], threshold, named)
-                ends = [None] * more
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([pa.array(src), pa.array(ends, pa.int64())]), pa.concat_arrays([pa.array(dst), pa.array(ends, pa.int64())]), pa.concat_arrays([pa.array(sure), pa.array(ends, pa.bool_())]), pa.concat_arrays([pa.nulls(len(src), pa.int64()), pa.array([band.as_py()] * more, pa.int64())])],
-                    names=["src", "dst", "sure", "band"],
-                )
+            signs = utf8(flat.field(1))[0].reshape(-1, BINS)
+            src, dst, others, near, more = [], [], [], [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                u, v, out = place_links(ids[lo:hi], signs[lo:hi], label[lo:hi], asks[lo:hi], threshold, named)
+                src += u.tolist() + [x[0] for x in out]
+                dst += v.tolist() + [None] * len(out)
+                others += [None] * len(u) + [x[1] for x in out]
+                near += [None] * len(u) + [x[2] for x in out]
+                more += [False] * len(u) + [x[3] for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32())), pa.array(more, pa.bool_())], names=["src", "dst", "others", "near", "more"])
+
+    return met.mapInArrow(compare, "src long, dst long, others array<long>, near array<float>, more boolean")
+
+
+def most_similar(near: DataFrame, named: int) -> DataFrame:
+    """(src, dst, more): of what each text names in all its places, the `named` most similar; more, if any place or this left some out."""
+
+    def pick(batches):
+        for batch in batches:
+            src, dst, more = [], [], []
+            for who, others, values, cut in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                ids, first = np.unique(others.values.to_numpy(), return_index=True)
+                best = np.lexsort((ids, -values.values.to_numpy()[first]))[:named]
+                src += [who] * len(best)
+                dst += ids[best].tolist()
+                more += [cut or len(ids) > named] * len(best)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(more, pa.bool_())], names=["src", "dst", "more"])
 
-    return met.mapInArrow(compare, "src long, dst long, sure boolean, band long").distinct()
+    every = near.where("dst IS NULL").groupBy("src").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("near")).alias("near"), F.max("more").alias("more"))
+    return every.mapInArrow(pick, "src long, dst long, more boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
-    """The (src, dst) whose sets of five-word shingles are similar to the threshold; texts has id, first, h and h2, documents the text of each."""
+    """The (src, dst) of pairs whose sets of five-word shingles are similar to the threshold; texts has id, first, h and h2, documents the text of each."""
 
     def gather(batches):
         for batch in split_batches(batches, 1):
@@ -483,37 +516,32 @@ def verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold
 def copy_classes(texts: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """(node, component) of the texts of (id, first, h, h2, bands, sign) that are similar to another, directly or through others.
 
-    Texts with a band in common are candidates. Turns link them: the first one takes a
-    fifth of the buckets and joins most large groups at a cost that grows with their
-    texts; each next one compares what is still apart, and verifies more of the pairs
-    that signatures leave uncertain, until none that could join two components is left.
+    Texts with a band in common are candidates, and turns link them. If a bucket is large,
+    the first turn takes a part of the buckets and joins most large groups at a cost that
+    grows with their texts. The next one compares what is still apart. Of the pairs that
+    signatures leave uncertain, a text has the most similar ones verified; as long as
+    others are left that could join it to another component, there is one more turn for
+    it, with more of them. So no pair is left out, and few are verified.
     """
     placed = stored(placed_texts(texts.select("id", F.explode("bands").alias("band"))), "placed")
-    links, labels, named = [], None, NAMED
-    some = placed.where(F.pmod("band", F.lit(FIRST_BUCKETS)) == 0)
+    large = (placed.agg(F.max("n")).first()[0] or 0) > LARGE
+    labels = open_ = None
+    named = NAMED
     while True:
-        first = labels is None
-        near = stored(found_links(some, texts, labels, threshold, named), "near")
-        links.append(near.where("sure").select("src", "dst"))
-        unsure = near.where("NOT sure").select("src", "dst")
-        if first:
-            # many pairs of the first turn are joined by another bucket's sure links
-            labels = stored(connected_components(links[0]), "labels")
-            for side in ("src", "dst"):
-                unsure = unsure.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_root")), side, "left")
-            unsure = stored(unsure.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"), "unsure")
-        links.append(stored(verified(unsure, texts, documents, threshold), "verified"))
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        labels = stored(connected_components(every), "labels")
-        if not first:
-            left = near.where("band IS NOT NULL").select("band").distinct()
-            if left.isEmpty():
+        some = placed.where(F.pmod("band", F.lit(FIRST_BUCKETS)) == 0) if large else placed
+        # a row is a place with its texts, and may be 2 MB
+        near = stored(found_links(some, texts, labels, open_, threshold, named), "near", batch_rows=16)
+        picked = stored(most_similar(near, named), "picked")
+        unsure = picked.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        links = near.where("dst IS NOT NULL").select("src", "dst").unionByName(stored(verified(unsure, texts, documents, threshold), "verified", batch_rows=64))
+        # what was found before stands as a star around each component's smallest text
+        labels = connected_components(links if labels is None else links.unionByName(labels.toDF("src", "dst")))
+        if not large:
+            open_ = stored(picked.where("more").select("src").distinct(), "open")
+            if open_.isEmpty():
                 return labels
-            placed = stored(placed.join(left, "band", "left_semi"), "placed")
             named *= MORE
-        some = placed
+        large = False
 
 
 def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:

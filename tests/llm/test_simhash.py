@@ -230,6 +230,7 @@ def test_large_group_of_uncertain_pairs(spark, monkeypatch, block, named):
     """Copies of one text with a similarity to each other around the threshold, and a few texts in common with many: exact classes, few pairs verified."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "NAMED", named)
+    monkeypatch.setattr(simhash, "LARGE", block // 2)
     checked = []
     real = simhash.verified
 
