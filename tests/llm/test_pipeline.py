@@ -5,7 +5,7 @@ import corpus_pipeline
 from amalgam.llm import queries
 from amalgam.llm.common import words, utf8
 
-from .helpers import frame
+from .helpers import awkward, frame
 from .test_quality import labelled
 
 
@@ -43,3 +43,22 @@ def test_words_of_a_buffer():
     start, end, doc = words(raw, offsets)
     assert [bytes(raw[s:e]).decode() for s, e in zip(start, end, strict=True)] == ["a", "b", "c", "d\u3000e"]
     assert np.array_equal(doc, [0, 0, 1, 3])
+
+
+def test_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, blanks, repeated rows and further columns go through all stages; empty tables give an empty result."""
+    names = ("copy", "rate", "copies", "h", "h2", "n", "kept", "shuffle_key", "sign", "c0", "p_toxic_")
+    rows = awkward() + [(100 + i, " ".join(f"word{i}x{k}" for k in range(30))) for i in range(20)]
+    every = frame(spark, rows).withColumns({"lang": F.lit(None).cast("string"), "source": F.when(F.col("doc_id") % 2 == 0, "s"), "n_chars": F.lit(None).cast("long"), **{n: F.lit(f"mine {n}") for n in names}})
+    for part, docs in (("some", every), ("none", every.limit(0))):
+        at = tmp_path / part
+        docs.write.parquet(str(at / "documents.parquet"))
+        frame(spark, [], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        frame(spark, [(None, None), (1, "")], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        df = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            df = stage(spark, df, str(at))
+            assert df.columns == docs.columns, name
+        assert all(r[n] == f"mine {n}" for r in df.collect() for n in names)
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        assert (len(got) > 5) == (part == "some") and all(r.n_tokens >= 1 for r in got)
