@@ -284,10 +284,10 @@ def keep_rows(documents: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFr
 # ------------------------------------------------------------------ copies by similarity
 #: Words in a shingle, and similarity from which two texts are copies of each other.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-#: Bins of a similarity signature.
+#: Bins of a similarity signature; for bands, each two of them are one.
 BINS = 512
-#: Bins of a band. Of texts of similarity 0.8, all but 8 pairs in a million agree in a whole band: (1 - 0.8 ** 8) ** 64.
-BAND = 8
+#: Bins of a band, so that there are 43. Of texts of similarity 0.8, all but 3 pairs in a million agree in a whole band: (1 - 0.8 ** 6) ** 42.
+BAND = 6
 #: Estimates nearer to the threshold than this many deviations, and two shingles more, are verified on the shingles themselves.
 DEVIATIONS = 5
 #: Texts that are compared with each other in one place; larger buckets are split into blocks.
@@ -321,17 +321,19 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     shingle, doc = shingle_hashes(_LOWER[raw], offsets)
     n = len(offsets) - 1
-    place = doc * BINS + (shingle >> np.uint64(56)).astype(np.int64)
+    place = doc * BINS + (shingle >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
     least = np.full(n * BINS, ~np.uint64(0))
     np.minimum.at(least, place, shingle)
     full = np.bincount(place, minlength=n * BINS) > 0
     signs = np.where(full, (least % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.uint8(0)).reshape(n, BINS)
-    least, full = np.where(full, least, np.uint64(0)).reshape(n, BINS), full.reshape(n, BINS)
-    at = range(0, BINS, BAND)
+    wide = BINS // 2
+    least, full = least.reshape(n, wide, 2).min(axis=2), full.reshape(n, wide, 2).any(axis=2)
+    least[~full] = 0
+    at = range(0, wide, BAND)
     keys = np.empty((n, len(at)), np.uint64)
     for band, lo in enumerate(at):
         key = np.full(n, band, np.uint64)
-        for k in range(lo, min(lo + BAND, BINS)):
+        for k in range(lo, min(lo + BAND, wide)):
             key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
         keys[:, band] = key
     live = np.logical_or.reduceat(full, list(at), axis=1)
@@ -418,29 +420,23 @@ def placed_texts(keyed: DataFrame) -> DataFrame:
 def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, open_: DataFrame | None, threshold: float, named: int) -> DataFrame:
     """(src, dst, others, near, more): sure links (src, dst) of the buckets' texts as place_links() finds them, and, where dst is null, what the text src names.
 
-    Without labels, the texts of a bucket up to BLOCK meet in one place, and a larger one
-    is compared with one block of its own: work that grows with its texts. With labels,
-    which name the component of each text so far, the texts outside a bucket's largest
-    component ask, or those of them in open_, and all of the bucket answer; a bucket of
-    one component has no work left. Askers and answerers meet in blocks, so no task holds
-    a bucket.
+    The texts of a bucket up to BLOCK meet in one place. With labels, which name the
+    component of each text so far, the texts outside a bucket's largest component ask,
+    or those of them in open_, and all of the bucket answer; a bucket of one component
+    has no work left. A larger bucket is compared with one block of its own at first:
+    work that grows with its texts. Later its askers and answerers meet in blocks, so no
+    task holds a bucket.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    if labels is None:
-        asking = placed.select("band", "id", F.col("id").alias("label"), blocks).withColumns({"asks": F.pmod(F.xxhash64("id"), "blocks") == 0, "ablocks": F.lit(1)})
-    else:
-        some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-        some = some.withColumn("may", F.lit(True)) if open_ is None else some.join(open_.select(F.col("src").alias("id"), F.lit(True).alias("may")), "id", "left")
-        some = some.select("band", "id", "n", F.coalesce("component", "id").alias("label"), F.coalesce("may", F.lit(False)).alias("may"))
-        per = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if("may").alias("asking"))
-        parts = per.groupBy("band").agg(F.max(F.struct("size", "label", "asking")).alias("most"), F.sum("asking").alias("asking")).select("band", F.col("most.label").alias("most"), (F.col("asking") - F.col("most.asking")).alias("asking")).where("asking > 0")
-        asking = some.join(parts, "band").select("band", "id", "label", blocks, (F.col("may") & (F.col("label") != F.col("most"))).alias("asks"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("ablocks"))
-    dealt = asking.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("seat", F.when(F.col("ablocks") > 1, F.pmod(F.xxhash64("id", F.lit(1)), "ablocks").cast("int")).otherwise(0))
-    answers = F.transform(F.sequence(F.lit(0), F.col("ablocks") - 1), lambda a: F.struct(a.alias("a"), F.col("mine").alias("b")))
-    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("seat").alias("a"), b.alias("b")))
-    places = dealt.withColumn("place", F.explode(F.when(F.col("asks"), F.array_union(answers, asked)).otherwise(answers)))
-    rows = places.select("band", "place", "id", "label", (F.col("asks") & (F.col("place.a") == F.col("seat"))).alias("asks")).join(texts.select("id", "sign"), "id")
-    met = rows.groupBy("band", "place").agg(F.collect_list(F.struct("id", "sign", "label", "asks")).alias("texts")).where("size(texts) > 1").select("texts")
+    some = placed.withColumn("label", F.col("id"))
+    if labels is not None:
+        some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+    some = some.withColumn("may", F.lit(True)) if open_ is None else some.join(open_.select(F.col("src").alias("id"), F.lit(True).alias("may")), "id", "left").withColumn("may", F.coalesce("may", F.lit(False)))
+    signed = lambda rows, asks: rows.join(texts.select("id", "sign"), "id").withColumn("text", F.struct("id", "sign", "label", F.col(asks).alias("asks")))
+    small = signed(some.where(F.col("n") <= BLOCK), "may").groupBy("band").agg(F.collect_list("text").alias("texts"))
+    work = F.exists("texts", lambda t: t["asks"]) & (F.size(F.array_distinct(F.transform("texts", lambda t: t["label"]))) > 1)
+    met = small.where(work).select("texts", F.lit(True).alias("whole"))
+    if not placed.where(F.col("n") > BLOCK).isEmpty():
+        met = met.unionByName(large_places(some.where(F.col("n") > BLOCK), labels is None, signed))
 
     def compare(batches):
         for batch in batches:
@@ -450,8 +446,13 @@ def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, o
             ids, label, asks = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False)
             signs = utf8(flat.field(1))[0].reshape(-1, BINS)
             src, dst, others, near, more = [], [], [], [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                u, v, out = place_links(ids[lo:hi], signs[lo:hi], label[lo:hi], asks[lo:hi], threshold, named)
+            for whole, lo, hi in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                ask = asks[lo:hi]
+                if whole:
+                    # the largest component, the smallest of equals, need not ask
+                    known, at, count = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+                    ask = ask & (at != count.argmax())
+                u, v, out = place_links(ids[lo:hi], signs[lo:hi], label[lo:hi], ask, threshold, named)
                 src += u.tolist() + [x[0] for x in out]
                 dst += v.tolist() + [None] * len(out)
                 others += [None] * len(u) + [x[1] for x in out]
@@ -462,6 +463,23 @@ def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, o
     return met.mapInArrow(compare, "src long, dst long, others array<long>, near array<float>, more boolean")
 
 
+def large_places(some: DataFrame, first: bool, signed) -> DataFrame:
+    """(texts, whole) of buckets over BLOCK texts in places of an asking and an answering block; in the first turn one block asks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    if first:
+        asking = some.select("band", "id", "label", blocks).withColumns({"asks": F.pmod(F.xxhash64("id"), "blocks") == 0, "ablocks": F.lit(1)})
+    else:
+        per = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if("may").alias("asking"))
+        parts = per.groupBy("band").agg(F.max(F.struct("size", "label", "asking")).alias("most"), F.sum("asking").alias("asking")).select("band", F.col("most.label").alias("most"), (F.col("asking") - F.col("most.asking")).alias("asking")).where("asking > 0")
+        asking = some.join(parts, "band").select("band", "id", "label", blocks, (F.col("may") & (F.col("label") != F.col("most"))).alias("asks"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("ablocks"))
+    dealt = asking.withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("seat", F.when(F.col("ablocks") > 1, F.pmod(F.xxhash64("id", F.lit(1)), "ablocks").cast("int")).otherwise(0))
+    answers = F.transform(F.sequence(F.lit(0), F.col("ablocks") - 1), lambda a: F.struct(a.alias("a"), F.col("mine").alias("b")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("seat").alias("a"), b.alias("b")))
+    places = dealt.withColumn("place", F.explode(F.when(F.col("asks"), F.array_union(answers, asked)).otherwise(answers)))
+    rows = places.select("band", "place", "id", "label", (F.col("asks") & (F.col("place.a") == F.col("seat"))).alias("asks"))
+    return signed(rows, "asks").groupBy("band", "place").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").select("texts", F.lit(False).alias("whole"))
+
+
 def most_similar(near: DataFrame, named: int) -> DataFrame:
     """(src, dst, more): of what each text names in all its places, the `named` most similar; more, if any place or this left some out."""
 

@@ -250,3 +250,9 @@ def test_large_group_of_uncertain_pairs(spark, monkeypatch, block, named):
     assert sorted(r.doc_id for r in kept.collect()) == want
     print(len(want), checked)
     assert 3 < len(want) < 120 and sum(checked) < 3 * 60 * 59 / 2
+
+
+def test_signatures_use_all_bins():
+    raw = " ".join(f"word{i}" for i in range(20_000)).encode()
+    keys, live, signs = simhash.sketches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert (signs > 0).all() and signs.shape == (1, simhash.BINS) and live.all() and keys.shape == (1, 43)
