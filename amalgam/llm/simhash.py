@@ -432,9 +432,12 @@ def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, o
         some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
     some = some.withColumn("may", F.lit(True)) if open_ is None else some.join(open_.select(F.col("src").alias("id"), F.lit(True).alias("may")), "id", "left").withColumn("may", F.coalesce("may", F.lit(False)))
     signed = lambda rows, asks: rows.join(texts.select("id", "sign"), "id").withColumn("text", F.struct("id", "sign", "label", F.col(asks).alias("asks")))
-    small = signed(some.where(F.col("n") <= BLOCK), "may").groupBy("band").agg(F.collect_list("text").alias("texts"))
-    work = F.exists("texts", lambda t: t["asks"]) & (F.size(F.array_distinct(F.transform("texts", lambda t: t["label"]))) > 1)
-    met = small.where(work).select("texts", F.lit(True).alias("whole"))
+    small = some.where(F.col("n") <= BLOCK)
+    if labels is not None:
+        # signatures go to buckets with work left only
+        work = F.exists("texts", lambda t: t["may"]) & (F.size(F.array_distinct(F.transform("texts", lambda t: t["label"]))) > 1)
+        small = small.groupBy("band").agg(F.collect_list(F.struct("id", "label", "may")).alias("texts")).where(work).select("band", F.explode("texts").alias("t")).select("band", "t.*")
+    met = signed(small, "may").groupBy("band").agg(F.collect_list("text").alias("texts")).select("texts", F.lit(True).alias("whole"))
     if not placed.where(F.col("n") > BLOCK).isEmpty():
         met = met.unionByName(large_places(some.where(F.col("n") > BLOCK), labels is None, signed))
 
