@@ -228,9 +228,14 @@ def classes(documents: DataFrame, shingle: int, most: int, keyed: bool = False)
     compared, whatever their number.
     """
     marks = stored(fingerprints(documents, shingle, keyed), "fingerprints")
-    prints = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), "prints")
+    return marks, rooted_prints(marks, most)
+
+
+def rooted_prints(marks: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """fingerprint, root and first_doc (its smallest key) of every fingerprint of marks; equal roots, linked."""
+    prints = stored(marks.groupBy("fingerprint").agg(F.min(key).alias("first_doc")), "prints")
     found = connected_components(links(prints, most))
-    return marks, prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("root"), "first_doc")
+    return prints.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("root"), "first_doc")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
@@ -281,7 +286,9 @@ def keep_rows(documents: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFr
     return single.unionByName(several)
 
 
-# ------------------------------------------------------------------ copies by similarity
+# ------------------------------------------------------------------ copies by fingerprint and similarity
+#: Words in a shingle of a fingerprint, and differing bits up to which fingerprints link.
+PRINT_WORDS, PRINT_BITS = 3, 2
 #: Words in a shingle, and similarity from which two texts are copies of each other.
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 #: Bins of a similarity signature; for bands, each two of them are one.
@@ -417,29 +424,32 @@ def placed_texts(keyed: DataFrame) -> DataFrame:
     return keyed.join(members.groupBy("n", "a", "b").agg(F.min("band").alias("band")).select("band", "n"), "band")
 
 
-def found_links(placed: DataFrame, texts: DataFrame, labels: DataFrame | None, open_: DataFrame | None, threshold: float, named: int) -> DataFrame:
-    """(src, dst, others, near, more): sure links (src, dst) of the buckets' texts as place_links() finds them, and, where dst is null, what the text src names.
+def with_work(placed: DataFrame, labels: DataFrame, open_: DataFrame | None) -> DataFrame:
+    """(band, id, n, label, may) of the buckets with work left; labels name the component of each text so far, and may tells who may ask: all, or those in open_.
 
-    The texts of a bucket up to BLOCK meet in one place. With labels, which name the
-    component of each text so far, the texts outside a bucket's largest component ask,
-    or those of them in open_, and all of the bucket answer; a bucket of one component
-    has no work left. A larger bucket is compared with one block of its own at first:
-    work that grows with its texts. Later its askers and answerers meet in blocks, so no
-    task holds a bucket.
+    A bucket has work if it has several components and a text that may ask. Components
+    only grow and open_ only shrinks, so one that has none left needs no further turn.
+    Buckets over BLOCK texts all stay; they are not held in one place.
     """
-    some = placed.withColumn("label", F.col("id"))
-    if labels is not None:
-        some = placed.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+    some = placed.select("band", "id", "n").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
     some = some.withColumn("may", F.lit(True)) if open_ is None else some.join(open_.select(F.col("src").alias("id"), F.lit(True).alias("may")), "id", "left").withColumn("may", F.coalesce("may", F.lit(False)))
+    left = some.groupBy("band").agg(F.max("n").alias("n"), F.max("may").alias("may"), F.min("label").alias("least"), F.max("label").alias("most")).where(f"n > {BLOCK} OR may AND least < most")
+    return stored(some.join(left.select("band"), "band", "left_semi"), "work")
+
+
+def found_links(some: DataFrame, texts: DataFrame, first: bool, threshold: float, named: int) -> DataFrame:
+    """(src, dst, others, near, more): sure links (src, dst) of the buckets' texts as place_links() finds them, and, where dst is null, what the text src names.
+
+    The texts of a bucket of with_work() up to BLOCK meet in one place: those outside its
+    largest component ask, if they may, and all answer. A larger bucket is compared with
+    one block of its own at first: work that grows with its texts. Later its askers and
+    answerers meet in blocks, so no task holds a bucket.
+    """
     signed = lambda rows, asks: rows.join(texts.select("id", "sign"), "id").withColumn("text", F.struct("id", "sign", "label", F.col(asks).alias("asks")))
-    small = some.where(F.col("n") <= BLOCK)
-    if labels is not None:
-        # signatures go to buckets with work left only
-        work = F.exists("texts", lambda t: t["may"]) & (F.size(F.array_distinct(F.transform("texts", lambda t: t["label"]))) > 1)
-        small = small.groupBy("band").agg(F.collect_list(F.struct("id", "label", "may")).alias("texts")).where(work).select("band", F.explode("texts").alias("t")).select("band", "t.*")
+    small, large = some.where(F.col("n") <= BLOCK), some.where(F.col("n") > BLOCK)
     met = signed(small, "may").groupBy("band").agg(F.collect_list("text").alias("texts")).select("texts", F.lit(True).alias("whole"))
-    if not placed.where(F.col("n") > BLOCK).isEmpty():
-        met = met.unionByName(large_places(some.where(F.col("n") > BLOCK), labels is None, signed))
+    if not large.isEmpty():
+        met = met.unionByName(large_places(large, first, signed))
 
     def compare(batches):
         for batch in batches:
@@ -535,28 +545,36 @@ def verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold
 
 
 def copy_classes(texts: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
-    """(node, component) of the texts of (id, first, h, h2, bands, sign) that are similar to another, directly or through others.
+    """(node, component) of the texts of (id, first, h, h2, fingerprint, bands, sign) that are linked to another by fingerprint or similarity, directly or through others.
 
-    Texts with a band in common are candidates, and turns link them. If a bucket is large,
+    SimHash comes first: fingerprints within PRINT_BITS link, found by the general
+    pigeonhole principle, and these classes are what the turns begin with. Similar texts
+    whose fingerprints are further apart follow: texts with a band in common are
+    candidates, and turns link those that no class joins yet. If a bucket is large,
     the first turn takes a part of the buckets and joins most large groups at a cost that
     grows with their texts. The next one compares what is still apart. Of the pairs that
     signatures leave uncertain, a text has the most similar ones verified; as long as
     others are left that could join it to another component, there is one more turn for
     it, with more of them. So no pair is left out, and few are verified.
     """
+    rooted = rooted_prints(texts, PRINT_BITS, "id")
+    first = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
+    labels = stored(texts.select(F.col("id").alias("node"), "fingerprint").join(rooted.select("fingerprint", "root"), "fingerprint").join(first, "root").where("node <> component").select("node", "component"), "linked")
     placed = stored(placed_texts(texts.select("id", F.explode("bands").alias("band"))), "placed")
     large = (placed.agg(F.max("n")).first()[0] or 0) > LARGE
-    labels = open_ = None
+    open_ = None
     named = NAMED
     while True:
-        some = placed.where(F.pmod("band", F.lit(FIRST_BUCKETS)) == 0) if large else placed
+        some = with_work(placed.where(F.pmod("band", F.lit(FIRST_BUCKETS)) == 0) if large else placed, labels, open_)
+        if not large:
+            placed = some
         # a row is a place with its texts, and may be 2 MB
-        near = stored(found_links(some, texts, labels, open_, threshold, named), "near", batch_rows=16)
+        near = stored(found_links(some, texts, large, threshold, named), "near", batch_rows=16)
         picked = stored(most_similar(near, named), "picked")
         unsure = picked.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        links = near.where("dst IS NOT NULL").select("src", "dst").unionByName(stored(verified(unsure, texts, documents, threshold), "verified", batch_rows=64))
+        similar = near.where("dst IS NOT NULL").select("src", "dst").unionByName(stored(verified(unsure, texts, documents, threshold), "verified", batch_rows=64))
         # what was found before stands as a star around each component's smallest text
-        labels = connected_components(links if labels is None else links.unionByName(labels.toDF("src", "dst")))
+        labels = connected_components(similar.unionByName(labels.toDF("src", "dst")))
         if not large:
             open_ = stored(picked.where("more").select("src").distinct(), "open")
             if open_.isEmpty():
@@ -568,8 +586,9 @@ def copy_classes(texts: DataFrame, documents: DataFrame, threshold: float = COPY
 def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """documents with one row of each class of copies, all columns as they were.
 
-    Copies are equal texts, and texts whose five-word shingles are similar to the
-    threshold, directly or through others. Signatures decide where they are far enough
+    Copies are equal texts, texts whose SimHash fingerprints (of three-word shingles)
+    differ in PRINT_BITS or fewer bits, and texts whose five-word shingles are similar to
+    the threshold, directly or through others. Signatures decide where they are far enough
     from the threshold, else the shingles. The row with the smallest doc_id stays, nulls
     last; of equal ids the one with the smallest hash of its text; of equal rows any.
     Nulls count as empty; texts without words are one class. Other columns may have any
@@ -579,12 +598,14 @@ def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> Dat
 
     def scan(batches):
         for batch in split_batches(batches, 0, 1 << 20):
-            keys, live, signs = sketches(*utf8(batch.column(0)))
+            raw, offsets = utf8(batch.column(0))
+            keys, live, signs = sketches(raw, offsets)
+            prints = np.array([fingerprint(raw[a:b].tobytes(), PRINT_WORDS) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(live.sum(axis=1))]), pa.int32()), pa.array(keys[live].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], bands, pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "h", "h2", "bands", "sign"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64)), bands, pa.array([s.tobytes() for s in signs], pa.binary())], names=["doc_id", "h", "h2", "fingerprint", "bands", "sign"])
 
-    marks = stored(documents.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text)).mapInArrow(scan, "doc_id long, h long, h2 long, bands array<long>, sign binary"), "copies")
-    texts = marks.groupBy("h", "h2").agg(F.min(row_order()).alias("first"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    marks = stored(documents.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text)).mapInArrow(scan, "doc_id long, h long, h2 long, fingerprint long, bands array<long>, sign binary"), "copies")
+    texts = marks.groupBy("h", "h2").agg(F.min(row_order()).alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
     # a number of its own for each text; it is stored, so it stays
     texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     found = copy_classes(texts, documents, threshold)

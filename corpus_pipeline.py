@@ -14,7 +14,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies: near by SimHash, and similar in their five-word shingles."""
+    """One document of each group of copies: near by SimHash, or similar in their five-word shingles."""
     return simhash.drop_copies(docs)
 
 

@@ -252,6 +252,23 @@ def test_large_group_of_uncertain_pairs(spark, monkeypatch, block, named):
     assert 3 < len(want) < 120 and sum(checked) < 3 * 60 * 59 / 2
 
 
+def test_fingerprints_link_copies(spark):
+    """Texts link whose fingerprints are near, however few of their distinct five-word shingles they share, and classes go on through similar texts."""
+    rng = np.random.default_rng(14)
+    fresh = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    rows, want = [], []
+    for c in range(10):
+        line, tail, own = "alpha beta gamma" + str(c) + " ", fresh(30), fresh(30)
+        # 0 and 1 have near fingerprints and different ends, 2 is similar to 1, and 3 is a text of its own
+        rows += [(10 * c, line * 40 + own), (10 * c + 1, line * 40 + tail), (10 * c + 2, line * 12 + tail + " end"), (10 * c + 3, fresh(60))]
+        want += [10 * c, 10 * c + 3]
+    for c in range(10):
+        a, b, d, _ = (t for _, t in rows[4 * c : 4 * c + 4])
+        assert (plain_print(a) ^ plain_print(b)).bit_count() <= 2 and len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.5
+        assert len(shingles(b) & shingles(d)) / len(shingles(b) | shingles(d)) >= simhash.COPY_SIMILARITY
+    assert sorted(r.doc_id for r in simhash.drop_copies(frame(spark, rows)).collect()) == want
+
+
 def test_signatures_use_all_bins():
     raw = " ".join(f"word{i}" for i in range(20_000)).encode()
     keys, live, signs = simhash.sketches(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
