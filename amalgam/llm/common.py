@@ -1,5 +1,7 @@
 """What several operators share: tables in the shared folder, Arrow batches as byte buffers, words, free column names."""
 
+import contextlib
+import ctypes
 import hashlib
 import sys
 import types
@@ -171,3 +173,11 @@ def slices(offsets: np.ndarray, most: int = 2 << 20):
 def worker_state() -> dict:
     """A dictionary that a Python worker keeps between its tasks. Tasks that need much memory clear it first."""
     return sys.modules.setdefault("_amalgam_kept", types.ModuleType("_amalgam_kept")).__dict__
+
+
+def lean() -> None:
+    """Forget what this Python worker kept for tasks of another kind, and give memory that is free back to the system, as executors count it until then."""
+    worker_state().clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import columns, free, mix64, smallest, split_batches, stored, utf8, word_hashes, words
+from .common import columns, free, lean, mix64, smallest, split_batches, stored, utf8, word_hashes, words
 
 #: Distinct fingerprints (those with the smallest hashes) that bit correlation and candidate counts are estimated on.
 SAMPLE = 4000
@@ -301,8 +301,12 @@ DEVIATIONS = 5
 BLOCK = 2048
 #: If a bucket has over LARGE texts, one bucket in FIRST_BUCKETS takes part in the first turn.
 LARGE, FIRST_BUCKETS = 256, 5
-#: Pairs to verify that a text names in the first turns, and how many times more in each next one.
+#: Pairs that a text has verified at first, and how many times as many after each next time.
 NAMED, MORE = 4, 16
+#: Pairs to verify that a text names in the turn after the large buckets' first one; in each next turn MORE times as many.
+LISTED = 1024
+#: Named pairs that a batch of places holds at most, or those of one place.
+PAIRS_OUT = 1 << 17
 #: Most texts whose ids are broadcast to the documents; beyond that the join is left to Spark.
 BROADCAST_TEXTS = 500_000
 
@@ -451,14 +455,18 @@ def found_links(some: DataFrame, texts: DataFrame, first: bool, threshold: float
     if not large.isEmpty():
         met = met.unionByName(large_places(large, first, signed))
 
+    def table(src, dst, others, near, more):
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32())), pa.array(more, pa.bool_())], names=["src", "dst", "others", "near", "more"])
+
     def compare(batches):
+        lean()
         for batch in batches:
             column = batch.column(0)
             bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).tolist()
             flat = column.flatten()
             ids, label, asks = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False)
             signs = utf8(flat.field(1))[0].reshape(-1, BINS)
-            src, dst, others, near, more = [], [], [], [], []
+            src, dst, others, near, more, pairs = [], [], [], [], [], 0
             for whole, lo, hi in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True):
                 ask = asks[lo:hi]
                 if whole:
@@ -471,7 +479,12 @@ def found_links(some: DataFrame, texts: DataFrame, first: bool, threshold: float
                 others += [None] * len(u) + [x[1] for x in out]
                 near += [None] * len(u) + [x[2] for x in out]
                 more += [False] * len(u) + [x[3] for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(others, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float32())), pa.array(more, pa.bool_())], names=["src", "dst", "others", "near", "more"])
+                pairs += sum(len(x[1]) for x in out)
+                if pairs > PAIRS_OUT:
+                    yield table(src, dst, others, near, more)
+                    src, dst, others, near, more, pairs = [], [], [], [], [], 0
+            yield table(src, dst, others, near, more)
+        lean()
 
     return met.mapInArrow(compare, "src long, dst long, others array<long>, near array<float>, more boolean")
 
@@ -494,27 +507,30 @@ def large_places(some: DataFrame, first: bool, signed) -> DataFrame:
 
 
 def most_similar(near: DataFrame, named: int) -> DataFrame:
-    """(src, dst, more): of what each text names in all its places, the `named` most similar; more, if any place or this left some out."""
+    """(src, dst, rank, more): of what each text names in all its places, the `named` most similar, ranks from 0; more, if any place or this left some out."""
 
     def pick(batches):
+        lean()
         for batch in batches:
-            src, dst, more = [], [], []
+            src, dst, rank, more = [], [], [], []
             for who, others, values, cut in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 ids, first = np.unique(others.values.to_numpy(), return_index=True)
                 best = np.lexsort((ids, -values.values.to_numpy()[first]))[:named]
                 src += [who] * len(best)
                 dst += ids[best].tolist()
+                rank += range(len(best))
                 more += [cut or len(ids) > named] * len(best)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(more, pa.bool_())], names=["src", "dst", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(rank, pa.int32()), pa.array(more, pa.bool_())], names=["src", "dst", "rank", "more"])
 
     every = near.where("dst IS NULL").groupBy("src").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("near")).alias("near"), F.max("more").alias("more"))
-    return every.mapInArrow(pick, "src long, dst long, more boolean")
+    return every.mapInArrow(pick, "src long, dst long, rank int, more boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """The (src, dst) of pairs whose sets of five-word shingles are similar to the threshold; texts has id, first, h and h2, documents the text of each."""
 
     def gather(batches):
+        lean()
         for batch in split_batches(batches, 1):
             raw, offsets = utf8(batch.column(1))
             shingle, doc = shingle_hashes(_LOWER[raw], offsets)
@@ -523,6 +539,7 @@ def verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
     def compare(batches):
+        lean()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -553,36 +570,52 @@ def copy_classes(texts: DataFrame, documents: DataFrame, threshold: float = COPY
     candidates, and turns link those that no class joins yet. If a bucket is large,
     the first turn takes a part of the buckets and joins most large groups at a cost that
     grows with their texts. The next one compares what is still apart. Of the pairs that
-    signatures leave uncertain, a text has the most similar ones verified; as long as
-    others are left that could join it to another component, there is one more turn for
-    it, with more of them. So no pair is left out, and few are verified.
+    signatures leave uncertain, a text lists the most similar ones; a few are verified
+    first, and then more of those that no component joins by then, without another look
+    at signatures. If a list was too short, there is one more turn for its text, with a
+    longer one. So no pair is left out, and few are verified.
     """
     rooted = rooted_prints(texts, PRINT_BITS, "id")
     first = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
     labels = stored(texts.select(F.col("id").alias("node"), "fingerprint").join(rooted.select("fingerprint", "root"), "fingerprint").join(first, "root").where("node <> component").select("node", "component"), "linked")
     placed = stored(placed_texts(texts.select("id", F.explode("bands").alias("band"))), "placed")
     large = (placed.agg(F.max("n")).first()[0] or 0) > LARGE
-    open_ = None
-    named = NAMED
+    open_, listed = None, LISTED
     while True:
         some = with_work(placed.where(F.pmod("band", F.lit(FIRST_BUCKETS)) == 0) if large else placed, labels, open_)
         if not large:
             placed = some
+        named = NAMED if large else listed
         # a row is a place with its texts, and may be 2 MB
         near = stored(found_links(some, texts, large, threshold, named), "near", batch_rows=16)
-        picked = stored(most_similar(near, named), "picked")
-        unsure = picked.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        similar = near.where("dst IS NOT NULL").select("src", "dst").unionByName(stored(verified(unsure, texts, documents, threshold), "verified", batch_rows=64))
-        # what was found before stands as a star around each component's smallest text
-        labels = connected_components(similar.unionByName(labels.toDF("src", "dst")))
+        # a row is a text with what it names in all its places, and may be 0.5 MB
+        picked = stored(most_similar(near, named), "picked", batch_rows=32)
+        lo, hi, similar = 0, NAMED, near.where("dst IS NOT NULL").select("src", "dst")
+        while True:
+            pairs = picked.where(F.col("rank").between(lo, hi - 1)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+            pairs = stored(apart(pairs, labels) if lo else pairs, "unsure")
+            if lo == 0 or not pairs.isEmpty():
+                found = stored(verified(pairs, texts, documents, threshold), "verified", batch_rows=64)
+                # what was found before stands as a star around each component's smallest text
+                labels = connected_components((found if lo else found.unionByName(similar)).unionByName(labels.toDF("src", "dst")))
+            lo, hi = hi, hi * MORE
+            if lo >= named or picked.where(F.col("rank") >= lo).isEmpty():
+                break
         if not large:
             open_ = stored(picked.where("more").select("src").distinct(), "open")
             if open_.isEmpty():
                 return labels
-            named *= MORE
+            listed *= MORE
         large = False
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (src, dst) of pairs that are in different components by labels."""
+    for side in ("src", "dst"):
+        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_label")), side, "left")
+    return pairs.where(F.coalesce("src_label", "src") != F.coalesce("dst_label", "dst")).select("src", "dst")
+
+
 def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> DataFrame:
     """documents with one row of each class of copies, all columns as they were.
 
@@ -597,6 +630,7 @@ def drop_copies(documents: DataFrame, threshold: float = COPY_SIMILARITY) -> Dat
     text = F.coalesce("text", F.lit(""))
 
     def scan(batches):
+        lean()
         for batch in split_batches(batches, 0, 1 << 20):
             raw, offsets = utf8(batch.column(0))
             keys, live, signs = sketches(raw, offsets)

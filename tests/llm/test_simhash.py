@@ -252,6 +252,20 @@ def test_large_group_of_uncertain_pairs(spark, monkeypatch, block, named):
     assert 3 < len(want) < 120 and sum(checked) < 3 * 60 * 59 / 2
 
 
+def test_signatures_are_compared_in_two_turns(spark, monkeypatch):
+    """Texts with many uncertain pairs list them once; verifying more of them needs no further turn over signatures, and classes are exact."""
+    monkeypatch.setattr(simhash, "LARGE", 8)
+    monkeypatch.setattr(simhash, "NAMED", 1)
+    monkeypatch.setattr(simhash, "MORE", 4)
+    turns, real = [], simhash.found_links
+    monkeypatch.setattr(simhash, "found_links", lambda *a: turns.append(1) or real(*a))
+    rng = np.random.default_rng(12)
+    base = [f"wx{rng.integers(10**6)}" for _ in range(120)]
+    texts = [edited(rng, base, share) for share in np.linspace(0.005, 0.045, 40)]
+    kept = simhash.drop_copies(frame(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_classes(texts))) and len(turns) == 2
+
+
 def test_fingerprints_link_copies(spark):
     """Texts link whose fingerprints are near, however few of their distinct five-word shingles they share, and classes go on through similar texts."""
     rng = np.random.default_rng(14)
