@@ -17,7 +17,11 @@ block's escapes at the place that the payload gives. So a block decodes without
 looking at its words one after another.
 """
 
+import re
 import zlib
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,22 +63,25 @@ def pack(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     spread = place + np.repeat(np.arange(len(lengths), dtype=np.int32) * spare, lengths)
     widest = np.zeros(n + spare * len(lengths) + spare, np.int8)
     widest[spread] = need
-    # widest[i] becomes the most bits of ids i to i + span - 1, span by span; wider selectors come first, narrower ones overwrite
-    selector_at, span = np.zeros(len(widest), np.uint8), 1
+    # widest[i] becomes the most bits of ids i to i + span - 1, span by span; where a selector fits, so do all wider ones
+    fitting, span = np.zeros(len(widest), np.uint8), 1
     for s in range(15, 0, -1):
         while span < COUNTS[s]:
             step = min(span, COUNTS[s] - span)
             widest[:-step] = np.maximum(widest[:-step], widest[step:])
             span += step
-        selector_at[widest <= BITS[s]] = s
-    selector = selector_at[spread]
-    count = np.asarray(COUNTS)[selector]
-    step = np.minimum(count, end - place).astype(np.uint8).tobytes()
-    starts, i = [], 0
+        fitting += widest <= BITS[s]
+    selector = (16 - fitting[spread]) & 15
+    # where the word after one that starts at an id would start; four words at a time are walked, as only that is a loop
+    after = np.append(np.minimum(place + np.asarray(COUNTS, np.int32)[selector], end), np.int32(n))
+    second = after[after]
+    fourth, starts, i = memoryview(second[second]), [], 0
     while i < n:
         starts.append(i)
-        i += step[i]
-    at = np.array(starts)
+        i = fourth[i]
+    first = np.array(starts)
+    at = np.stack([first, after[first], second[first], after[second[first]]], axis=1).ravel()
+    at = at[at < n]
     chosen = selector[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
     values = np.zeros(len(widest), np.uint64)
@@ -166,6 +173,12 @@ def parted(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, offsets + ends[offsets]
 
 
+#: A key that no piece has, as pieces hold no white space.
+END = b" "
+#: Matches pieces of letters that no other step than lower case changes and no pattern of separable() divides, whatever stands between them: a to z and the letters of Latin-1.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that neither joins nor splits differently across ASCII white space.
 
@@ -182,55 +195,93 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cached, self.limit = cached, limit
+        self.cached, self.end_id, self.limit = cached, end_id, limit
         #: How ids are held: two bytes are enough for most vocabularies.
         self.kind = "<u2" if max(end_id, *self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
         # a control character that is one id lets one call encode many pieces
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark_id = mark[0] if len(mark) == 1 else None
         self.added = [t[1].content.encode() for t in self.tokenizer.get_added_tokens_decoder().items()]
+        self.model, self.forms = self.tokenizer.model, self.letter_forms() if cached else {}
+        self.forget()
+
+    def letter_forms(self) -> dict[int, str]:
+        """What the model gets for each letter of PLAIN; empty if a run of such letters may be more than one piece to the library."""
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        letters = [x for x in map(chr, range(256)) if PLAIN(x.encode())]
+        forms = [self.tokenizer.pre_tokenizer.pre_tokenize_str(normal(x)) for x in letters]
+        if any(PLAIN(normal(t.decode()).encode()) for t in self.added) or any(len(f) != 1 for f in forms):
+            return {}
+        return {ord(x): f[0][0] for x, f in zip(letters, forms, strict=True)}
+
+    def forget(self) -> None:
+        """Know no piece. END, which has the end id, is number 0."""
+        self.known: dict[bytes, int] = defaultdict(count(1).__next__, {END: 0})
+        #: Ids of the pieces by their numbers, and where each one's start and how many they are.
+        self.ids, self.first, self.size = np.array([self.end_id], self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def learn(self, pieces: list[bytes]) -> None:
-        """Remember the ids of pieces."""
+        """Append the ids of pieces, which have the next numbers."""
+        simple = [bool(self.forms) and PLAIN(p) is not None for p in pieces]
+        texts = b" ".join([p for p, s in zip(pieces, simple, strict=True) if s]).decode().translate(self.forms).split(" ")
+        tokenize = self.model.tokenize
+        by_model = ([t.id for t in tokenize(text)] for text in texts)
+        by_library = iter(self.whole([p for p, s in zip(pieces, simple, strict=True) if not s]))
+        each = [next(by_model) if s else next(by_library) for s in simple]
+        size = np.array(list(map(len, each)), np.int64)
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(each), self.kind, int(size.sum())))
+        self.size = np.append(self.size, size)
+
+    def whole(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces of any kind, through all steps of the library."""
         joint = [] if self.mark_id is None else [p for p in pieces if b"\x01" not in p]
-        for piece in set(pieces).difference(joint) if len(joint) < len(pieces) else ():
-            self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        size = np.dtype(self.kind).itemsize
+        out = {p: self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in set(pieces).difference(joint)}
         for lo in range(0, len(joint), 250):
             part = joint[lo : lo + 250]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b" \x01 ".join(part) + b" \x01").decode()], add_special_tokens=False)[0].ids, self.kind)
-            data, start = ids.tobytes(), 0
-            for piece, end in zip(part, (np.flatnonzero(ids == self.mark_id) * size).tolist(), strict=True):
-                self.known[piece], start = data[start:end], end + size
+            ids, start = self.tokenizer.encode_batch_fast([(b" \x01 ".join(part) + b" \x01").decode()], add_special_tokens=False)[0].ids, 0
+            for piece, end in zip(part, np.flatnonzero(np.array(ids) == self.mark_id).tolist(), strict=True):
+                out[piece], start = ids[start:end], end + 1
+        return [out[p] for p in pieces]
 
-    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
-        """The pieces of each text. Texts with combining marks or what may be an added token are left as they are."""
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[list[bytes]]:
+        """The pieces of each text, then END. Texts with combining marks or what may be an added token are left as they are."""
         low, bounds = parted(raw, offsets)
         data, plain = low.tobytes(), raw.tobytes()
-        cut = [data[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         marks = np.flatnonzero((raw == 0xCC) | (raw == 0xCD))
         for added in {b"<|", *self.added}:
             at = plain.find(added)
             while at >= 0:
                 marks = np.append(marks, at)
                 at = plain.find(added, at + 1)
-        for i in np.unique(np.searchsorted(offsets, marks, side="right") - 1).tolist():
-            cut[i] = plain[offsets[i] : offsets[i + 1]].split()
-        return cut
+        as_is = set((np.searchsorted(offsets, marks, side="right") - 1).tolist())
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            out = plain[offsets[i] : offsets[i + 1]].split() if i in as_is else data[a:b].split()
+            out.append(END)
+            yield out
+
+    def ended(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in kind, offsets) of the texts of a byte buffer, each with the end id after its own."""
+        if not self.cached:
+            each = [[*self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, self.end_id] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            bounds = np.cumsum([0, *map(len, each)])
+            return np.fromiter(chain.from_iterable(each), self.kind, int(bounds[-1])), bounds
+        if len(self.known) > self.limit:
+            self.forget()
+        # a piece that is not known gets the next number by being looked up; a text's pieces are looked up as soon as it is cut
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(self.pieces(raw, offsets))), np.int32)
+        if len(self.known) > len(self.size):
+            self.learn(list(islice(reversed(self.known), len(self.known) - len(self.size)))[::-1])
+        size = self.size[numbers]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.first[numbers] - bounds[:-1], size)
+        at += np.arange(len(at))
+        return self.ids[at], np.concatenate([[0], bounds[1:][numbers == 0]])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Ids of each text of a byte buffer, little-endian in kind."""
-        if not self.cached:
-            return [np.array(self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids, self.kind).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        if not len(raw):
-            return [b""] * (len(offsets) - 1)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        cut = self.pieces(raw, offsets)
-        self.learn(list(set().union(*cut).difference(known)))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        """Ids of each text of a byte buffer, little-endian in kind, without the end."""
+        ids, bounds = self.ended(raw, offsets)
+        return [ids[a : b - 1].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def worker_encoder(tokenizer_json: str, cached: bool, end_id: int, limit: int) -> WordEncoder:
@@ -281,11 +332,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_json: str, end_id: i
 
     def encode(batches):
         encoder, part, before = worker_encoder(shared.value, cached, end_id, cache_words), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], encoder.kind).tobytes()
         for batch in split_batches(batches, 1, BLOCK_BYTES):
-            each = encoder.encode(*utf8(batch.column(1)))
-            bounds = np.concatenate([[0], np.cumsum([len(x) // len(end) + 1 for x in each])])
-            ids = np.frombuffer(b"".join([x + end for x in each]), encoder.kind)
+            ids, bounds = encoder.ended(*utf8(batch.column(1)))
             body = block(batch.column(0), ids, bounds)
             n = int(bounds[-1])
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([batch.num_rows], pa.int64()), "n_ids": pa.array([n], pa.int64()), "body": pa.array([body], pa.binary())})
