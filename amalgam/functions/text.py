@@ -67,9 +67,11 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def distinct_ignoring_case(xs: Column) -> Column:
-    """Items of an array without those that equal an earlier one but for case."""
-    low = F.transform(xs, F.lower)
-    return F.filter(xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    """Items of an array without those that equal an earlier one but for case. Equals meet by sorting, so that long arrays cost little more than their length."""
+    marked = F.transform(xs, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x")))
+    firsts = let(F.sort_array(marked), lambda ms: F.filter(ms, lambda m, k: ~m["low"].eqNullSafe(F.get(ms, k - 1)["low"])))
+    once = F.transform(F.sort_array(F.transform(firsts, lambda m: F.struct(m["i"], m["x"]))), lambda m: m["x"])
+    return F.when(F.size(xs) < 2, xs).otherwise(once)
 
 
 def pieces(c: Column, pattern: str) -> Column:

@@ -21,7 +21,7 @@ from .plans.projection import canonical_json
 from .plans.validation import validate, validate_or_raise
 from .sources import claims as C
 from .sources import delimited, detect, foreign_json, notes, profiles, resumes
-from .sources.files import extension, overrides
+from .sources.files import dealt, extension, overrides
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -617,7 +617,7 @@ def extract_profile_lists(spark, sf_dir):
     lines = F.transform("users", lambda u: F.concat(F.lit("https://github.com/U"), u.cast("string"), F.lit("\nhttp://github.com/u"), u.cast("string"), F.lit("\ngithub.com/orgs")))
     files = lists.select(F.concat(F.lit("d"), "d", F.lit("/list.txt")).alias("path"), F.array_join(lines, "\n").alias("content"))
     profile = F.concat(F.lit('{"login": "U'), k, F.lit('", "name": "'), "c_name", F.lit('", "email": null, "bio": "", "blog": " x.io", "company": "@acme ", "_languages": ["Go"], "followers": 3}'))
-    cache = c.where(k % 3 > 0).select(F.concat(F.lit("d"), k % 10, F.lit("/github_cache/U"), k, F.lit(".json")).alias("path"), profile.alias("content"))
+    cache = dealt(c.where(k % 3 > 0), k).select(F.concat(F.lit("d"), k % 10, F.lit("/github_cache/U"), k, F.lit(".json")).alias("path"), profile.alias("content"))
     return claim_text(profiles.extract_profiles(files, cache))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import tables as T
-from ..functions.text import strip
+from ..functions.text import distinct_ignoring_case, let, strip
 from . import claims as C
 from .live import fetch
 
@@ -20,8 +20,7 @@ def folder(path: Column) -> Column:
 def listed_users(files: DataFrame) -> DataFrame:
     """(path, folder, rec_idx, user): the users that each list names, first spelling first, reserved words left out."""
     found = F.regexp_extract_all(F.col("content"), F.lit(P.GITHUB_USER), 1)
-    low = F.transform(found, F.lower)
-    users = F.filter(found, lambda u, i: (F.array_position(low, F.lower(u)) == i + 1) & ~F.lower(u).isin(T.RESERVED_LISTED))
+    users = F.filter(let(found, distinct_ignoring_case), lambda u: ~F.lower(u).isin(T.RESERVED_LISTED))
     return files.select("path", folder(F.col("path")).alias("folder"), F.posexplode(users).alias("rec_idx", "user"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -12,6 +13,7 @@ from amalgam.plans import pipeline
 from amalgam.plans.projection import ConfigError, project
 from amalgam.plans.validation import ValidationError, validate, validate_or_raise
 from amalgam.sources.files import expand, overrides
+from amalgam.sources.profiles import listed_users
 
 CSV = "﻿Full_Name,Email,Phone,Company,Title\r\nGrace Hopper,grace@navy.mil; g@x.io,not-a-phone,US Navy,Rear Admiral\r\n\r\nKatherine Johnson,kj@nasa.gov,,NASA,Mathematician\r\n"
 ATS = {"candidates": [{"applicant_name": "ada LOVELACE", "contact": {"email_address": "Ada@analytical.io", "mobile": "+44 20 7946 0958"}, "job_title": "Engineer", "experience_years": 12, "locale": "London, UK", "skill_tags": ["js", {"name": "Python"}], "social": {"github_url": "https://github.com/ada-l"}, "history": [{"org": "Analytical Engines", "role": "Engineer", "from": "2019-03", "to": "Present"}], "schools": [{"name": "Home", "degree": "BSc", "grad": 2015}]}, 7]}
@@ -186,6 +188,19 @@ def test_nested_paragraphs():
     assert docx_text(out.getvalue()) == "abc\nb\n\nd"
 
 
+def test_long_list_of_profiles(spark):
+    n = 30_000
+    lines = "\n".join(f"https://github.com/U{k}\nhttp://github.com/u{k}\ngithub.com/Orgs" for k in range(n))
+    files = spark.createDataFrame([("d/list.txt", lines), ("list.txt", "GitHub.com/b github.com/A x github.com/B github.com/a github.com/about"), ("e/list.txt", ""), ("f/list.txt", None)], "path string, content string")
+    begin = time.monotonic()
+    found = {}
+    for r in sorted(listed_users(files).collect()):
+        found.setdefault(r.folder, []).append((r.rec_idx, r.user))
+    assert found == {"d": [(k, f"U{k}") for k in range(n)], ".": [(0, "b"), (1, "A")]}
+    # comparing all of a list with all of it takes hours here
+    assert time.monotonic() - begin < 60
+
+
 def test_live_profiles(spark, tmp_path):
     """Users without a cached profile are asked for, each once; unknown ones are left out."""
     import http.server
