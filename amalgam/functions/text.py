@@ -28,7 +28,7 @@ def let(value: Column, use) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda x: F.when(x != "", x))
 
 
 def clean(c: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import values as V
-from ..functions.text import clean
+from ..functions.text import clean, let
 
 LOCATION = "struct<city:string,region:string,country:string>"
 EXPERIENCE = "struct<company:string,title:string,start:string,end:string,summary:string>"
@@ -29,15 +29,14 @@ def normalise_claims(records: DataFrame, last_year: Column | None = None) -> Dat
     f, t = F.col("c.field"), F.col("c.text")
     # a null where there is no phone, so that a library sees phones alone
     number = V.phone(F.when(f == "phones", t))
-    place = V.location(t)
-    has_place = place["city"].isNotNull() | place["region"].isNotNull() | place["country"].isNotNull()
+    place = let(V.location(t), lambda p: F.when(p["city"].isNotNull() | p["region"].isNotNull() | p["country"].isNotNull(), p))
+    each = each.withColumn("s", F.when(f == "skills", V.skill(t)))
     text = (
         F.when(f == "full_name", V.name(t))
         .when(f == "emails", V.email(t))
         .when(f == "phones", number)
         .when(f == "headline", clean(t))
         .when(f.startswith("links."), V.url(t))
-        .when(f == "skills", V.skill(t)["name"])
     )
     row = F.struct(
         F.col("record_id").alias("record_id"),
@@ -47,10 +46,10 @@ def normalise_claims(records: DataFrame, last_year: Column | None = None) -> Dat
         F.col("source_type").alias("source_type"),
         F.col("c.method").alias("method"),
         T.base_confidence(F.col("source_type"), f, F.col("c.method")).alias("base_bp"),
-        text.alias("v_text"),
-        F.when(f == "skills", V.skill(t)["canonical"]).alias("v_canonical"),
+        F.coalesce(text, F.col("s.name")).alias("v_text"),
+        F.col("s.canonical").alias("v_canonical"),
         F.when(f == "years_experience", V.years(t)).alias("v_number"),
-        F.when((f == "location") & has_place, place).alias("v_place"),
+        F.when(f == "location", place).alias("v_place"),
         F.when(f == "experience", V.experience(F.col("c.job"), last_year)).alias("v_job"),
         F.when(f == "education", V.education(F.col("c.school"), last_year)).alias("v_school"),
     )

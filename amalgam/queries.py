@@ -483,7 +483,7 @@ def foreign_documents(spark, sf_dir) -> DataFrame:
         F.lit(', "location": {"city": "Rome", "country": "IT"}, "github": "github.com/U'), k, F.lit('", "skills": [{"tag": "js"}, "Go", {"x": 1}], "history": '), job,
         F.lit(', "schools": [{"school": "Uni", "degree": "BSc", "grad": '), (2000 + F.col("c_custkey") % 20).cast("string"), F.when(F.col("c_custkey") % 5 > 0, F.lit("}]}]}")).otherwise("}"),
     )
-    return named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".json")
+    return named(dealt(table(spark, sf_dir, "customer"), k), F.concat(F.lit("c/"), k), content, ".json")
 
 
 @query("""WITH c AS (SELECT *, c_custkey AS k FROM customer)
@@ -586,7 +586,8 @@ def resume_text() -> Column:
 
 @query(RESUMES_SQL)
 def extract_resume_files(spark, sf_dir):
-    return claim_text(resumes.extract_resumes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), F.col("c_custkey")), resume_text(), ".txt")))
+    k = F.col("c_custkey")
+    return claim_text(resumes.extract_resumes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), resume_text(), ".txt")))
 
 
 def as_docx(batches):
@@ -605,7 +606,8 @@ def as_docx(batches):
 
 @query(RESUMES_SQL + " WHERE c_custkey % 10 = 0")
 def extract_docx_files(spark, sf_dir):
-    plain = named(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"), F.concat(F.lit("c/"), F.col("c_custkey")), resume_text(), ".docx")
+    k = F.col("c_custkey")
+    plain = named(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"), F.concat(F.lit("c/"), k), resume_text(), ".docx")
     return claim_text(resumes.extract_resumes(plain.mapInArrow(as_docx, plain.schema)))
 
 

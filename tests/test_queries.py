@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from amalgam import queries
 
@@ -35,6 +36,19 @@ def test_query_equals_sql(spark, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["normalize_claims"])
+def test_rows_of_one_row_group_go_to_all_cores(spark, name):
+    # the table has one row group, so it is read by one task; what is made of it is not
+    made = queries.QUERIES[name](spark, SF)
+    column = "source" if name == "normalize_claims" else "path"
+    if name == "normalize_claims":
+        # its records are a table, written by the tasks that made them
+        assert len(made.inputFiles()) >= spark.sparkContext.defaultParallelism
+    else:
+        assert made.groupBy(F.spark_partition_id().alias("task")).agg(F.count(column)).count() >= spark.sparkContext.defaultParallelism
+
+
 def test_entry_survives_without_the_llm_subpackage(tmp_path):
     import shutil
     import subprocess
