@@ -569,7 +569,7 @@ def extract_note_files(spark, sf_dir):
         F.lit("Met with Ada Lovelace Met with Ada Lovelace.\n"), F.lit("met with Ada Lovelace, Staff Engineer at Acme, mail m"), k, F.lit("@x.io and M"), k, F.lit("@X.io, call (415) 555-26"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"),
         F.lit("\n~"), (F.col("c_custkey") % 30).cast("string"), F.lit(" years; strong in Python and Go.\nbased in Paris, FR. github.com/Ada"), k, F.lit(" "),
     )
-    return claim_text(notes.extract_notes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), content, ".txt")))
+    return claim_text(notes.extract_notes(named(dealt(table(spark, sf_dir, "customer"), k), F.concat(F.lit("c/"), k), content, ".txt")))
 
 
 RESUMES_SQL = """SELECT 'c/' || c_custkey AS path, 0 AS rec_idx, 'full_name=Alan Turing|emails=m' || c_custkey || '@x.io|skills=Python|skills=Logic|skills=Go|experience=Acme Corp~Senior Engineer~2018-03~present~-|education=MIT~Ph.D~Mathematics~' || (1950 + c_custkey % 50) AS claims,
