@@ -522,7 +522,7 @@ def mixed_files(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
     kind = F.when(k % 4 < 2, F.lit(".json")).when(k % 4 == 2, F.lit(".txt")).otherwise(F.lit(".x"))
     content = F.when(k % 8 == 0, '{"name": "cut').when(k % 4 < 2, F.concat(F.lit('{"email": "m'), k, F.lit('@x.io"}'))).when(k % 8 == 2, "  ").otherwise(F.concat(F.lit("mail n"), k, F.lit("@x.io")))
-    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("f/"), F.lpad(k.cast("string"), 9, "0"), kind).alias("path"), content.cast("binary").alias("raw"), content.alias("content"), kind.alias("ext"))
+    files = dealt(table(spark, sf_dir, "customer"), k).select(F.concat(F.lit("f/"), F.lpad(k.cast("string"), 9, "0"), kind).alias("path"), content.cast("binary").alias("raw"), content.alias("content"), kind.alias("ext"))
     typed = detect.with_types(files)
     return typed.withColumn("source_type", F.when(F.col("ext") == ".x", "fax").otherwise(F.col("source_type")))
 
@@ -587,7 +587,7 @@ def resume_text() -> Column:
 @query(RESUMES_SQL)
 def extract_resume_files(spark, sf_dir):
     k = F.col("c_custkey")
-    return claim_text(resumes.extract_resumes(named(table(spark, sf_dir, "customer"), F.concat(F.lit("c/"), k), resume_text(), ".txt")))
+    return claim_text(resumes.extract_resumes(named(dealt(table(spark, sf_dir, "customer"), k), F.concat(F.lit("c/"), k), resume_text(), ".txt")))
 
 
 def as_docx(batches):
@@ -607,7 +607,7 @@ def as_docx(batches):
 @query(RESUMES_SQL + " WHERE c_custkey % 10 = 0")
 def extract_docx_files(spark, sf_dir):
     k = F.col("c_custkey")
-    plain = named(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"), F.concat(F.lit("c/"), k), resume_text(), ".docx")
+    plain = named(dealt(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"), k), F.concat(F.lit("c/"), k), resume_text(), ".docx")
     return claim_text(resumes.extract_resumes(plain.mapInArrow(as_docx, plain.schema)))
 
 

@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, name):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["normalize_claims", "extract_foreign_json", "extract_note_files", "normalize_hints"])
+@pytest.mark.parametrize("name", ["normalize_claims", "extract_foreign_json", "extract_note_files", "normalize_hints", "extract_resume_files"])
 def test_rows_of_one_row_group_go_to_all_cores(spark, name):
     # the table has one row group, so it is read by one task; what is made of it is not
     made = queries.QUERIES[name](spark, SF)
